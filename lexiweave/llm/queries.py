@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import simhash, sketches
 from .common import documents
 
 
@@ -14,8 +14,22 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sketches.edited_fingerprints(documents(spark, sf_dir))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        sketches.as_string(F.col("sketch")).alias("fingerprint"),
+        sketches.as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op10_bottom_k_fingerprints": op10_bottom_k_fingerprints,
 }
 
 ORACLES: dict[str, str] = {}
