@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, sketches
+from . import licenses, simhash, sketches
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = sketches.edited_fingerprints(documents(spark, sf_dir))
     return made.select(
@@ -29,7 +33,10 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op5_license_scan": op5_license_scan,
     "op10_bottom_k_fingerprints": op10_bottom_k_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_license_scan": licenses.oracle_sql(),
+}
