@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, simhash, sketches
+from . import licenses, pii, simhash, sketches
 from .common import documents
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's rewritten text; n_entities is 0 where nothing was found."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.pseudonymize(docs).select("doc_id", "text", F.col("n_entities").cast("long").alias("n_entities"), "entity_kinds")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(documents(spark, sf_dir), width=3, radius=3)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -32,6 +38,7 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_license_scan": op5_license_scan,
     "op10_bottom_k_fingerprints": op10_bottom_k_fingerprints,
