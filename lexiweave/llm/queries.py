@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, pii, simhash, sketches
+from . import licenses, mixing, packing, pii, simhash, sketches, token_counts
 from .common import documents
 
 
@@ -20,10 +21,23 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"), "fits")
+
+
 def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = sketches.edited_fingerprints(documents(spark, sf_dir))
     return made.select(
@@ -40,7 +54,10 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_vector_packing": op3_vector_packing,
     "op5_license_scan": op5_license_scan,
+    "op6_source_mixing": op6_source_mixing,
+    "op8_token_counts": op8_token_counts,
     "op10_bottom_k_fingerprints": op10_bottom_k_fingerprints,
 }
 
