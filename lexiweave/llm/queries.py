@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, pii, simhash, sketches, token_counts
+from . import licenses, mixing, multi_index, packing, pii, simhash, sketches, token_counts
 from .common import documents
 
 
@@ -38,6 +38,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"), "fits")
 
 
+def op9_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
+
+
 def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = sketches.edited_fingerprints(documents(spark, sf_dir))
     return made.select(
@@ -58,6 +62,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_source_mixing": op6_source_mixing,
     "op8_token_counts": op8_token_counts,
+    "op9_inverted_multi_index": op9_inverted_multi_index,
     "op10_bottom_k_fingerprints": op10_bottom_k_fingerprints,
 }
 
