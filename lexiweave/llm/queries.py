@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, multi_index, packing, pii, simhash, sketches, token_counts
+from . import chunk_dedup, licenses, mixing, multi_index, packing, pii, simhash, sketches, token_counts
 from .common import documents
 
 
@@ -25,6 +25,11 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document that shares a passage with another document."""
+    return chunk_dedup.documents_with_repeats(documents(spark, sf_dir))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_vector_packing": op3_vector_packing,
+    "op4_chunk_dedup": op4_chunk_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_source_mixing": op6_source_mixing,
     "op8_token_counts": op8_token_counts,
