@@ -57,6 +57,7 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         sketches.as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
+        "next_doc_id",
     )
 
 

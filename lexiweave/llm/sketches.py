@@ -99,7 +99,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, width: int = WIDTH, text_co
     many (or all) of the next document in descending doc_id; after the last comes the first. Null
     text counts as empty, a null doc_id as the smallest id. Rows that share a doc_id follow by the
     hash of their texts; exact repeats of a row count as one document in that order and come out
-    once each. A single document is its own next. Returns doc_id, n_chars, edited, sketch,
+    once each. A single document is its own next. Returns doc_id, next_doc_id, n_chars, edited, sketch,
     edited_sketch, near_edited, near_next; further columns of docs are ignored.
     """
     spark = docs.sparkSession
@@ -111,11 +111,12 @@ def edited_fingerprints(docs: DataFrame, k: int = K, width: int = WIDTH, text_co
     # Every document goes once to its own key; its first half goes on to the document before it.
     before = nexts.select(F.col("nid").alias("id"), F.col("nth").alias("th"), F.col("id").alias("pid"), F.col("th").alias("pth"), F.col("half").alias("phalf"))
     here = with_sketch(base.join(before, ["id", "th"]), "text", "sketch", k, width)
-    sent = here.select(F.col("pid").alias("id"), F.col("pth").alias("th"), F.substring("text", F.lit(1), F.col("phalf").cast("int")).alias("head"), F.col("sketch").alias("next_sketch"))
+    sent = here.select(F.col("pid").alias("id"), F.col("pth").alias("th"), F.substring("text", F.lit(1), F.col("phalf").cast("int")).alias("head"), F.col("sketch").alias("next_sketch"), F.col("doc_id").alias("next_doc_id"))
     if not distinct.where("copies > 1").isEmpty():
         sent = sent.dropDuplicates(["id", "th"])
-    met = here.select("doc_id", "id", "th", "text", "sketch").join(sent, ["id", "th"])
+    # The same columns of base as above, so that its exchange is reused and each text is shuffled once.
+    met = with_sketch(base.join(sent, ["id", "th"]), "text", "sketch", k, width)
     n = F.char_length("text")
-    made = met.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), "head").alias("edited"))
+    made = met.select("doc_id", "next_doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), "head").alias("edited"))
     made = with_sketch(made, "edited", "edited_sketch", k, width)
-    return made.select("doc_id", "n_chars", "edited", "sketch", "edited_sketch", resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"))
+    return made.select("doc_id", "next_doc_id", "n_chars", "edited", "sketch", "edited_sketch", resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"))
