@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lexiweave-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder of this name only inside the checkpoint folder that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
 def stable(df: DataFrame) -> DataFrame:
     """A copy of df in the shared checkpoint folder: computed once, and safe from lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

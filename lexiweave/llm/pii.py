@@ -242,8 +242,10 @@ def pseudonymize(docs: DataFrame, secret: str = "lexiweave", text_col: str = "te
 
     Texts without entities pass through as they are and are not shuffled. Null text stays null with
     no entities; so does a row with null id. Rows with equal id and text change equally and come out
-    once each. Other columns are kept, whatever their names; an empty table gives an empty result.
+    once each. Other columns are kept, but one named n_entities or entity_kinds is replaced; an empty
+    table gives an empty result.
     """
+    docs = docs.drop("n_entities", "entity_kinds")
     k, th, txt = "__lw_k", "__lw_th", F.col(text_col)
     has = F.coalesce(txt.rlike(ENTITY), F.lit(False))
     names = docs.columns

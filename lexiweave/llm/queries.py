@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, licenses, mixing, multi_index, packing, pii, simhash, sketches, token_counts
+from . import chunk_dedup, licenses, mixing, multi_index, packing, pii, quality, simhash, sketches, token_counts
 from .common import documents
 
 
@@ -38,6 +38,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
 
 
+def op7_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"), "fits")
@@ -68,6 +72,7 @@ QUERIES = {
     "op4_chunk_dedup": op4_chunk_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_source_mixing": op6_source_mixing,
+    "op7_mil_quality": op7_mil_quality,
     "op8_token_counts": op8_token_counts,
     "op9_inverted_multi_index": op9_inverted_multi_index,
     "op10_bottom_k_fingerprints": op10_bottom_k_fingerprints,

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stable
+from .common import connected_components, id_key, stable
 
 RADIUS = 3
 TILE = 2048
@@ -49,6 +49,20 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+SIGNATURE = 64
+_ODD = np.random.default_rng(11).integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signature(text: str | None, width: int) -> tuple[int, bytes]:
+    """Number of distinct shingles, and 64 minima of keyed hashes cut to a byte each: texts share about the
+    share of them that is their Jaccard similarity."""
+    hashes = np.fromiter({xxhash.xxh64_intdigest(s, 42) for s in shingles(text, width)}, dtype="<u8")
+    low = np.full(SIGNATURE, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, hashes.size, 8192):
+        low = np.minimum(low, (hashes[at : at + 8192, None] * _ODD[None, :]).min(axis=0))
+    return hashes.size, ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def with_fingerprints(docs: DataFrame, width: int = 3, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns plus `fp` long (the fingerprint's bits as a signed long). Null text counts as empty."""
     schema = docs.select(*keep).schema.add("fp", "long")
@@ -184,6 +198,106 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None =
     return rows.mapInArrow(_compare(radius), "src long, dst long").distinct()
 
 
+def _similar(radius: int, matches: int):
+    """Links among the fingerprints of one tile (left), or between two tiles, that also agree in their signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            g = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            ends = np.flatnonzero((g[1:] != g[:-1]).any(axis=1)) + 1 if len(g) else []
+            at = 0
+            for end in [*ends, len(g)]:
+                if held and end > at and any(held[0].column(i)[0].as_py() != int(g[at, i]) for i in range(3)):
+                    yield links(held)
+                    held = []
+                if end > at:
+                    held.append(batch.slice(at, end - at))
+                at = end
+        if held:
+            yield links(held)
+
+    def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        fps = t["fp"].to_numpy().view(np.uint64)
+        side = t["side"].to_numpy()
+        crossed = t["a"][0] != t["b"][0]
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint8).reshape(len(fps), SIGNATURE)
+        order = np.argsort(np.bitwise_count(fps), kind="stable")
+        fps, side, sig = fps[order], side[order], sig[order]
+        pops = np.bitwise_count(fps).astype(np.int16)
+        src, dst = [], []
+        left = np.arange(len(fps))
+        while left.size:
+            queue, left = [left[0]], left[1:]
+            while queue and left.size:
+                at = queue.pop()
+                lo, hi = np.searchsorted(pops[left], [pops[at] - radius, pops[at] + radius + 1])
+                near = lo + np.flatnonzero(np.bitwise_count(fps[left[lo:hi]] ^ fps[at]) <= radius)
+                if near.size and crossed:
+                    near = near[side[left[near]] != side[at]]
+                if near.size:
+                    near = near[(sig[left[near]] == sig[at]).sum(axis=1) >= matches]
+                if near.size:
+                    found = left[near]
+                    src += [fps[at]] * found.size
+                    dst += fps[found].tolist()
+                    queue += found.tolist()
+                    left = np.delete(left, near)
+        make = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64), pa.int64())
+        return pa.RecordBatch.from_arrays([make(src), make(dst)], names=["src", "dst"])
+
+    return run
+
+
+def similar_links(prints: DataFrame, similarity: float = 0.8, radius: int = 16, tile: int = 8192) -> DataFrame:
+    """(src, dst) links connecting fingerprints of texts whose word-shingle sets are about `similarity` alike or more.
+
+    prints: (fp, size, sig). Sets that are 0.8 alike differ in about 10 of 64 bits, up to 16, which is too
+    many for bit blocks: tiles are compared exactly instead, among texts whose shingle counts allow the
+    similarity (two neighbouring classes of counts), by fingerprint within `radius` and, for those near,
+    by signature. The work grows as the square of a class of lengths; tiles bound each task.
+    """
+    least = F.min_by(F.struct("size", "sig"), F.struct("size", "sig")).alias("x")
+    one = prints.groupBy("fp").agg(least).select("fp", "x.size", "x.sig")
+    step = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.log(F.lit(1 / similarity))).cast("long")
+    keyed = stable(one.select("fp", "sig", F.explode(F.array(step, step + 1)).alias("k")))
+    tiles = keyed.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias("tiles"))
+    mine = F.pmod(F.xxhash64("fp"), F.col("tiles"))
+    dealt = keyed.join(F.broadcast(tiles), "k").select("k", "fp", "sig", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))  # tiles: a row for each class of lengths
+    rows = dealt.select("k", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "fp", "sig")
+    return rows.repartition("k", "a", "b").sortWithinPartitions("k", "a", "b").mapInArrow(_similar(radius, round(SIGNATURE * (similarity - 0.1))), "src long, dst long").distinct()
+
+
+def first_of_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
+    """docs without near copies: of each group of texts linked by similar_links or equal, the row with the smallest doc_id.
+
+    Same columns. Texts with one fingerprint are one text here; null and empty texts are, so one of them
+    stays. Of repeated rows one stays; a null doc_id counts as the smallest. An empty table stays empty.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            signed = [signature(t, width) for t in texts]
+            fps = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array([n for n, _ in signed], pa.int64()), pa.array([s for _, s in signed], pa.binary())], names=["k", "th", "fp", "size", "sig"]
+            )
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = {"__lw_k": id_key(), "__lw_th": F.xxhash64(text)}
+    prints = stable(docs.select(id_key().alias("k"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "k long, th long, fp long, size long, sig binary"))
+    roots = connected_components(similar_links(prints, similarity))
+    firsts = prints.groupBy("fp").agg(F.min(F.struct("k", "th")).alias("first"), F.count(F.lit(1)).alias("n"))
+    rooted = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("root", "fp").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k").alias("__lw_k"), F.col("first.th").alias("__lw_th"))
+    found = docs.withColumns(key).join(kept, ["__lw_k", "__lw_th"], "left_semi")
+    if not prints.groupBy("k", "th").count().where("count > 1").isEmpty():
+        found = found.dropDuplicates(["__lw_k", "__lw_th"])
+    return found.select(*docs.columns)
+
+
 def near_duplicate_groups(docs: DataFrame, width: int = 3, radius: int = RADIUS, text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs.
 
