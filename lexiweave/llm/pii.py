@@ -43,23 +43,29 @@ SYLLABLES = {
 ENDINGS = {("latin", "m"): "o", ("latin", "f"): "a", ("latin", "n"): "i", ("cyrillic", "m"): "ий", ("cyrillic", "f"): "ия", ("cyrillic", "n"): "и", ("greek", "m"): "ος", ("greek", "f"): "α", ("greek", "n"): "ι"}
 
 _ALL_TITLES = [t for ts in TITLES.values() for t in ts]
-_TITLE = "(?:" + "|".join(_ALL_TITLES) + r")\.? "
+_TITLE = r"(?<!\p{L})(?:" + "|".join(_ALL_TITLES) + r")\.? "
+_KEYWORD = r"(?i:password|passwd|secret|token|api_?key) {0,2}[=:] {0,2}[\"']?"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
-# Kind and pattern of each entity; where two could start at one place, the earlier wins.
+# Kind and pattern of each entity; where two could start at one place, the earlier wins. Each starts with a
+# character class or word, so that most places of a text fail at once; titles and keywords belong to the match.
 KINDS = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
     ("secret", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
-    ("secret", r"(?<=(?i:password|passwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9_/+-]{8,512}"),
+    ("secret", rf"{_KEYWORD}[A-Za-z0-9_/+-]{{8,512}}"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
     ("phone", r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)"),
     ("card", r"(?<![\d+.-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("name", rf"(?<=(?<!\p{{L}}){_TITLE}){_NAME}(?: {_NAME})?"),
+    ("name", rf"{_TITLE}{_NAME}(?: {_NAME})?"),
 ]
 ENTITY = "|".join(f"(?:{p})" for _, p in KINDS)
+#: What any match has, cheap to look for: a digit, an at sign, a keyword's sign or a title.
+_HINT = rf"[0-9@=]|(?i:password|passwd|secret|token|api_?key) {{0,2}}:|(?:{'|'.join(_ALL_TITLES)})\.? \p{{Lu}}"
+#: What stands before the value inside a match.
+_BEFORE = rf"^(?:{_KEYWORD}(?=[A-Za-z0-9_/+-]{{8}})|{_TITLE}(?=\p{{Lu}}))"
 
 _COMPACT = ("iban", "phone", "card", "ssn")
 
@@ -247,24 +253,25 @@ def pseudonymize(docs: DataFrame, secret: str = "lexiweave", text_col: str = "te
     """
     docs = docs.drop("n_entities", "entity_kinds")
     k, th, txt = "__lw_k", "__lw_th", F.col(text_col)
-    has = F.coalesce(txt.rlike(ENTITY), F.lit(False))
+    has = F.coalesce(txt.rlike(_HINT) & txt.rlike(ENTITY), F.lit(False))
     names = docs.columns
     plain = docs.where(~has).select(*(F.col(c) for c in names), F.lit(0).alias("n_entities"), F.lit("").alias("entity_kinds"))
     idc = id_key("doc_id") if "doc_id" in names else F.lit(0).cast("long")
     hit = docs.where(has).withColumns({k: idc, th: F.xxhash64(txt)})
     gaps = F.split(txt, ENTITY, -1)
-    found = hit.select(k, th, gaps.alias("gaps"), F.posexplode(F.regexp_extract_all(txt, F.lit(ENTITY), F.lit(0))).alias("pos", "value"))
-    title = F.regexp_extract(F.get("gaps", F.col("pos")), r"(?<!\p{L})(" + "|".join(_ALL_TITLES) + r")\.? $", 1)
-    found = found.select(k, th, "pos", "value", title.alias("title")).distinct()
-    found = found.withColumn("kind", _kind_of(F.col("value"), F.col("title") != ""))
-    pieces = found.select(k, th, "pos", "kind", "value", F.posexplode(_parts(F.col("kind"), F.col("value"), F.col("title"))).alias("sub", "part"))
+    found = hit.select(k, th, F.posexplode(F.regexp_extract_all(txt, F.lit(ENTITY), F.lit(0))).alias("pos", "match"))
+    found = found.distinct().withColumn("before", F.regexp_extract("match", _BEFORE, 0)).withColumn("value", F.substring("match", F.length("before") + 1, F.length("match")))
+    titled = F.col("before").rlike(r"^(?:" + "|".join(_ALL_TITLES) + r")\.? $")
+    found = found.withColumn("title", F.when(titled, F.regexp_extract("before", r"^\p{L}+", 0)).otherwise(""))
+    found = found.withColumn("kind", F.when(~titled & (F.col("before") != ""), "secret").otherwise(_kind_of(F.col("value"), titled)))
+    pieces = found.select(k, th, "pos", "kind", "before", "value", F.posexplode(_parts(F.col("kind"), F.col("value"), F.col("title"))).alias("sub", "part"))
     mention = F.when(F.col("kind") == "name", F.get(F.split("value", " "), F.col("sub"))).otherwise(F.col("value"))
-    pieces = stable(pieces.select(k, th, "pos", "sub", F.col("kind").alias("label"), F.col("part.kind").alias("kind"), F.col("part.key").alias("key"), mention.alias("value")))
+    pieces = stable(pieces.select(k, th, "pos", "sub", "before", F.col("kind").alias("label"), F.col("part.kind").alias("kind"), F.col("part.key").alias("key"), mention.alias("value")))
     known = surrogates(pieces, secret)
     rendered = pieces.join(known, ["kind", "key"]).withColumn("new", _render(F.col("kind"), F.col("value"), F.col("surrogate")))
     is_name = F.col("label") == "name"
-    whole = rendered.groupBy(k, th, "pos", "label").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub", "new"))), lambda x: x["new"]), " ").alias("new"),
+    whole = rendered.groupBy(k, th, "pos", "label", "before").agg(
+        F.concat("before", F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub", "new"))), lambda x: x["new"]), " ")).alias("new"),
         F.collect_list(F.when(is_name & (F.length("value") > 2), F.struct("value", "new"))).alias("names"),
     )
     lists = whole.groupBy(k, th).agg(
