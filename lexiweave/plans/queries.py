@@ -248,10 +248,10 @@ def g2(spark, d):
     return clusters.close_links(clusters.term_links(p, f))
 
 
-@query("g2_functional_graph", """WITH RECURSIVE links AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS src, CAST((c_custkey * 7919 + 13) % 1009 AS VARCHAR) AS dst, 'x' AS rule_source, false AS is_acr FROM customer WHERE (c_custkey * 7919 + 13) % 1009 <> c_custkey AND c_custkey < 1009), """ + o.CLOSED + " SELECT src, dst FROM closed")
+@query("g2_functional_graph", """WITH RECURSIVE links AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS src, CAST((c_custkey * c_custkey + 13) % 1009 AS VARCHAR) AS dst, 'x' AS rule_source, false AS is_acr FROM customer WHERE (c_custkey * c_custkey + 13) % 1009 <> c_custkey AND c_custkey < 1009), """ + o.CLOSED + " SELECT src, dst FROM closed")
 def g2_graph(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey < 1009")
-    to = (F.col("c_custkey") * 7919 + 13) % 1009
+    to = (F.col("c_custkey") * F.col("c_custkey") + 13) % 1009
     links = c.where(to != F.col("c_custkey")).select(F.col("c_custkey").cast("string").alias("src"), to.cast("string").alias("dst"), F.lit("x").alias("rule_source"), F.lit(False).alias("is_acr")).distinct()
     return clusters.close_links(links).select("src", "dst")
 
