@@ -433,3 +433,42 @@ def s11(spark, d):
 @query("s10_vos_records", "SELECT 'vos_term_' || row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS doc_id, p_name AS keyword FROM part")
 def s10(spark, d):
     return tables.vos_records(_vos_lines(spark, d)).select("doc_id", F.get("keywords", F.lit(0)).alias("keyword"))
+
+
+@query("s8_scopus_records", f"""WITH {_KWS}, r AS (SELECT *, row_number() OVER (ORDER BY rec) AS n FROM kw)
+SELECT CASE WHEN rec % 3 = 0 THEN 'E' || rec WHEN rec % 3 = 1 THEN '10.1/' || rec ELSE 'scopus_' || n END AS doc_id, {_FLAT('kws')} AS keywords FROM r""")
+def s8(spark, d):
+    per = keyword_edges(spark, d).groupBy("rec_seq").agg(F.array_sort(F.collect_set("kw_raw")).alias("kws"))
+    half, r = F.floor((F.size("kws") + 1) / 2).cast("int"), F.col("rec_seq")
+    rows = per.select(
+        F.lit("one").alias("path"), r.alias("rec"), F.when(r % 3 == 0, F.concat(F.lit("E"), r.cast("string"))).otherwise("").alias("eid"), F.when(r % 3 < 2, F.concat(F.lit("10.1/"), r.cast("string"))).alias("doi"),
+        F.array_join(F.slice("kws", F.lit(1), half), "; ").alias("a"), F.concat(F.array_join("kws", ";"), F.lit("; ;")).alias("i"),
+    )
+    return tables.scopus_records(rows).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
+
+
+@query("s12_vocabulary_xml", """WITH e AS (SELECT lower(p_name || ' ' || (p_size % 4)) AS term, 'D' || p_partkey AS descriptor_id, 'M' || p_partkey || '.0' AS concept_id, p_brand AS canonical_name, p_type AS concept_name, p_partkey AS rec, 0 AS c FROM part
+ UNION ALL SELECT lower(p_type), 'D' || p_partkey, 'M' || p_partkey || '.1', p_brand, p_type || 's', p_partkey, 1 FROM part),
+x AS (SELECT term, arg_max(struct_pack(descriptor_id, concept_id, canonical_name, concept_name), (rec, c)) AS v FROM e GROUP BY 1),
+o AS (SELECT lower(p_brand) AS term, arg_min(struct_pack(d := 'D' || p_partkey, n := p_brand), p_partkey) AS v FROM part WHERE lower(p_brand) NOT IN (SELECT term FROM x) GROUP BY 1)
+SELECT term, v.descriptor_id AS descriptor_id, v.concept_id AS concept_id, v.canonical_name AS canonical_name, v.concept_name AS concept_name FROM x UNION ALL SELECT term, v.d, v.d, v.n, NULL FROM o""")
+def s12(spark, d):
+    """Descriptor records written as XML from parts and parsed back."""
+    k = F.col("p_partkey").cast("string")
+    tag = lambda t, *inside: F.concat(F.lit(f"<{t}>"), *inside, F.lit(f"</{t}>"))
+    concept = lambda i, name, term: tag("Concept", tag("ConceptUI", F.lit("M"), k, F.lit(f".{i}")), tag("ConceptName", tag("String", name)), tag("TermList", tag("Term", tag("String", term))))
+    size = F.concat("p_name", F.lit(" "), (F.col("p_size") % 4).cast("string"))
+    xml = tag("DescriptorRecord", tag("DescriptorUI", F.lit("D"), k), tag("DescriptorName", tag("String", F.col("p_brand"))), tag("ConceptList", concept(0, F.col("p_type"), size), concept(1, F.concat("p_type", F.lit("s")), F.col("p_type"))))
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("rec"), F.from_xml(xml, tables.DESCRIPTOR).alias("x")).select("rec", "x.*")
+    return tables.vocabulary_entries(rows)
+
+
+@query("j10_targets", f"WITH RECURSIVE {o.VOCABULARY}, {E_}, {o.PROPS}, {o.LINKS}, {o.CLOSED}, {o.RULES0} SELECT * FROM targets0")
+def j10(spark, d):
+    p, f = _props(spark, d)
+    return clusters.targets_of(f, clusters.close_links(clusters.term_links(p, f)))
+
+
+@query("r3_reset", f"{_SEL} selected_for_export FROM rules")
+def r3(spark, d):
+    return review.apply_overrides(_built(spark, d)[2], _draft(spark).limit(0))

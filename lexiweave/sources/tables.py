@@ -15,6 +15,13 @@ from .tagged import _plain, detect_formats, lines_of, parse_cnki, parse_pubmed,
 CHARSETS = ["utf-8", "utf-8-sig", "gbk", "gb18030", "latin-1"]
 
 
+#: Schema of a descriptor record; inference would make single children structs.
+DESCRIPTOR = (
+    "DescriptorUI string, DescriptorName struct<String: string>, ConceptList struct<Concept: array<struct<ConceptUI: string, ConceptName: struct<String: string>,"
+    " TermList: struct<Term: array<struct<String: string>>>>>>"
+)
+
+
 def read_decoded(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line) of files in the first of CHARSETS that decodes them whole. Spark has no GBK of its own."""
 
@@ -40,14 +47,18 @@ def read_scopus(spark: SparkSession, path: str) -> DataFrame:
     names = {c.lstrip("﻿"): c for c in raw.columns}
     raw = raw.withColumnsRenamed({old: new for new, old in names.items()})
     rows = raw.select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("rec"), *(strip(col(c)).alias(n) for c, n in (("EID", "eid"), ("DOI", "doi"), ("Author Keywords", "a"), ("Index Keywords", "i"))))
+    return scopus_records(rows)
+
+
+def scopus_records(rows: DataFrame) -> DataFrame:
+    """S8 of (path, rec, eid, doi, a, i) rows, rec being their order in the file; empty or null cells fall through."""
     n = F.row_number().over(Window.partitionBy("path").orderBy("rec"))
-    words = F.array_sort(F.array_distinct(F.array_union(split_clean(F.col("a"), ";"), split_clean(F.col("i"), ";"))))
-    rows = rows.withColumn("n", n).select(
-        F.xxhash64("path", "n").alias("rec_seq"),
-        F.when(F.col("eid") != "", F.col("eid")).when(F.col("doi") != "", F.col("doi")).otherwise(F.concat(F.lit("scopus_"), F.col("n").cast("string"))).alias("doc_id"),
-        words.alias("keywords"),
+    some = lambda c: F.when(F.col(c) != "", F.col(c))
+    words = F.array_sort(F.array_distinct(F.array_union(*(split_clean(F.coalesce(c, F.lit("")), ";") for c in ("a", "i")))))
+    found = rows.withColumn("n", n).select(
+        F.xxhash64("path", "n").alias("rec_seq"), F.coalesce(some("eid"), some("doi"), F.concat(F.lit("scopus_"), F.col("n").cast("string"))).alias("doc_id"), words.alias("keywords")
     )
-    return _plain(rows, "Scopus")
+    return _plain(found, "Scopus")
 
 
 def vos_terms(lines: DataFrame) -> DataFrame:
@@ -81,12 +92,13 @@ def read_vocabulary_xml(spark: SparkSession, path: str) -> DataFrame:
     Of entries for one term the last of the file stands; a descriptor's own name is an entry only where
     no other gives it. Files ending in .gz are read as such but not split.
     """
-    schema = (
-        "DescriptorUI string, DescriptorName struct<String: string>, ConceptList struct<Concept: array<struct<ConceptUI: string, ConceptName: struct<String: string>,"
-        " TermList: struct<Term: array<struct<String: string>>>>>>"
-    )
-    raw = spark.read.format("xml").option("rowTag", "DescriptorRecord").schema(schema).load(path)
-    df = raw.select(F.monotonically_increasing_id().alias("rec"), F.col("DescriptorUI").alias("d"), F.col("DescriptorName.String").alias("name"), F.posexplode_outer("ConceptList.Concept").alias("c", "concept"))
+    raw = spark.read.format("xml").option("rowTag", "DescriptorRecord").schema(DESCRIPTOR).load(path)
+    return vocabulary_entries(raw.withColumn("rec", F.monotonically_increasing_id()))
+
+
+def vocabulary_entries(raw: DataFrame) -> DataFrame:
+    """S12 of parsed descriptor records (DESCRIPTOR's columns) with rec, their order."""
+    df = raw.select("rec", F.col("DescriptorUI").alias("d"), F.col("DescriptorName.String").alias("name"), F.posexplode_outer("ConceptList.Concept").alias("c", "concept"))
     df = df.where(F.col("d").isNotNull() & F.col("name").isNotNull())
     terms = df.select("rec", "d", "name", "c", "concept", F.posexplode("concept.TermList.Term").alias("t", "term")).where(F.col("term.String").isNotNull())
     last = F.struct("rec", "c", "t")
