@@ -152,14 +152,22 @@ def e12(spark, d):
     return spark.createDataFrame([(r[0],) for r in ROOTS], "root string").agg(F.countDistinct("root").alias("roots"))
 
 
-_TERM_PAIRS = f"WITH {E_}, prs AS (SELECT a.term AS x, b.term AS y, (a.freq + b.freq) % 5 = 0 AS acr FROM freqs a, freqs b), c AS (SELECT *, {o.conflicts('x', 'y', 'acr')} AS c FROM prs)"
+_COMMON = "len(list_intersect(string_split(a.term, ' '), string_split(b.term, ' '))) > 0"
+
+
+def _word_pairs(freqs: DataFrame) -> DataFrame:
+    """(x, y, fx, fy) of terms with a common word: an equi-join on words."""
+    w = freqs.select("term", "freq", F.explode(F.array_distinct(F.split("term", " "))).alias("w"))
+    return w.select(F.col("term").alias("x"), F.col("freq").alias("fx"), "w").join(w.select(F.col("term").alias("y"), F.col("freq").alias("fy"), "w"), "w").drop("w").distinct()
+
+
+_TERM_PAIRS = f"WITH {E_}, prs AS (SELECT a.term AS x, b.term AS y, (a.freq + b.freq) % 5 = 0 AS acr FROM freqs a, freqs b WHERE {_COMMON}), c AS (SELECT *, {o.conflicts('x', 'y', 'acr')} AS c FROM prs)"
 
 
 @query("e14_inspect_pairs", f"{_TERM_PAIRS} SELECT x, y, len(c) > 0 AS is_blocked, CASE WHEN len(c) > 0 THEN 'HIGH_RISK' ELSE 'SAFE' END AS risk_level, array_to_string(c, ',') AS conflicts, {o.reason('c', 'acr')} AS reason FROM c")
 def e14(spark, d):
     f = _freqs(spark, d)
-    # All pairs of the corpus's few dozen distinct terms, to cover the rule; not a plan for large inputs.
-    met = f.select(F.col("term").alias("x"), F.col("freq").alias("fx")).crossJoin(f.select(F.col("term").alias("y"), F.col("freq").alias("fy")))
+    met = _word_pairs(f)
     seen = checks.inspect_pair(F.col("x"), F.col("y"), (F.col("fx") + F.col("fy")) % 5 == 0)
     return met.select("x", "y", seen.alias("s")).select("x", "y", "s.is_blocked", "s.risk_level", F.array_join("s.conflicts", ",").alias("conflicts"), "s.reason")
 
@@ -191,13 +199,13 @@ def j1(spark, d):
     return keywords.lookup(_freqs(spark, d), "term", keywords.seed_vocabulary(spark)).select("term", "matched", "descriptor_id", "concept_id", "canonical_name")
 
 
-@query("e20_synonym_relation", f"""WITH {o.VOCABULARY}, {E_}, p AS (SELECT a.term AS term1, b.term AS term2 FROM freqs a, freqs b), m AS (SELECT term1, term2, x.descriptor_id AS d1, y.descriptor_id AS d2, x.concept_id AS c1, y.concept_id AS c2
+@query("e20_synonym_relation", f"""WITH {o.VOCABULARY}, {E_}, p AS (SELECT a.term AS term1, b.term AS term2 FROM freqs a, freqs b WHERE {_COMMON}), m AS (SELECT term1, term2, x.descriptor_id AS d1, y.descriptor_id AS d2, x.concept_id AS c1, y.concept_id AS c2
  FROM p LEFT JOIN vocabulary x ON x.vterm = term1 LEFT JOIN vocabulary y ON y.vterm = term2)
  SELECT term1, term2, coalesce(c1 = c2, false) AS is_synonym, CASE WHEN c1 = c2 THEN 'Tier 1' WHEN d1 = d2 THEN 'Tier 2' ELSE 'Tier 3' END AS tier, CASE WHEN c1 = c2 THEN c1 END AS concept_id, CASE WHEN d1 = d2 THEN d1 END AS descriptor_id,
  CASE WHEN d1 IS NULL OR d2 IS NULL THEN 'One or both terms not found in MeSH index' WHEN c1 = c2 THEN 'True synonyms under MeSH Concept ' || c1 WHEN d1 = d2 THEN 'Related concepts under MeSH Descriptor ' || d1 || ' (Broad/Narrow relation)' ELSE 'Distinct MeSH descriptors' END AS reason FROM m""")
 def e20(spark, d):
-    f = _freqs(spark, d).select("term")
-    return keywords.synonym_relation(f.select(F.col("term").alias("term1")).crossJoin(f.select(F.col("term").alias("term2"))), keywords.seed_vocabulary(spark))
+    pairs = _word_pairs(_freqs(spark, d)).select(F.col("x").alias("term1"), F.col("y").alias("term2"))
+    return keywords.synonym_relation(pairs, keywords.seed_vocabulary(spark))
 
 
 # Links, closure, clusters.
