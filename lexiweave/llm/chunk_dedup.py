@@ -55,11 +55,11 @@ def cut_points(raw: bytes, average: int = AVERAGE) -> np.ndarray:
 
 
 def chunks(docs: DataFrame, average: int = AVERAGE, text_col: str = "text", places: bool = True) -> DataFrame:
-    """(digest, k) of every chunk, and with places (th, n, start, bytes, words): text hash, ordinal, place and size.
+    """(digest, k) of every chunk, and with places (th, start, bytes, words): text hash, place and size.
 
     k is the id, nulls on the smallest long. Null and empty texts have no chunks.
     """
-    names = ["digest", "k", *(("th", "n", "start", "bytes", "words") if places else ())]
+    names = ["digest", "k", *(("th", "start", "bytes", "words") if places else ())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spaces = np.zeros(256, dtype=np.int32)
@@ -83,13 +83,12 @@ def chunks(docs: DataFrame, average: int = AVERAGE, text_col: str = "text", plac
                 if places:
                     gaps = np.concatenate([[0], np.cumsum(spaces[np.frombuffer(b"".join(raws), dtype=np.uint8)])])
                     offset = np.concatenate([[0], np.cumsum([len(r) for r in raws])])[row]
-                    first = np.concatenate([[0], np.cumsum(sizes)])[row]
-                    numbers = (np.arange(row.size) - first, begins, ends - begins, gaps[offset + ends] - gaps[offset + begins])
+                    numbers = (begins, ends - begins, gaps[offset + ends] - gaps[offset + begins])
                     arrays += [part.column(1).take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in numbers)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     text = F.col(text_col).cast("string")
-    schema = "digest long, k long" + (", th long, n int, start int, bytes int, words int" if places else "")
+    schema = "digest long, k long" + (", th long, start int, bytes int, words int" if places else "")
     return docs.where(F.length(text) > 0).select(id_key().alias("k"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, schema)
 
 
@@ -101,8 +100,11 @@ def repeated_passages(docs: DataFrame, average: int = AVERAGE, min_words: int =
     """
     ids = chunks(docs, average, text_col, places=False).groupBy("digest").agg(F.min("k").alias("first_k"), F.max("k").alias("last_k"))
     repeated = ids.where("first_k < last_k").select("digest", "first_k")
-    found = chunks(docs, average, text_col).join(repeated, "digest").select("k", "th", "n", "start", "bytes", "words", "first_k").distinct()
-    runs = found.withColumn("run", F.col("n") - F.row_number().over(Window.partitionBy("k", "th").orderBy("n")))
+    found = chunks(docs, average, text_col).join(repeated, "digest").select("k", "th", "start", "bytes", "words", "first_k")
+    # One exchange by document: repeats of a row go, and a run ends where the next chunk does not begin at once.
+    one = Window.partitionBy("k", "th").orderBy("start")
+    found = found.withColumn("end", F.lag(F.col("start") + F.col("bytes")).over(one)).where(F.col("end").isNull() | (F.col("end") <= F.col("start")))
+    runs = found.withColumn("run", F.sum(F.when(F.col("end") == F.col("start"), 0).otherwise(1)).over(one))
     return (
         runs.groupBy("k", "th", "run")
         .agg(
