@@ -13,7 +13,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-CACHE = 400_000
+#: Entries of a cache: some 200 bytes each, so under 200 MB for a Python worker.
+CACHE = 800_000
 
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 #: Anything else sends the text to the library: other scripts, controls, special tokens.
@@ -58,14 +59,18 @@ class WordTokens:
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
         self.visible = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.pieces = _Cache(self._piece)
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.pieces = _Cache(self._piece, CACHE // 8)
         self.words = _Cache(self._word)
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.visible)
-        return np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.visible)
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(shown)])
 
     def _word(self, word: str) -> bytes:
+        if word.isalpha():  # of the usual characters: one piece
+            return self._piece(word)
         return b"".join(map(self.pieces.__getitem__, self._PIECES.findall(word)))
 
     def ids(self, text: str) -> np.ndarray:
@@ -97,31 +102,31 @@ class PrefixCounts:
         back = {c: b for b, c in shown.items()}
         self.visible = str.maketrans({chr(b): c for b, c in shown.items()})
         special = set(self.tokenizer.get_added_tokens_decoder())
-        self.token = {bytes(back[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if i not in special}
+        vocabulary = {bytes(back[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if i not in special}
+        # A token that does not encode to itself stands in no encoding.
+        self.token = {t: i for t, i in vocabulary.items() if self._encode(t) == [i]}
+        self.spelled = {i: t for t, i in self.token.items()}
         lengths: dict[bytes, set[int]] = {}
         for t in self.token:
             lengths.setdefault(t[-2:], {1}).add(len(t))
         self.by_last = {x: sorted(ns, reverse=True) for x, ns in lengths.items()}
-        self.pair_ok = _Cache(self._pair_ok, 1_000_000)
+        self.pair_ok = _Cache(self._pair_ok, CACHE // 2)
         self.changes = _Cache(self._changes)
 
     def _encode(self, raw: bytes) -> list[int]:
         return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.visible))]
 
-    def _pair_ok(self, pair: tuple[bytes, bytes]) -> bool:
-        return self._encode(pair[0] + pair[1]) == [self.token[pair[0]], self.token[pair[1]]]
+    def _pair_ok(self, pair: int) -> bool:
+        a, b = pair >> 20, pair & 0xFFFFF
+        return self._encode(self.spelled[a] + self.spelled[b]) == [a, b]
 
     def piece_counts(self, raw: bytes) -> list[int]:
         """Token count of each byte prefix of one piece, the empty prefix first."""
-        last: list[bytes] = [b""]
-        count = [0]
-        known, ok, by_last = self.token, self.pair_ok, self.by_last
+        last, count = [0], [0]
+        token, ok, lengths, one = self.token.get, self.pair_ok, self.by_last.get, (1,)
         for i in range(1, len(raw) + 1):
-            for n in by_last.get(raw[i - 2 : i] if i > 1 else raw[:1], (1,)):
-                if n > i:
-                    continue
-                t = raw[i - n : i]
-                if t in known and (n == i and self._encode(t) == [known[t]] or n < i and ok[last[i - n], t]):
+            for n in lengths(raw[i - 2 : i] if i > 1 else raw[:1], one):
+                if n <= i and (t := token(raw[i - n : i])) is not None and (n == i or ok[last[i - n] << 20 | t]):
                     last.append(t)
                     count.append(count[i - n] + 1)
                     break
@@ -133,11 +138,11 @@ class PrefixCounts:
         """For each code point of the piece, the change of the count, as int8."""
         raw = piece.encode()
         counts = self.piece_counts(raw)
-        if len(piece) > 2 and piece in ("'re", "'ve", "'ll"):  # a shorter prefix splits after the apostrophe
+        if piece in ("'re", "'ve", "'ll"):  # a shorter prefix splits after the apostrophe
             counts[2] = counts[1] + self.piece_counts(raw[1:2])[1]
-        ends = [i for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
-        at = [0, *(counts[i] for i in ends)]
-        return np.diff(at).astype(np.int8).tobytes()
+        if len(raw) != len(piece):
+            counts = [c for i, c in enumerate(counts) if i == len(raw) or raw[i] & 0xC0 != 0x80]
+        return bytes([(b - a) & 255 for a, b in zip(counts, counts[1:], strict=False)])
 
     def store(self, text: str) -> np.ndarray:
         """int8 change of the token count at each code point; its running sum is the count of each prefix."""
