@@ -11,6 +11,7 @@ Each comparison emits a spanning forest of its links, not all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,6 +26,9 @@ from .common import connected_components, id_key, stable
 RADIUS = 3
 TILE = 2048
 _SMALL = 16
+#: Shingles of a tile of an exact comparison (8 bytes each), and of one step of it.
+CELL = 4_000_000
+CHUNK = 1_000_000
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
@@ -49,6 +53,11 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted XXH64 hashes of the distinct shingles."""
+    return np.unique(np.fromiter({xxhash.xxh64_intdigest(s, 42) for s in shingles(text, width)}, dtype="<u8"))
+
+
 SIGNATURE = 64
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -198,8 +207,8 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None =
     return rows.mapInArrow(_compare(radius), "src long, dst long").distinct()
 
 
-def _similar(radius: int, matches: int):
-    """Links among the fingerprints of one tile (left), or between two tiles, that also agree in their signatures."""
+def _grouped(links):
+    """`links` of each group of rows that are equal in their first three columns; rows come sorted by these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -209,66 +218,122 @@ def _similar(radius: int, matches: int):
             at = 0
             for end in [*ends, len(g)]:
                 if held and end > at and any(held[0].column(i)[0].as_py() != int(g[at, i]) for i in range(3)):
-                    yield links(held)
+                    yield links(pa.Table.from_batches(held))
                     held = []
                 if end > at:
                     held.append(batch.slice(at, end - at))
                 at = end
         if held:
-            yield links(held)
+            yield links(pa.Table.from_batches(held))
+
+    return run
+
 
-    def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts)
-        fps = t["fp"].to_numpy().view(np.uint64)
-        side = t["side"].to_numpy()
+def _alike(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of `others` have a Jaccard similarity of at least `similarity` with `one`, all sorted and without repeats."""
+    found, at = [], 0
+    while at < len(others):
+        end, room = at, CHUNK
+        while end < len(others) and (end == at or others[end].size <= room):
+            room -= others[end].size
+            end += 1
+        sizes = np.array([o.size for o in others[at:end]])
+        joined = np.concatenate(others[at:end])
+        hit = one[np.minimum(np.searchsorted(one, joined), one.size - 1)] == joined
+        shared = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+        found.append(shared >= similarity * (one.size + sizes - shared) - 1e-9)
+        at = end
+    return np.concatenate(found)
+
+
+def _similar(similarity: float, matches: int):
+    """Links among the texts of one tile (left), or between two tiles: sizes and signatures allow `similarity`, and
+    where the rows have sets, these are that much alike."""
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        sizes = t["size"].to_numpy()
+        order = np.argsort(sizes, kind="stable")
+        sizes, node, side = sizes[order], t["node"].to_numpy()[order], t["side"].to_numpy()[order]
         crossed = t["a"][0] != t["b"][0]
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint8).reshape(len(fps), SIGNATURE)
-        order = np.argsort(np.bitwise_count(fps), kind="stable")
-        fps, side, sig = fps[order], side[order], sig[order]
-        pops = np.bitwise_count(fps).astype(np.int16)
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint8).reshape(len(node), SIGNATURE)[order]
+        sets = None
+        if "set" in t.column_names:
+            raw = t["set"].to_pylist()
+            sets = [np.frombuffer(raw[i], dtype="<u8") for i in order.tolist()]
         src, dst = [], []
-        left = np.arange(len(fps))
+        left = np.arange(len(node))
         while left.size:
             queue, left = [left[0]], left[1:]
             while queue and left.size:
                 at = queue.pop()
-                lo, hi = np.searchsorted(pops[left], [pops[at] - radius, pops[at] + radius + 1])
-                near = lo + np.flatnonzero(np.bitwise_count(fps[left[lo:hi]] ^ fps[at]) <= radius)
+                lo, hi = np.searchsorted(sizes[left], [sizes[at] * similarity - 1e-6, sizes[at] / similarity + 1e-6])
+                near = np.arange(lo, hi)
                 if near.size and crossed:
                     near = near[side[left[near]] != side[at]]
                 if near.size:
                     near = near[(sig[left[near]] == sig[at]).sum(axis=1) >= matches]
+                if near.size and sets is not None:
+                    near = near[_alike(sets[at], [sets[i] for i in left[near].tolist()], similarity)]
                 if near.size:
                     found = left[near]
-                    src += [fps[at]] * found.size
-                    dst += fps[found].tolist()
+                    src += [node[at]] * found.size
+                    dst += node[found].tolist()
                     queue += found.tolist()
                     left = np.delete(left, near)
-        make = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64), pa.int64())
+        make = lambda x: pa.array(np.array(x, dtype=np.int64), pa.int64())
         return pa.RecordBatch.from_arrays([make(src), make(dst)], names=["src", "dst"])
 
-    return run
+    return _grouped(links)
+
 
+def _dealt(rows: DataFrame, group: str, kept: tuple[str, ...]) -> DataFrame:
+    """(group, a, b, side, kept) of rows with a number of `tiles` for their group: each pair of tiles meets once."""
+    mine = F.pmod(F.xxhash64("node"), F.col("tiles"))
+    each = rows.select(group, *kept, mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    pairs = each.select(group, F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).cast("int").alias("side"), *kept)
+    return pairs.repartition(group, "a", "b").sortWithinPartitions(group, "a", "b")
 
-def similar_links(prints: DataFrame, similarity: float = 0.8, radius: int = 16, tile: int = 8192) -> DataFrame:
-    """(src, dst) links connecting fingerprints of texts whose word-shingle sets are about `similarity` alike or more.
 
-    prints: (fp, size, sig). Sets that are 0.8 alike differ in about 10 of 64 bits, up to 16, which is too
-    many for bit blocks: here texts meet that agree in one of 16 runs of four signature bytes, which 0.8-alike
-    sets miss with a chance of 2 in 10,000. Each such bucket is compared exactly, by fingerprint within `radius` and, for
-    those near, by signature; one above `tile` texts is cut into tiles, so that no task gets it whole. Rows
-    grow as the input, and as the square only of a bucket of many tiles.
+def candidate_links(prints: DataFrame, similarity: float = 0.8, tile: int = 32768) -> DataFrame:
+    """(src, dst) links of a wide net: their components hold all pairs of texts that are `similarity` alike, and more.
+
+    prints: (node, size, sig), a row for each node. Texts meet that agree in one of 16 runs of four signature
+    bytes (0.8-alike sets miss with a chance of 2 in 10,000), and link when their sizes allow the similarity and
+    their signatures agree within four deviations of it. A bucket above `tile` texts is cut into tiles, so that no
+    task gets it whole. Rows grow as the input, and as the square only of a bucket of many tiles.
     """
-    least = F.min_by(F.struct("size", "sig"), F.struct("size", "sig")).alias("x")
-    one = stable(prints.groupBy("fp").agg(least).select("fp", "x.sig"))
     runs = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", i + 1, 4)) for i in range(0, SIGNATURE, 4)))
-    keyed = one.select("fp", F.explode(runs).alias("k"))
+    keyed = prints.select("node", F.explode(runs).alias("k"))
     shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = keyed.join(shared, "k").select("k", "fp", F.ceil(F.col("n") / tile).cast("long").alias("tiles")).join(one, "fp")
-    mine = F.pmod(F.xxhash64("fp"), F.col("tiles"))
-    dealt = met.select("k", "fp", "sig", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    rows = dealt.select("k", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "fp", "sig")
-    return rows.repartition("k", "a", "b").sortWithinPartitions("k", "a", "b").mapInArrow(_similar(radius, round(SIGNATURE * (similarity - 0.1))), "src long, dst long").distinct()
+    met = keyed.join(shared, "k").select("k", "node", F.ceil(F.col("n") / tile).cast("long").alias("tiles")).join(prints.select("node", "size", "sig"), "node")
+    return _dealt(met, "k", ("node", "size", "sig")).mapInArrow(_similar(similarity, least_matches(similarity)), "src long, dst long").distinct()
+
+
+def least_matches(similarity: float) -> int:
+    """Signature bytes in which sets of this similarity agree, less four standard deviations."""
+    return math.floor(SIGNATURE * similarity - 4 * math.sqrt(SIGNATURE * similarity * (1 - similarity)))
+
+
+def similar_links(texts: DataFrame, prints: DataFrame, width: int = 5, similarity: float = 0.8, cell: int = CELL) -> DataFrame:
+    """(src, dst) links that connect the nodes whose shingle sets have a Jaccard similarity of `similarity` or more.
+
+    prints: (node, k, th, size, sig), a row for each node; texts: (k, th, text), one text for each (k, th). The components
+    of candidate_links get their sets and are compared exactly; one with more than `cell` shingles is cut into tiles.
+    """
+    near = stable(prints.join(connected_components(candidate_links(prints, similarity)), "node").select("root", "node", "k", "th", "size", "sig"))
+    tiles = near.groupBy("root").agg(F.ceil(F.sum("size") / cell).cast("long").alias("tiles"))
+    asked = near.join(tiles, "root").select("k", "th", "root", "node", "size", "sig", F.greatest("tiles", F.lit(1)).alias("tiles"))
+    schema = "root long, node long, size long, sig binary, tiles long, set binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = [shingle_set(t, width).tobytes() for t in part.column(5).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(5)), pa.array(sets, pa.binary())], names=["root", "node", "size", "sig", "tiles", "set"])
+
+    held = texts.join(asked, ["k", "th"]).select("root", "node", "size", "sig", "tiles", "text").mapInArrow(run, schema)
+    return _dealt(held, "root", ("node", "size", "sig", "set")).mapInArrow(_similar(similarity, least_matches(similarity)), "src long, dst long").distinct()
 
 
 def first_of_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
@@ -282,20 +347,23 @@ def first_of_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, te
         for b in batches:
             texts = b.column(2).to_pylist()
             signed = [signature(t, width) for t in texts]
-            fps = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64)
+            nodes = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array([n for n, _ in signed], pa.int64()), pa.array([s for _, s in signed], pa.binary())], names=["k", "th", "fp", "size", "sig"]
+                [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array([n for n, _ in signed], pa.int64()), pa.array([s for _, s in signed], pa.binary())], names=["k", "th", "node", "size", "sig"]
             )
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = {"__lw_k": id_key(), "__lw_th": F.xxhash64(text)}
-    prints = stable(docs.select(id_key().alias("k"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "k long, th long, fp long, size long, sig binary"))
-    roots = connected_components(similar_links(prints, similarity))
-    firsts = prints.groupBy("fp").agg(F.min(F.struct("k", "th")).alias("first"), F.count(F.lit(1)).alias("n"))
-    rooted = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("root", "fp").alias("root"))
+    texts = docs.select(id_key().alias("k"), F.xxhash64(text).alias("th"), text.alias("text"))
+    prints = stable(texts.mapInArrow(run, "k long, th long, node long, size long, sig binary"))
+    repeated = not prints.groupBy("k", "th").count().where("count > 1").isEmpty()
+    firsts = stable(prints.groupBy("node").agg(F.min(F.struct("k", "th", "size", "sig")).alias("x")).select("node", "x.*"))
+    links = similar_links(texts.dropDuplicates(["k", "th"]) if repeated else texts, firsts, width, similarity)
+    roots = connected_components(links).withColumnRenamed("node", "of")
+    rooted = firsts.join(roots, F.col("node") == F.col("of"), "left").select(F.struct("k", "th").alias("first"), F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k").alias("__lw_k"), F.col("first.th").alias("__lw_th"))
     found = docs.withColumns(key).join(kept, ["__lw_k", "__lw_th"], "left_semi")
-    if not prints.groupBy("k", "th").count().where("count > 1").isEmpty():
+    if repeated:
         found = found.dropDuplicates(["__lw_k", "__lw_th"])
     return found.select(*docs.columns)
 

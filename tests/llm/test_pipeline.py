@@ -100,3 +100,22 @@ def test_near_copies_go(spark):
     df = spark.createDataFrame([(i if i else None, t, 1) for i, t in enumerate(texts)] + [(7, texts[7], 1)], "doc_id long, text string, fp int")
     got = sorted((r.doc_id if r.doc_id is not None else -1) for r in simhash.first_of_groups(df).collect())
     assert got == [-1, 3, 5, 7]
+
+
+def pair(n, shared, own):
+    """Two texts whose sets of five-word shingles have `shared` in common and `own` each to themselves."""
+    common = " ".join(f"c{n}x{i}" for i in range(shared + 4))
+    return [f"{common} {' '.join(f'{side}{n}x{i}' for i in range(own))}" for side in "ab"]
+
+
+@pytest.mark.parametrize(("shared", "own"), [(400, 50), (8, 1)])
+def test_pairs_at_true_similarity(spark, shared, own):
+    low = {400: 53, 8: 2}[shared]
+    texts = [t for n in range(300) for t in pair(n, shared, own)] + [t for n in range(300, 600) for t in pair(n, shared, low)]
+    sets = [set(simhash.shingles(t, 5)) for t in (*texts[:2], *texts[600:602])]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    assert jaccard(*sets[:2]) == 0.8 and jaccard(*sets[2:]) < 0.8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.first_of_groups(df).select("doc_id").collect()}
+    assert {i for i in range(600) if i % 2 == 0} | set(range(600, 1200)) <= kept
+    assert sum(i in kept for i in range(1, 600, 2)) <= 1
