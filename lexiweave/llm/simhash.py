@@ -65,7 +65,10 @@ _ODD = np.random.default_rng(11).integers(0, 1 << 63, SIGNATURE, dtype=np.uint64
 def signature(text: str | None, width: int) -> tuple[int, bytes]:
     """Number of distinct shingles, and 64 minima of keyed hashes cut to a byte each: texts share about the
     share of them that is their Jaccard similarity."""
-    hashes = np.fromiter({xxhash.xxh64_intdigest(s, 42) for s in shingles(text, width)}, dtype="<u8")
+    return _signature(shingle_set(text, width))
+
+
+def _signature(hashes: np.ndarray) -> tuple[int, bytes]:
     low = np.full(SIGNATURE, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, hashes.size, 8192):
         low = np.minimum(low, (hashes[at : at + 8192, None] * _ODD[None, :]).min(axis=0))
@@ -339,17 +342,19 @@ def similar_links(texts: DataFrame, prints: DataFrame, width: int = 5, similarit
 def first_of_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """docs without near copies: of each group of texts linked by similar_links or equal, the row with the smallest doc_id.
 
-    Same columns. Texts with one fingerprint are one text here; null and empty texts are, so one of them
-    stays. Of repeated rows one stays; a null doc_id counts as the smallest. An empty table stays empty.
+    Same columns. Texts with one set of shingles, by its digest, are one text here; null and empty texts are, so one of
+    them stays. Of repeated rows one stays; a null doc_id counts as the smallest. An empty table stays empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            signed = [signature(t, width) for t in texts]
-            nodes = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64)
+            nodes, signed = [], []
+            for t in b.column(2).to_pylist():
+                hashes = shingle_set(t, width)
+                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
+                signed.append(_signature(hashes))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array([n for n, _ in signed], pa.int64()), pa.array([s for _, s in signed], pa.binary())], names=["k", "th", "node", "size", "sig"]
+                [b.column(0), b.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64), pa.int64()), pa.array([n for n, _ in signed], pa.int64()), pa.array([s for _, s in signed], pa.binary())], names=["k", "th", "node", "size", "sig"]
             )
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -119,3 +119,14 @@ def test_pairs_at_true_similarity(spark, shared, own):
     kept = {r.doc_id for r in simhash.first_of_groups(df).select("doc_id").collect()}
     assert {i for i in range(600) if i % 2 == 0} | set(range(600, 1200)) <= kept
     assert sum(i in kept for i in range(1, 600, 2)) <= 1
+
+
+def test_repeated_lines(spark):
+    line = " ".join(f"l{i}" for i in range(11))
+    own = lambda n: " ".join(f"o{n}x{i}" for i in range(100))
+    apart = [f"{(line + ' ') * 60}{own(n)}" for n in range(2)]
+    base = " ".join(f"b{i}" for i in range(143)) + f" {line} {line}"
+    texts = [*apart, base, base + f" {line}" * 40]
+    assert simhash.fingerprint(apart[0], 5) == simhash.fingerprint(apart[1], 5)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.first_of_groups(df).select("doc_id").collect()) == [0, 1, 2]
