@@ -24,8 +24,8 @@ def count_tokens(docs: DataFrame, path: str, budget: int = LIMIT, text_col: str
     """`keep` columns and n_bytes, n_tokens, fits: the most leading code points within `budget` tokens.
 
     with_store adds `store`, binary: the int8 change of the token count at each code point, from which
-    prefix_counts() and truncation_point() answer any later budget. A text that only the library can
-    count (other scripts with special-token strings) has a null store. Null text counts as empty: 0
+    prefix_counts() and truncation_point() answer any later budget. A text whose pieces
+    cannot be aligned with the library's has a null store. Null text counts as empty: 0
     bytes, 0 tokens. One row for each row of docs; other columns are ignored.
     """
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("n_tokens", "long").add("fits", "long")

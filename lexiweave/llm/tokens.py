@@ -81,6 +81,9 @@ class WordTokens:
 
 
 _ODD_ASCII = re.compile(r"[^\t\n\r -~]|<\|")
+_BEYOND = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")
+#: White space as the tokenizers see it; Python's \s has some controls besides.
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 class PrefixCounts:
@@ -101,7 +104,9 @@ class PrefixCounts:
         shown = _byte_letters()
         back = {c: b for b, c in shown.items()}
         self.visible = str.maketrans({chr(b): c for b, c in shown.items()})
-        special = set(self.tokenizer.get_added_tokens_decoder())
+        added = self.tokenizer.get_added_tokens_decoder()
+        special = set(added)
+        self.added = re.compile("|".join(re.escape(t.content) for t in added.values()) or "(?!)")
         vocabulary = {bytes(back[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if i not in special}
         # A token that does not encode to itself stands in no encoding.
         self.token = {t: i for t, i in vocabulary.items() if self._encode(t) == [i]}
@@ -146,7 +151,20 @@ class PrefixCounts:
 
     def store(self, text: str) -> np.ndarray:
         """int8 change of the token count at each code point; its running sum is the count of each prefix."""
-        if _UNUSUAL.search(text):
+        if not self.added.search(text):
+            return self._store_plain(text)
+        parts, at = [], 0
+        for m in self.added.finditer(text):
+            # A prefix that ends inside the added token's string has that start of it as ordinary text.
+            part = self._store_plain(text[at : m.end() - 1])
+            inside = int(part[m.start() - at :].sum(dtype=np.int64))
+            parts += [part, np.array([1 - inside], dtype=part.dtype)]
+            at = m.end()
+        return np.concatenate([*parts, self._store_plain(text[at:])])
+
+    def _store_plain(self, text: str) -> np.ndarray:
+        """store() of a text without added tokens."""
+        if _BEYOND.search(text):
             return self._store_whole(text)
         if len(text) > 100_000:  # long runs without a break would make one very long piece
             pieces = [m.group() for m in self._PIECES.finditer(text)]
@@ -159,7 +177,7 @@ class PrefixCounts:
 
     def _mend_spaces(self, text: str, change: np.ndarray) -> np.ndarray:
         """A prefix that ends with a whole run of white space has the run as one piece."""
-        for m in re.finditer(r"\s{2,}(?=\S)", text):
+        for m in re.finditer(rf"{_SPACE}{{2,}}(?!{_SPACE}|\Z)", text):
             i = m.end() - 1  # the run's last code point, which the text splits off
             run = self.piece_counts(m.group().encode())[-1]
             short = self.piece_counts(m.group()[:-1].encode())[-1]
@@ -171,21 +189,20 @@ class PrefixCounts:
     def _store_whole(self, text: str) -> np.ndarray:
         """The library's own counts, for texts outside the known ranges: pieces by its own pre-tokenizer.
 
-        Counts of prefixes are those of the pieces' prefixes; a text with special tokens' strings, or where
-        pieces cannot be aligned, holds the library's whole count at its end.
+        Counts of prefixes are those of the pieces' prefixes; a text where pieces cannot be aligned holds the
+        library's whole count at its end.
         """
         total = len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         out = np.zeros(len(text), dtype=np.int8)
         at = 0
-        if "<|" not in text:
-            for shown, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
-                if a != at:
-                    break
-                out[a:b] = np.frombuffer(self._changes(text[a:b]), dtype=np.int8)
-                at = b
-                del shown
+        for shown, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
+            if a != at:
+                break
+            out[a:b] = np.frombuffer(self._changes(text[a:b]), dtype=np.int8)
+            at = b
+            del shown
         if at == len(text) and int(out.sum(dtype=np.int64)) == total:
-            return out
+            return self._mend_spaces(text, out)
         wide = np.zeros(len(text), dtype=np.int64)
         if len(text):
             wide[-1] = total

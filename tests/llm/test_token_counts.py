@@ -47,3 +47,13 @@ def test_counts_on_odd_rows(spark):
     assert [(r.n_bytes, r.n_tokens) for r in got] == [(len((t or "").encode()), library(t or "")) for _, t, _ in rows]
     assert prefix_counts(np.frombuffer(got[4].store, np.int8))[-1] == got[4].n_tokens and got[4].fits == 512 * 5 - 1
     assert count_tokens(spark.createDataFrame(rows, "doc_id long, text string, k int").limit(0), BYTES).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["it’s a\n\nb", "“x”  y — z\n\n\t'll go", "a <| b |> c", "if x <|> y:  z", "日本\u3000\u3000語  é\x1c\x1cb\xa0 c", "a<|endoftext|>b", "  <|endoftext|>  <|endoftext|><|endoftext|> it’s  <|end", "’ \n<|endoftext|>\n\n<|x"],
+)
+def test_every_prefix_of_special_and_unusual_texts(counter, text):
+    store = counter.store(text)
+    assert store.dtype == np.int8
+    assert prefix_counts(store).tolist() == [library(text[:i]) for i in range(len(text) + 1)]
