@@ -183,15 +183,18 @@ def surrogates(entities: DataFrame, secret: str, max_rounds: int = 40) -> DataFr
     """(kind, key, surrogate) for distinct (kind, key): one to one in each class of kinds, and never an original.
 
     In each round the undecided draw; a drawn value goes to its smallest key unless it is taken or is
-    itself an original key, and the others draw again. Work per round is a few joins on the undecided.
+    itself an original key, and the others draw again. Names are one class, whatever their script, gender and
+    place, and are compared in lower case, as their keys are. Work per round is a few joins on the undecided.
     """
-    space = F.split("kind", ":")[0]
+    first = F.split("kind", ":")[0]
+    space = F.when(first.isin("given", "family"), "name").otherwise(first)
+    form = F.when(F.col("space") == "name", F.lower("surrogate")).otherwise(F.col("surrogate")).alias("form")
     todo = stable(entities.select("kind", "key").distinct().withColumn("space", space).withColumn("attempt", F.lit(0)))
-    originals = todo.select("space", F.col("key").alias("surrogate"))
+    originals = todo.select("space", F.col("key").alias("form")).distinct()
     done = None
     for _ in range(max_rounds):
         drawn = todo.withColumn("surrogate", candidate(F.col("kind"), F.col("key"), F.col("attempt"), secret))
-        fresh = drawn.join(originals, ["space", "surrogate"], "left_anti")
+        fresh = drawn.withColumn("form", form).join(originals, ["space", "form"], "left_anti")
         if done is not None:
             fresh = fresh.join(done.select("space", "surrogate"), ["space", "surrogate"], "left_anti")
         won = fresh.groupBy("space", "surrogate").agg(F.min(F.struct("key", "kind")).alias("w")).select("space", F.col("w.kind").alias("kind"), F.col("w.key").alias("key"), "surrogate")

@@ -51,3 +51,11 @@ def test_small_spaces_stay_distinct(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
     other = pii.surrogates(spark.createDataFrame(rows, "kind string, key string"), "another").collect()
     assert sorted(map(tuple, other)) != sorted(map(tuple, got))
+
+
+def test_names_of_the_lists_are_never_drawn_where_they_are_originals(spark):
+    names = pii.GIVEN["latin", "f"]
+    text = ". ".join(f"Mrs {n} Stone" for n in names) + ". Mrs Alice Stone. Later " + " ".join(["Alice", *names])
+    out = pii.pseudonymize(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    full = re.findall(r"Mrs (\w+) \w+", out)
+    assert [full[-1], *full[:-1]] == out.split("Later ")[1].split() and not set(full) & set(names)
