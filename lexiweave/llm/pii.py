@@ -4,7 +4,8 @@ Each detected entity is reduced to parts (kind, key): the key is the value witho
 may vary, so mentions of one entity share it. Every distinct part gets a keyed surrogate of its
 kind (same length, letter case, script, separators; names keep gender and script), candidates are
 checked against each other and against all original keys, and losers draw again: surrogates stay
-distinct wherever originals are, and equal wherever they are equal, over the whole corpus.
+distinct wherever originals are, and equal wherever they are equal, over the whole corpus. A word of a
+name has one surrogate whatever title, place or gender a mention gives it.
 """
 
 from __future__ import annotations
@@ -46,28 +47,36 @@ _ALL_TITLES = [t for ts in TITLES.values() for t in ts]
 _TITLE = r"(?<!\p{L})(?:" + "|".join(_ALL_TITLES) + r")\.? "
 _KEYWORD = r"(?i:password|passwd|secret|token|api_?key) {0,2}[=:] {0,2}[\"']?"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
+# Small words inside family names.
+PARTICLES = ["van", "von", "der", "den", "de", "da", "di", "du", "del", "la", "le", "dos", "bin", "al", "zu", "ten"]
+_INITIALS = r"(?:\p{Lu}\. ?)"
+_MORE_NAME = rf"(?: (?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_INITIALS}{{0,3}}{_NAME})*+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
-# Kind and pattern of each entity; where two could start at one place, the earlier wins. Each starts with a
-# character class or word, so that most places of a text fail at once; titles and keywords belong to the match.
+# Kind and pattern of each entity; where two could start at one place, the earlier wins. Each starts with what makes
+# most places of a text fail at once; titles and keywords belong to the match.
 KINDS = [
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
-    ("secret", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
-    ("secret", rf"{_KEYWORD}[A-Za-z0-9_/+-]{{8,512}}"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("ip", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
-    ("phone", r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)"),
-    ("card", r"(?<![\d+.-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])"),
-    ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("name", rf"{_TITLE}{_NAME}(?: {_NAME})?"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
+    ("secret", r"A(?<![A-Za-z0-9]A)KIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
+    ("secret", rf"(?=[PpSsTtAa]){_KEYWORD}[A-Za-z0-9_/+-]{{8,}}+"),
+    ("iban", r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z]\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("ip", rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
+    ("phone", r"\+(?<![\d+]\+)\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\d)|\((?<!\d\()\d{3}\) ?\d{3}-\d{4}(?!\d)"),
+    ("card", r"[3-6](?<![\d+.-][3-6])\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])"),
+    ("ssn", r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
+    ("name", rf"(?=[{''.join(sorted({t[0] for t in _ALL_TITLES}))}]){_TITLE}{_INITIALS}{{0,3}}{_NAME}{_MORE_NAME}"),
 ]
 ENTITY = "|".join(f"(?:{p})" for _, p in KINDS)
-#: What any match has, cheap to look for: a digit, an at sign, a keyword's sign or a title.
-_HINT = rf"[0-9@=]|(?i:password|passwd|secret|token|api_?key) {{0,2}}:|(?:{'|'.join(_ALL_TITLES)})\.? \p{{Lu}}"
+#: What any match has, cheap to look for: a digit, an at sign, a keyword's sign, a key's head or a title.
+_HINT = rf"[0-9@=]|AKIA|(?i:password|passwd|secret|token|api_?key) {{0,2}}:|(?:{'|'.join(_ALL_TITLES)})\.? \p{{Lu}}"
 #: What stands before the value inside a match.
 _BEFORE = rf"^(?:{_KEYWORD}(?=[A-Za-z0-9_/+-]{{8}})|{_TITLE}(?=\p{{Lu}}))"
 
 _COMPACT = ("iban", "phone", "card", "ssn")
+#: Draws in the entity's own form; later ones are longer by a character for each further draw.
+OWN_FORM = 8
+#: Values drawn in one task.
+DRAWS = 4096
 
 
 def _kind_of(value: Column, after_title: Column) -> Column:
@@ -84,33 +93,33 @@ def _kind_of(value: Column, after_title: Column) -> Column:
     )
 
 
-def _hex(seed: Column, chars: Column) -> Column:
-    """At least two hex digits of keyed SHA-256 for each of `chars` characters."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(chars / 32).try_cast("int")), lambda j: F.sha2(F.concat_ws("|", seed, j.cast("string")), 256))
-    return F.array_join(blocks, "")
-
-
 def _byte(digest: Column, i: Column) -> Column:
     return F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).try_cast("int")
 
 
-def _like(value: Column, digest: Column, fixed: Column) -> Column:
-    """Each letter or digit of value past `fixed` characters replaced by one of its class."""
+def _like(value: Column, seed: Column, fixed: Column) -> Column:
+    """Each letter or digit of value past `fixed` characters replaced by one of its class, 32 characters a keyed SHA-256."""
     hexes = value.rlike("^(?=.*[a-f])[0-9a-f]{8,}$")
 
-    def one(c: Column, i: Column) -> Column:
-        b = _byte(digest, i)
-        pick = lambda s: F.substring(F.lit(s), b % len(s) + 1, F.lit(1))
-        return (
-            F.when(i < fixed, c)
-            .when(c.rlike("[0-9a-f]") & hexes, pick("0123456789abcdef"))
-            .when(c.rlike("[0-9]"), pick("0123456789"))
-            .when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz"))
-            .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-            .otherwise(c)
-        )
+    def block(j: Column) -> Column:
+        digest = F.sha2(F.concat_ws("|", seed, j.cast("string")), 256)
+
+        def one(c: Column, i: Column) -> Column:
+            b = _byte(digest, i)
+            pick = lambda s: F.substring(F.lit(s), b % len(s) + 1, F.lit(1))
+            return (
+                F.when(i + j * 32 < fixed, c)
+                .when(c.rlike("[0-9a-f]") & hexes, pick("0123456789abcdef"))
+                .when(c.rlike("[0-9]"), pick("0123456789"))
+                .when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz"))
+                .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+                .otherwise(c)
+            )
 
-    return F.array_join(F.transform(F.split(value, ""), one), "")
+        return F.array_join(F.transform(F.split(F.substring(value, j * 32 + 1, F.lit(32)), ""), one), "")
+
+    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.length(value) - 1, F.lit(0)) / 32).try_cast("int"))
+    return F.array_join(F.transform(blocks, block), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -134,76 +143,96 @@ def _pick(values: list[str], b: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), b % len(values) + 1)
 
 
-def candidate(kind: Column, key: Column, attempt: Column, secret: str) -> Column:
-    """The surrogate that the keyed hash draws for (kind, key) at this attempt."""
-    digest = _hex(F.concat_ws("|", F.lit(secret), kind, key, attempt.cast("string")), F.length(key))
-    free = _like(key, digest, F.when(key.rlike("^AKIA[0-9A-Z]{16}$"), 4).otherwise(0))
+def candidate(kind: Column, key: Column, role: Column, attempt: Column, secret: str) -> Column:
+    """The surrogate that the keyed hash draws for (kind, key) at this attempt; role is m, f, n or family for a name."""
+    seed = F.concat_ws("|", F.lit(secret), kind, key, attempt.cast("string"))
+    digest = F.sha2(seed, 256)
+    # Past the draws of its own form the value grows, so that no form runs out.
+    more = F.substring(F.translate(F.sha2(F.concat_ws("|", seed, F.lit("more")), 256), "abcdef", "012345"), F.lit(1), F.greatest(attempt - (OWN_FORM - 1), F.lit(0)))
+    free = F.concat(_like(key, seed, F.when(key.rlike("^AKIA[0-9A-Z]{16}$"), 4).otherwise(0)), more)
     octets = F.array_join(F.array(*((_byte(digest, F.lit(i)) % (223 if not i else 254) + 1).cast("string") for i in range(4))), ".")
-    domain = F.concat(_like(F.regexp_replace(key, r"\.[^.]+$", ""), digest, F.lit(0)), F.lit("."), F.substring_index(key, ".", -1))
-    number = _like(key, digest, F.when(kind == "card", 1).otherwise(0))
+    local = F.concat(_like(F.substring_index(key, "@", 1), seed, F.lit(0)), more)
+    host = _like(F.regexp_replace(F.substring_index(key, "@", -1), r"\.[^.]+$", ""), F.concat(seed, F.lit("|host")), F.lit(0))
+    email = F.concat(local, F.lit("@"), host, F.lit("."), F.substring_index(key, ".", -1))
+    number = _like(key, seed, F.when(kind == "card", 1).otherwise(0))
     body = F.substring(number, F.lit(1), F.length(number) - 1)
     check = (10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10
-    card = F.when(_luhn(key) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(number)
+    card = F.concat(F.when(_luhn(key) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(number), more)
     # A phone keeps its country code: the key has "+code|rest".
-    rest = _like(F.substring_index(key, "|", -1), digest, F.lit(0))
-    rest = F.concat((_byte(digest, F.lit(0)) % 8 + 2).cast("string"), F.substring(rest, 2, 32))
+    rest = _like(F.substring_index(key, "|", -1), seed, F.lit(0))
+    rest = F.concat((_byte(digest, F.lit(0)) % 8 + 2).cast("string"), F.substring(rest, 2, 32), more)
     phone = F.concat(F.substring_index(key, "|", 1), F.lit("|"), rest)
-    account = _like(key, digest, F.lit(4))
+    account = _like(key, seed, F.lit(4))
     blank = F.concat(F.substring(account, 1, 2), F.lit("00"), F.substring(account, 5, 64))
     iban = F.when(_mod97(key) == 1, F.concat(F.substring(account, 1, 2), F.lpad((98 - _mod97(blank)).cast("string"), 2, "0"), F.substring(account, 5, 64))).otherwise(account)
-    parts = F.split(kind, ":")
+    script = F.element_at(F.split(kind, ":"), -1)
 
     def made(script: str) -> Column:
         syllable = lambda i: _pick(SYLLABLES[script], _byte(digest, F.lit(i)))
-        more = F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda i: _pick(SYLLABLES[script], _byte(digest, i % 28 + 2))), "")
-        return F.initcap(F.concat(syllable(0), syllable(1), more))
+        further = F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda i: _pick(SYLLABLES[script], _byte(digest, i % 28 + 2))), "")
+        return F.initcap(F.concat(syllable(0), syllable(1), further))
 
-    names = reduce(
+    given = reduce(
         lambda a, sg: a.when(
-            (parts[1] == sg[0]) & (parts[2] == sg[1]),
+            (script == sg[0]) & (role == sg[1]),
             F.when(attempt < 3, _pick(GIVEN[sg], _byte(digest, F.lit(0)))).otherwise(F.concat(made(sg[0]), F.lit(ENDINGS[sg]))),
         ),
         GIVEN,
         F.when(F.lit(False), ""),
     )
-    family = reduce(lambda a, s: a.when(parts[1] == s, made(s)), SYLLABLES, F.when(F.lit(False), ""))
+    family = reduce(lambda a, s: a.when(script == s, made(s)), SYLLABLES, F.when(F.lit(False), ""))
     return (
-        F.when(kind == "email", domain)
+        F.when(kind == "email", email)
         .when(kind == "ip", octets)
         .when(kind == "card", card)
         .when(kind == "phone", phone)
         .when(kind == "iban", iban)
-        .when(parts[0] == "given", names)
-        .when(parts[0] == "family", family)
+        .when(kind == "ssn", F.concat(number, more))
+        .when(kind.startswith("name:"), F.when(role == "family", family).otherwise(given))
         .otherwise(free)
     )
 
 
-def surrogates(entities: DataFrame, secret: str, max_rounds: int = 40) -> DataFrame:
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """df over as many tasks as its draws ask for; an exchange that is small in bytes would end in one task."""
+    most = 8 * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(min(most, -(-rows // DRAWS)), "kind", "key")
+
+
+def surrogates(entities: DataFrame, secret: str, max_rounds: int = 64) -> DataFrame:
     """(kind, key, surrogate) for distinct (kind, key): one to one in each class of kinds, and never an original.
 
-    In each round the undecided draw; a drawn value goes to its smallest key unless it is taken or is
-    itself an original key, and the others draw again. Names are one class, whatever their script, gender and
-    place, and are compared in lower case, as their keys are. Work per round is a few joins on the undecided.
+    entities: (kind, key, role), role being given:m, given:f, given:n or family for kinds name:<script>, and ignored
+    for others. A name that any mention has as a given name is one, of the gender that its mentions agree on, else
+    of none. In each round the undecided draw; a drawn value goes to its smallest key unless it is taken or is itself
+    an original key, and the others draw again, after OWN_FORM draws in a longer form (but for IBANs and IP addresses,
+    whose form is fixed). Names are one class, whatever their script and place, and are compared in lower case, as
+    their keys are. Work per round is a few joins on the undecided. An error says that a fixed form has run out.
     """
-    first = F.split("kind", ":")[0]
-    space = F.when(first.isin("given", "family"), "name").otherwise(first)
+    is_name = F.col("kind").startswith("name:")
+    space = F.when(is_name, "name").otherwise(F.col("kind"))
     form = F.when(F.col("space") == "name", F.lower("surrogate")).otherwise(F.col("surrogate")).alias("form")
-    todo = stable(entities.select("kind", "key").distinct().withColumn("space", space).withColumn("attempt", F.lit(0)))
+    has = lambda r: F.coalesce(F.bool_or(F.col("role") == r), F.lit(False))
+    m, f, n = has("given:m"), has("given:f"), has("given:n")
+    role = F.when(m & ~f, "m").when(f & ~m, "f").when(m | n, "n").otherwise("family")
+    todo = stable(entities.groupBy("kind", "key").agg(role.alias("role")).withColumn("space", space).withColumn("attempt", F.lit(0)))
     originals = todo.select("space", F.col("key").alias("form")).distinct()
-    done = None
+    done, rows = None, todo.count()
     for _ in range(max_rounds):
-        drawn = todo.withColumn("surrogate", candidate(F.col("kind"), F.col("key"), F.col("attempt"), secret))
+        if not rows:
+            return done.select("kind", "key", "surrogate") if done is not None else todo.select("kind", "key", F.lit("").alias("surrogate"))
+        drawn = _dealt(todo, rows).withColumn("surrogate", candidate(F.col("kind"), F.col("key"), F.col("role"), F.col("attempt"), secret))
         fresh = drawn.withColumn("form", form).join(originals, ["space", "form"], "left_anti")
         if done is not None:
             fresh = fresh.join(done.select("space", "surrogate"), ["space", "surrogate"], "left_anti")
         won = fresh.groupBy("space", "surrogate").agg(F.min(F.struct("key", "kind")).alias("w")).select("space", F.col("w.kind").alias("kind"), F.col("w.key").alias("key"), "surrogate")
         won = stable(won)
         done = won if done is None else stable(done.unionByName(won))
-        todo = stable(todo.join(won, ["kind", "key"], "left_anti").withColumn("attempt", F.col("attempt") + 1).select("kind", "key", "space", "attempt"))
-        if todo.isEmpty():
-            return done.select("kind", "key", "surrogate")
-    raise RuntimeError(f"no distinct surrogates within {max_rounds} draws: a kind has too few values of its form")
+        todo = stable(todo.join(won, ["kind", "key"], "left_anti").withColumn("attempt", F.col("attempt") + 1).select("kind", "key", "role", "space", "attempt"))
+        rows = todo.count()
+    if rows:
+        raise RuntimeError(f"no distinct surrogates within {max_rounds} draws: a fixed form has too few values")
+    return done.select("kind", "key", "surrogate")
 
 
 def _script(value: Column) -> Column:
@@ -211,13 +240,17 @@ def _script(value: Column) -> Column:
 
 
 def _parts(kind: Column, value: Column, title: Column) -> Column:
-    """array<struct<kind, key>>: two for a given and a family name, else one."""
+    """array<struct<kind, key, role, value>>: one for each word of a name, else one."""
     gender = F.when(title.isin(TITLES["m"]), "m").when(title.isin(TITLES["f"]), "f").otherwise("n")
     tokens = F.split(value, " ")
-    first, last = F.element_at(tokens, 1), F.element_at(tokens, -1)
-    part = lambda k, v: F.struct(k.alias("kind"), v.alias("key"))
-    family = part(F.concat_ws(":", F.lit("family"), _script(last)), F.lower(last))
-    given = part(F.concat_ws(":", F.lit("given"), _script(first), gender), F.lower(first))
+    part = lambda k, v, r, m: F.struct(k.alias("kind"), v.alias("key"), r.alias("role"), m.alias("value"))
+
+    def word(t: Column, i: Column) -> Column:
+        role = F.when(i + 1 < F.size(tokens), F.concat(F.lit("given:"), gender)).otherwise("family")
+        kept = t.isin(PARTICLES) | ~t.rlike(r"\p{L}")
+        sort = F.when(kept, "keep").when(t.rlike(r"^(?:\p{Lu}\.)+$"), "initial").otherwise(F.concat(F.lit("name:"), _script(t)))
+        return part(sort, F.lower(t), role, t)
+
     bare = F.regexp_replace(value, r"[^0-9A-Za-z]", "")
     code = F.regexp_extract(value, r"^\+\d{1,3}?(?=[ .(-])|^\+\d", 0)
     key = (
@@ -226,56 +259,75 @@ def _parts(kind: Column, value: Column, title: Column) -> Column:
         .when(kind.isin("iban", "card", "ssn"), bare)
         .otherwise(value)
     )
-    return F.when(kind == "name", F.when(F.size(tokens) > 1, F.array(given, family)).otherwise(F.array(family))).otherwise(F.array(part(kind, key)))
+    return F.when(kind == "name", F.transform(tokens, word)).otherwise(F.array(part(kind, key, F.lit(None).cast("string"), value)))
 
 
 def _render(kind: Column, value: Column, surrogate: Column) -> Column:
     """The surrogate in the form of this mention: its separators and its letter case."""
     chars = F.split(value, "")
     compact = F.when(kind == "phone", F.regexp_replace(surrogate, r"[+|]", "")).otherwise(surrogate)
+    places = F.length(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
     spread = F.array_join(
         F.transform(chars, lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(compact, F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), "[^0-9A-Za-z]", "")), F.lit(1))).otherwise(c)), ""
     )
-    cased = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substring(surrogate, i + 1, F.lit(1)))).otherwise(F.substring(surrogate, i + 1, F.lit(1)))), "")
+    spread = F.concat(spread, F.substring(compact, places + 1, F.length(compact)))
+    # An email's local part may have grown: the letter case is that of its first characters and of its host.
+    grown = F.length(surrogate) - F.length(value)
+    local = F.length(F.substring_index(value, "@", 1))
+    under = F.concat(F.substring(value, F.lit(1), local), F.repeat(F.lit("0"), grown), F.substring(value, local + 1, F.length(value)))
+    cased = F.array_join(F.transform(F.split(under, ""), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substring(surrogate, i + 1, F.lit(1)))).otherwise(F.substring(surrogate, i + 1, F.lit(1)))), "")
     shout = (F.upper(value) == value) & (F.length(value) > 1)
     return (
         F.when(kind == "email", cased)
         .when(kind.isin(*_COMPACT), spread)
-        .when(kind.startswith("given") | kind.startswith("family"), F.when(shout, F.upper(surrogate)).otherwise(surrogate))
+        .when(kind.startswith("name:"), F.when(shout, F.upper(surrogate)).otherwise(surrogate))
         .otherwise(surrogate)
     )
 
 
+def _other_initials(value: Column, secret: str) -> Column:
+    """Each Latin capital of a run of initials moved on by a keyed number of letters, 1 to 25; others become X."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    by = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(secret), F.lit("initial"), value), 256), 1, 4), 16, 10).try_cast("int") % 25 + 1
+    at = lambda c: F.instr(F.lit(letters), c)
+    return F.array_join(F.transform(F.split(value, ""), lambda c: F.when(c == ".", c).when(at(c) > 0, F.substring(F.lit(letters), (at(c) - 1 + by) % 26 + 1, F.lit(1))).otherwise("X")), "")
+
+
 def pseudonymize(docs: DataFrame, secret: str = "lexiweave", text_col: str = "text") -> DataFrame:
     """docs with surrogates in text_col, and columns n_entities (int) and entity_kinds (sorted, comma-joined).
 
-    Texts without entities pass through as they are and are not shuffled. Null text stays null with
-    no entities; so does a row with null id. Rows with equal id and text change equally and come out
-    once each. Other columns are kept, but one named n_entities or entity_kinds is replaced; an empty
-    table gives an empty result.
+    A name is what follows one of TITLES: any number of capitalised words, with initials and particles between
+    them; names without a title are not seen, but where one of the same text has its words. Texts without
+    entities pass through as they are and are not shuffled. Null text stays null with no entities; so does a row
+    with null id. Rows with equal id and text change equally and come out once each. Other columns are kept,
+    but one named n_entities or entity_kinds is replaced; an empty table gives an empty result.
     """
     docs = docs.drop("n_entities", "entity_kinds")
-    k, th, txt = "__lw_k", "__lw_th", F.col(text_col)
+    k, th, found_col, txt = "__lw_k", "__lw_th", "__lw_found", F.col(text_col)
     has = F.coalesce(txt.rlike(_HINT) & txt.rlike(ENTITY), F.lit(False))
     names = docs.columns
     plain = docs.where(~has).select(*(F.col(c) for c in names), F.lit(0).alias("n_entities"), F.lit("").alias("entity_kinds"))
     idc = id_key("doc_id") if "doc_id" in names else F.lit(0).cast("long")
-    hit = docs.where(has).withColumns({k: idc, th: F.xxhash64(txt)})
-    gaps = F.split(txt, ENTITY, -1)
-    found = hit.select(k, th, F.posexplode(F.regexp_extract_all(txt, F.lit(ENTITY), F.lit(0))).alias("pos", "match"))
+    # Texts with entities are settled with their matches, so that all later steps search nothing again.
+    every = F.when(txt.rlike(_HINT), F.regexp_extract_all(txt, F.lit(ENTITY), F.lit(0)))
+    hit = stable(docs.withColumns({k: idc, th: F.xxhash64(txt), found_col: every}).where(F.size(found_col) > 0))
+    found = hit.select(k, th, F.posexplode(found_col).alias("pos", "match"))
     found = found.distinct().withColumn("before", F.regexp_extract("match", _BEFORE, 0)).withColumn("value", F.substring("match", F.length("before") + 1, F.length("match")))
     titled = F.col("before").rlike(r"^(?:" + "|".join(_ALL_TITLES) + r")\.? $")
     found = found.withColumn("title", F.when(titled, F.regexp_extract("before", r"^\p{L}+", 0)).otherwise(""))
     found = found.withColumn("kind", F.when(~titled & (F.col("before") != ""), "secret").otherwise(_kind_of(F.col("value"), titled)))
-    pieces = found.select(k, th, "pos", "kind", "before", "value", F.posexplode(_parts(F.col("kind"), F.col("value"), F.col("title"))).alias("sub", "part"))
-    mention = F.when(F.col("kind") == "name", F.get(F.split("value", " "), F.col("sub"))).otherwise(F.col("value"))
-    pieces = stable(pieces.select(k, th, "pos", "sub", "before", F.col("kind").alias("label"), F.col("part.kind").alias("kind"), F.col("part.key").alias("key"), mention.alias("value")))
-    known = surrogates(pieces, secret)
-    rendered = pieces.join(known, ["kind", "key"]).withColumn("new", _render(F.col("kind"), F.col("value"), F.col("surrogate")))
-    is_name = F.col("label") == "name"
+    pieces = found.select(k, th, "pos", F.col("kind").alias("label"), "before", F.posexplode(_parts(F.col("kind"), F.col("value"), F.col("title"))).alias("sub", "part"))
+    pieces = stable(pieces.select(k, th, "pos", "sub", "before", "label", "part.*"))
+    drawn = ~F.col("kind").isin("keep", "initial")
+    known = surrogates(pieces.where(drawn).select("kind", "key", "role"), secret)
+    rendered = pieces.where(drawn).join(known, ["kind", "key"]).withColumn("new", _render(F.col("kind"), F.col("value"), F.col("surrogate"))).drop("surrogate")
+    kept = F.when(F.col("kind") == "keep", F.col("value")).otherwise(_other_initials(F.col("value"), secret))
+    rendered = rendered.unionByName(pieces.where(~drawn).withColumn("new", kept))
+    mention = F.struct("value", "new")
+    shouted = F.struct(F.upper("value").alias("value"), F.upper("new").alias("new"))
     whole = rendered.groupBy(k, th, "pos", "label", "before").agg(
         F.concat("before", F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub", "new"))), lambda x: x["new"]), " ")).alias("new"),
-        F.collect_list(F.when(is_name & (F.length("value") > 2), F.struct("value", "new"))).alias("names"),
+        F.flatten(F.collect_list(F.when(F.col("kind").startswith("name:"), F.array(mention, shouted)))).alias("names"),
     )
     lists = whole.groupBy(k, th).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]).alias("__lw_new"),
@@ -283,10 +335,11 @@ def pseudonymize(docs: DataFrame, secret: str = "lexiweave", text_col: str = "te
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("entity_kinds"),
         F.array_distinct(F.flatten(F.collect_list("names"))).alias("__lw_names"),
     )
-    # Later bare mentions of a name found in the same text take the same surrogate.
+    # Bare mentions of a name found in the same text take the same surrogate; no surrogate is an original, so none is replaced again.
     spread = lambda g: F.aggregate(
         "__lw_names", g, lambda acc, n: F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), n["value"], F.lit(r"\E(?![\p{L}\p{N}])")), n["new"])
     )
+    gaps = F.split(txt, ENTITY, -1)
     pieces_of = F.transform(gaps, lambda g, i: F.concat(F.when(F.size("__lw_names") > 0, spread(g)).otherwise(g), F.coalesce(F.get("__lw_new", i), F.lit(""))))
     changed = hit.join(lists, [k, th]).withColumn(text_col, F.array_join(pieces_of, ""))
     return plain.unionByName(changed.select(*names, "n_entities", "entity_kinds"))
