@@ -1,15 +1,18 @@
 """Substring deduplication by content-defined chunks.
 
-A gear rolling hash over the last 16 bytes marks cut points wherever it falls under a threshold, so
-cuts depend on content alone: an insertion moves only the cuts near it, and a passage that two
-documents share is cut alike in both but for its rim. Chunks are compared by 64-bit digest over the
-whole corpus; a chunk that stands in two documents is repeated, and a run of repeated chunks of at least
-`min_words` words is a repeated passage (so a chance collision of digests alone makes none). The
-document with the smallest id keeps its copy of a chunk; later copies can be cut.
+A gear rolling hash over the last 16 bytes marks candidates for cuts wherever it falls under a threshold;
+a chunk ends at the first candidate LEAST to MOST bytes from its start, else at MOST bytes. LEAST is the
+hash's span, so once two texts are cut at the same place of a shared passage they are cut alike up to its end,
+and an insertion moves only the cuts near it. From each chunk on, the shortest run of whole chunks with at
+least `min_words` words is compared over the whole corpus by the 64-bit digest of its bytes: a run that stands
+in two documents is repeated as a whole, so each repeated passage has one partner for `min_words` words in a row at
+every place. Overlapping runs join to passages. The document with the smallest id keeps its copy of a
+run; later copies can be cut. Repeats inside one document are left alone.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +24,13 @@ from pyspark.sql.window import Window
 
 from .common import id_key
 
-AVERAGE = 24
-MIN_WORDS = 24
 _SPAN = 16
+LEAST = _SPAN
+AVERAGE = 32
+MOST = 512
+MIN_WORDS = 24
+#: Bytes hashed at a time.
+STEP = 1 << 20
 
 
 def gear_table(seed: int = 20) -> np.ndarray:
@@ -46,83 +53,101 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut_points(raw: bytes, average: int = AVERAGE) -> np.ndarray:
+def candidates(raw: bytes, average: int = AVERAGE) -> list[int]:
+    """Ends of the bytes whose gear hash is under the threshold: one in average - LEAST."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    under = np.uint32((1 << 32) // max(1, average - LEAST) - 1)
+    found = []
+    for at in range(0, data.size, STEP):
+        lead = min(at, _SPAN - 1)
+        found.append(np.flatnonzero(gear_hashes(data[at - lead : at + STEP])[lead:] <= under) + at + 1)
+    return np.concatenate(found).tolist() if found else []
+
+
+def cut_points(raw: bytes, average: int = AVERAGE, most: int = MOST) -> np.ndarray:
     """Ends of the chunks of raw, the last being its length."""
-    if not raw:
-        return np.zeros(0, dtype=np.int64)
-    cuts = np.flatnonzero(gear_hashes(np.frombuffer(raw, dtype=np.uint8)) < (1 << 32) // average) + 1
-    return cuts if cuts.size and cuts[-1] == len(raw) else np.append(cuts, len(raw))
+    ends, at, i, n = [], 0, 0, len(raw)
+    cuts = candidates(raw, average)
+    while at < n:
+        i = bisect_left(cuts, at + LEAST, i)
+        at = min(cuts[i] if i < len(cuts) else n, at + most, n)
+        ends.append(at)
+    return np.array(ends, dtype=np.int64)
+
 
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-def chunks(docs: DataFrame, average: int = AVERAGE, text_col: str = "text", places: bool = True) -> DataFrame:
-    """(digest, k) of every chunk, and with places (th, start, bytes, words): text hash, place and size.
 
-    k is the id, nulls on the smallest long. Null and empty texts have no chunks.
+def runs_of(raw: bytes, average: int = AVERAGE, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the shortest run of chunks with min_words words (white-space bytes) from each chunk on."""
+    ends = cut_points(raw, average)
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: ends.size]
+    spaces = np.flatnonzero(_IS_SPACE[np.frombuffer(raw, dtype=np.uint8)])
+    before = np.searchsorted(spaces, starts)
+    last = np.searchsorted(np.searchsorted(spaces, ends), before + min_words)  # first chunk by whose end there are enough
+    whole = last < ends.size
+    return starts[whole], ends[last[whole]]
+
+
+def runs(docs: DataFrame, average: int = AVERAGE, min_words: int = MIN_WORDS, text_col: str = "text", places: bool = True) -> DataFrame:
+    """(digest, k) of every run, and with places (th, start, end): text hash and place in bytes.
+
+    k is the id, nulls on the smallest long. Texts of fewer words, null and empty ones have no runs.
     """
-    names = ["digest", "k", *(("th", "start", "bytes", "words") if places else ())]
+    names = ["digest", "k", *(("th", "start", "end") if places else ())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spaces = np.zeros(256, dtype=np.int32)
-        spaces[[9, 10, 11, 12, 13, 32]] = 1
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                raws = [t.as_py().encode("utf-8", "surrogatepass") for t in part.column(2)]
-                cuts = [cut_points(raw, average) for raw in raws]
-                sizes = np.array([c.size for c in cuts])
-                ends = np.concatenate(cuts)
-                begins = np.concatenate([[0], ends[:-1]])
-                begins[np.cumsum(sizes)[:-1][sizes[1:] > 0]] = 0
-                digests, at_chunk, spans = [], 0, list(zip(begins.tolist(), ends.tolist(), strict=True))
-                for raw, n in zip(raws, sizes.tolist(), strict=True):
-                    digests += [digest(raw[x:y]) for x, y in spans[at_chunk : at_chunk + n]]
-                    at_chunk += n
-                row = np.repeat(np.arange(len(raws)), sizes)
-                arrays = [pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), part.column(0).take(pa.array(row))]
+            at = 0
+            while at < b.num_rows:
+                digests, found, rows, size = [], [], [], 0
+                while at < b.num_rows and len(rows) < 256 and size < STEP:
+                    raw = b.column(2)[at].as_py().encode("utf-8", "surrogatepass")
+                    starts, ends = runs_of(raw, average, min_words)
+                    digests += [digest(raw[x:y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    found.append((starts, ends))
+                    rows.append(at)
+                    size += len(raw)
+                    at += 1
+                row = pa.array(np.repeat(rows, [s.size for s, _ in found]))
+                arrays = [pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), b.column(0).take(row)]
                 if places:
-                    gaps = np.concatenate([[0], np.cumsum(spaces[np.frombuffer(b"".join(raws), dtype=np.uint8)])])
-                    offset = np.concatenate([[0], np.cumsum([len(r) for r in raws])])[row]
-                    numbers = (begins, ends - begins, gaps[offset + ends] - gaps[offset + begins])
-                    arrays += [part.column(1).take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in numbers)]
+                    arrays += [b.column(1).take(row), *(pa.array(np.concatenate([x[i] for x in found])) for i in (0, 1))]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     text = F.col(text_col).cast("string")
-    schema = "digest long, k long" + (", th long, start int, bytes int, words int" if places else "")
+    schema = "digest long, k long" + (", th long, start long, end long" if places else "")
     return docs.where(F.length(text) > 0).select(id_key().alias("k"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, schema)
 
 
 def repeated_passages(docs: DataFrame, average: int = AVERAGE, min_words: int = MIN_WORDS, text_col: str = "text") -> DataFrame:
-    """(k, th, start, bytes, words, kept_bytes, first_k): each run of repeated chunks of at least min_words words.
+    """(k, th, start, bytes, removable_bytes, first_k) of each passage: repeated runs that overlap or touch.
 
-    A chunk is repeated when its digest stands under two or more ids. kept_bytes counts the run's chunks
-    of which this id is the first, first_k is the smallest id with one of its chunks.
+    A run is repeated when its digest stands under two or more ids. removable_bytes are those of runs of which another
+    id is the first, first_k is the smallest id with one of its runs.
     """
-    ids = chunks(docs, average, text_col, places=False).groupBy("digest").agg(F.min("k").alias("first_k"), F.max("k").alias("last_k"))
+    ids = runs(docs, average, min_words, text_col, places=False).groupBy("digest").agg(F.min("k").alias("first_k"), F.max("k").alias("last_k"))
     repeated = ids.where("first_k < last_k").select("digest", "first_k")
-    found = chunks(docs, average, text_col).join(repeated, "digest").select("k", "th", "start", "bytes", "words", "first_k")
-    # One exchange by document: repeats of a row go, and a run ends where the next chunk does not begin at once.
-    one = Window.partitionBy("k", "th").orderBy("start")
-    found = found.withColumn("end", F.lag(F.col("start") + F.col("bytes")).over(one)).where(F.col("end").isNull() | (F.col("end") <= F.col("start")))
-    runs = found.withColumn("run", F.sum(F.when(F.col("end") == F.col("start"), 0).otherwise(1)).over(one))
-    return (
-        runs.groupBy("k", "th", "run")
-        .agg(
-            F.min("start").alias("start"),
-            F.sum("bytes").alias("bytes"),
-            F.sum("words").alias("words"),
-            F.sum(F.when(F.col("first_k") == F.col("k"), F.col("bytes")).otherwise(0)).alias("kept_bytes"),
-            F.min("first_k").alias("first_k"),
-        )
-        .where(F.col("words") >= min_words)
-        .drop("run")
-    )
+    found = runs(docs, average, min_words, text_col).join(repeated, "digest").select("k", "th", "start", "end", "first_k")
+    # One exchange by document; a repeated row adds nothing to what its first copy covers.
+    before = Window.partitionBy("k", "th").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    later = F.col("first_k") < F.col("k")
+    found = found.withColumns({"so_far": F.max("end").over(before), "cut": F.max(F.when(later, F.col("end"))).over(before)})
+    added = lambda c: F.greatest(F.col("end") - F.greatest("start", F.coalesce(c, F.lit(0))), F.lit(0))
+    new = F.when(F.col("so_far").isNull() | (F.col("start") > F.col("so_far")), 1).otherwise(0)
+    numbered = found.withColumns({"new": new, "bytes": added("so_far"), "less": F.when(later, added("cut")).otherwise(0)})
+    numbered = numbered.withColumn("passage", F.sum("new").over(Window.partitionBy("k", "th").orderBy("start", "end")))
+    return numbered.groupBy("k", "th", "passage").agg(
+        F.min("start").alias("start"), F.sum("bytes").alias("bytes"), F.sum("less").alias("removable_bytes"), F.min("first_k").alias("first_k")
+    ).drop("passage")
 
 
 def documents_with_repeats(docs: DataFrame, average: int = AVERAGE, min_words: int = MIN_WORDS, text_col: str = "text") -> DataFrame:
     """One row for each document that holds a repeated passage: doc_id, n_passages, repeated_bytes,
     removable_bytes (of copies whose first document is another), spans (array of start, bytes in UTF-8) and
-    first_doc_id (the smallest id that shares one of its passages' chunks).
+    first_doc_id (the smallest id that shares one of its runs).
 
     Documents without a repeated passage have no row; null and empty texts have none. Repeats of a
     row are one document and give one row; rows of one id with unlike texts give one each; a null
@@ -133,7 +158,7 @@ def documents_with_repeats(docs: DataFrame, average: int = AVERAGE, min_words: i
     rows = found.groupBy("k", "th").agg(
         F.count(F.lit(1)).alias("n_passages"),
         F.sum("bytes").alias("repeated_bytes"),
-        F.sum(F.col("bytes") - F.col("kept_bytes")).alias("removable_bytes"),
+        F.sum("removable_bytes").alias("removable_bytes"),
         F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias("spans"),
         F.min("first_k").alias("first_k"),
     )

@@ -5,14 +5,17 @@ import numpy as np
 from lexiweave.llm import chunk_dedup as cd
 
 
-def slow_cuts(raw, average):
-    out = []
+def slow_cuts(raw, average=cd.AVERAGE):
+    """Chunk ends by the recurrence, byte by byte."""
+    out, start = [], 0
     for t in range(len(raw)):
         h = 0
         for b in raw[max(0, t - 15) : t + 1]:
             h = (2 * h + int(cd._GEAR[b])) % (1 << 32)
-        if h < (1 << 32) // average or t == len(raw) - 1:
+        n = t + 1 - start
+        if n >= cd.LEAST and h < (1 << 32) // (average - cd.LEAST) or n == cd.MOST or t == len(raw) - 1:
             out.append(t + 1)
+            start = t + 1
     return out
 
 
@@ -23,34 +26,48 @@ def prose(rng, n):
 def test_cuts_match_the_recurrence_and_resist_shifts():
     rng = random.Random(1)
     raw = prose(rng, 300).encode()
-    assert cd.cut_points(raw).tolist() == slow_cuts(raw, cd.AVERAGE)
+    assert cd.cut_points(raw).tolist() == slow_cuts(raw)
     moved = b"inserted words " + raw
     same = set((cd.cut_points(raw) + 15).tolist()) & set(cd.cut_points(moved).tolist())
-    assert len(same) >= len(cd.cut_points(raw)) - 2
+    assert len(same) >= len(cd.cut_points(raw)) - 4
     assert cd.cut_points(b"").size == 0 and cd.cut_points(b"x").tolist() == [1]
+    for constant in (b"a" * 5000, b" " * 5000, b"\0" * 5000):
+        assert cd.cut_points(constant).tolist() == slow_cuts(constant) and np.diff(cd.cut_points(constant)).min() >= 1
+    long = rng.randbytes(3 * cd.STEP // 2 + 7)
+    whole = np.flatnonzero(cd.gear_hashes(np.frombuffer(long, dtype=np.uint8)) <= (1 << 32) // 16 - 1) + 1
+    assert cd.candidates(long) == whole.tolist()
 
 
-def brute(rows, min_words):
-    seen, cuts = {}, {}
+def test_threshold_spread():
+    raw = np.random.default_rng(0).integers(97, 123, 200_000, dtype=np.uint8).tobytes()
+    sizes = np.diff(cd.cut_points(raw))
+    assert cd.LEAST <= sizes[:-1].min() and sizes.max() <= cd.MOST and 0.9 < sizes.mean() / cd.AVERAGE < 1.1
+
+
+def brute(rows, min_words=cd.MIN_WORDS):
+    """For each id the covered spans: byte strings of whole chunks with enough words, searched in all other texts' chunks."""
+    seen, own = {}, {}
     for k, t in rows:
         raw = t.encode()
-        ends = slow_cuts(raw, cd.AVERAGE)
-        cuts[k] = [(a, b, raw[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
-        for _, _, c in cuts[k]:
-            seen.setdefault(c, set()).add(k)
+        ends = slow_cuts(raw)
+        starts = [0, *ends[:-1]]
+        for i, a in enumerate(starts):
+            for b in ends[i:]:
+                if sum(x in b"\t\n\v\f\r " for x in raw[a:b]) >= min_words:
+                    seen.setdefault(raw[a:b], set()).add(k)
+                    own.setdefault(k, []).append((a, b))
+                    break
     out = {}
-    for k, cs in cuts.items():
-        spans, run = [], None
-        for a, b, c in [*cs, (0, 0, None)]:
-            if c is not None and len(seen[c]) > 1:
-                w = sum(x in b"\t\n\v\f\r " for x in c)
-                run = (run[0], run[1] + b - a, run[2] + w) if run else (a, b - a, w)
+    for k, t in rows:
+        covered = sorted(s for s in own.get(k, []) if len(seen[t.encode()[s[0] : s[1]]]) > 1)
+        spans = []
+        for a, b in covered:
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], b)
             else:
-                if run and run[2] >= min_words:
-                    spans.append(run[:2])
-                run = None
+                spans.append([a, b])
         if spans:
-            out[k] = spans
+            out[k] = [(a, b - a) for a, b in spans]
     return out
 
 
@@ -65,17 +82,29 @@ def test_planted_passages(spark):
     for i in range(45, 60):
         rows[i] = (i, line + "\n" + rows[i][1])
     odd = [(900, None), (901, ""), (None, rows[21][1]), rows[22]]
-    df = spark.createDataFrame([(k, t, 1) for k, t in rows + odd], "doc_id long, text string, n int")
+    df = spark.createDataFrame([(k, t, 1) for k, t in rows + odd], "doc_id long, text string, start int")
     got = {r.doc_id: r for r in cd.documents_with_repeats(df).collect()}
-    want = brute([*rows, (-1, rows[21][1])], cd.MIN_WORDS)
+    want = brute([*rows, (-1, rows[21][1])])
     assert {k if k is not None else -1: [tuple(s) for s in r.spans] for k, r in got.items()} == want
     assert set(got) == {None, *range(20, 40)}
-    assert got[30].removable_bytes > 200 and got[30].first_doc_id is None
+    assert got[30].removable_bytes > 200 and got[30].first_doc_id is None and got[None].removable_bytes == 0
+    assert all(r.repeated_bytes == sum(s.bytes for s in r.spans) and r.n_passages == len(r.spans) for r in got.values())
     assert cd.documents_with_repeats(df.limit(0)).count() == 0
     assert cd.documents_with_repeats(df.where("doc_id < 20")).count() == 0
 
 
-def test_threshold_spread():
-    rng = np.random.default_rng(0)
-    raw = rng.integers(97, 123, 200_000, dtype=np.uint8).tobytes()
-    assert 0.9 < len(cd.cut_points(raw)) / (len(raw) / cd.AVERAGE) < 1.1
+def test_short_overlaps_with_many_partners_are_no_passage(spark):
+    """Sixteen words in a row with each of five others, one after the other, never more with any one."""
+    rng = random.Random(4)
+    parts = [prose(rng, 16) for _ in range(5)]
+    rows = [(i, prose(rng, 40) + " " + p + " " + prose(rng, 40)) for i, p in enumerate(parts)] + [(9, " ".join(parts))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert cd.documents_with_repeats(df).count() == 0
+
+
+def test_long_and_constant_texts(spark):
+    rng = random.Random(5)
+    long = prose(rng, 40_000)
+    rows = [(1, long), (2, "head " + long), (3, "a " * 50_000), (4, "a " * 30_000), (5, "b" * 200_000), (6, "b" * 200_000)]
+    got = {r.doc_id: r for r in cd.documents_with_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[2].removable_bytes > 0.99 * len(long.encode()) and got[1].removable_bytes == 0
