@@ -10,11 +10,13 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Callable
+from sys import getsizeof
 
 import numpy as np
 
-#: Entries of a cache: some 200 bytes each, so under 200 MB for a Python worker.
+#: Entries of a cache, and the bytes of its keys and values; whichever comes first empties it.
 CACHE = 800_000
+CACHE_BYTES = 150 << 20
 
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 #: Anything else sends the text to the library: other scripts, controls, special tokens.
@@ -37,16 +39,21 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Cache(dict):
-    """Values of `make` by key; emptied when full, so its memory is bounded."""
+    """Values of `make` by key; emptied when full in entries or bytes, so its memory is bounded."""
 
-    def __init__(self, make: Callable, most: int = CACHE):
+    def __init__(self, make: Callable, most: int = CACHE, most_bytes: int = CACHE_BYTES):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.most_bytes, self.held = make, most, most_bytes, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.make(key)
+        size = getsizeof(key) + getsizeof(value)
+        if len(self) >= self.most or self.held + size > self.most_bytes:
             self.clear()
-        value = self[key] = self.make(key)
+            self.held = 0
+        if size <= self.most_bytes // 1024:  # one long piece does not push the others out
+            self[key] = value
+            self.held += size
         return value
 
 
