@@ -1,14 +1,16 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages (its lines, long ones cut every 60 words). Each passage is encoded
-as a vector of counts and shares; a gated attention layer, learned from document labels alone, weighs the
-passages, and the weighted mean of their hidden vectors gives the document's score. The encoder and
-the network see nothing but the text. Training runs on the driver over a bounded sample of labelled
-rows; scoring is one pass over all texts without a shuffle.
+as a vector: counts and shares of characters and repeats, and hashed bags of its words and of its byte
+trigrams. A gated attention layer, learned from document labels alone, weighs the passages, and the weighted mean of their
+hidden vectors gives the document's score. The encoder and the network see nothing but the text. Training
+runs on the driver over a bounded sample of labelled rows with a bounded number of passages each; scoring
+takes all passages of all texts, in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 PASSAGE_WORDS = 60
+#: Bounds of the training sample, rows and passages of a row; at 2 bytes a feature it has 60 MB at most.
 TRAIN_ROWS = 6000
+TRAIN_PASSAGES = 32
+WORD_BINS = 64
+GRAM_BINS = 64
 THRESHOLD = 0.3
 
 # Character classes by byte: shares of each are features of a passage.
@@ -28,7 +34,22 @@ _CLASS = np.full(256, len(_CLASSES), dtype=np.uint8)
 for _i, _chars in enumerate(_CLASSES):
     _CLASS[list(_chars)] = _i
 _N_CLASSES = len(_CLASSES) + 1
-WIDTH = _N_CLASSES + 9
+WIDTH = _N_CLASSES + 9 + WORD_BINS + GRAM_BINS
+
+
+class _Bins(dict):
+    """The bin of each lower-cased word, remembered for short words; emptied when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = zlib.crc32(word.lower()) % WORD_BINS
+        if len(word) <= 32:
+            if len(self) >= 500_000:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_BINS = _Bins()
 
 
 def passages(text: str | None) -> list[list[bytes]]:
@@ -47,7 +68,8 @@ def encode(bag: list[list[bytes]]) -> np.ndarray:
     joined = [b" ".join(w) for w in bag]
     lengths = np.array([len(j) for j in joined])
     at = np.repeat(np.arange(n), lengths)
-    kinds = _CLASS[np.frombuffer(b"".join(joined), dtype=np.uint8)]
+    raw = np.frombuffer(b"".join(joined), dtype=np.uint8)
+    kinds = _CLASS[raw]
     share = np.bincount(at * _N_CLASSES + kinds, minlength=n * _N_CLASSES).reshape(n, _N_CLASSES) / np.maximum(lengths, 1)[:, None]
     seen: set[bytes] = set()
     unique = np.empty(n)
@@ -61,7 +83,14 @@ def encode(bag: list[list[bytes]]) -> np.ndarray:
     most = np.maximum(sizes, 1)
     letters = share[:, 0] + share[:, 1]
     more = [sizes / PASSAGE_WORDS, np.log1p(sizes) / 4, lengths / most / 12, unique / most, twins / most, again, share[:, 0] / np.maximum(letters, 1e-9), np.full(n, np.log1p(n) / 6), np.full(n, np.log1p(sizes.sum()) / 9)]
-    return np.column_stack([np.sqrt(share), *more]).astype(np.float32)
+    bins = np.fromiter((_BINS[w] for ws in bag for w in ws), dtype=np.int64)
+    words = np.bincount(np.repeat(np.arange(n), sizes.astype(np.int64)) * WORD_BINS + bins, minlength=n * WORD_BINS).reshape(n, WORD_BINS)
+    low = raw.astype(np.uint32) | np.uint32(32)
+    mixed = (low[:-2] * np.uint32(0x9E3779B1)) ^ (low[1:-1] * np.uint32(0x85EBCA77)) ^ (low[2:] * np.uint32(0xC2B2AE3D))
+    inside = at[2:] == at[:-2]
+    grams = np.bincount(at[2:][inside] * GRAM_BINS + (mixed[inside] >> np.uint32(26)), minlength=n * GRAM_BINS).reshape(n, GRAM_BINS)
+    hashed = [np.sqrt(words / most[:, None]), np.sqrt(grams / np.maximum(lengths, 1)[:, None])]
+    return np.column_stack([np.sqrt(share), *more, *hashed]).astype(np.float32)
 
 
 @dataclass
@@ -133,29 +162,35 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _bags(docs: DataFrame, text_col: str) -> DataFrame:
+def _bags(docs: DataFrame, text_col: str, most: int) -> DataFrame:
+    """(y, bag): the passages of each text as half-precision rows, at most `most`, evenly spread over the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [encode(passages(t.as_py())).tobytes() for t in b.column(1)]
+            rows = []
+            for t in b.column(1):
+                bag = encode(passages(t.as_py()))
+                kept = np.unique(np.linspace(0, len(bag) - 1, min(most, len(bag))).astype(np.int64))
+                rows.append(bag[kept].astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["y", "bag"])
 
     return docs.select("y", F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "y double, bag binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text_col: str = "text") -> Model | None:
-    """Fits on at most `rows` labelled rows that are not held out, drawn by hash of their id.
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text_col: str = "text", most: int = TRAIN_PASSAGES) -> Model | None:
+    """Fits on at most `rows` labelled rows that are not held out, drawn by hash of their id, `most` passages of each.
 
     Labels of null quality are left out; an id with several labels takes the smallest. None without
     any usable label, or with labels of one value only.
     """
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
     drawn = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumnRenamed("doc_id", "__id"))  # at most `rows` rows
-    found = _bags(docs.select(F.col("doc_id"), F.col(text_col)).join(drawn, F.col("doc_id") == F.col("__id")), text_col)
+    found = _bags(docs.select(F.col("doc_id"), F.col(text_col)).join(drawn, F.col("doc_id") == F.col("__id")), text_col, most)
     got = found.orderBy(F.xxhash64("bag"), "y").limit(rows).toArrow()
     y = got["y"].to_numpy()
     if len(set(y.tolist())) < 2:
         return None
-    return fit([np.frombuffer(b.as_py(), dtype=np.float32).reshape(-1, WIDTH) for b in got["bag"]], y)
+    return fit([np.frombuffer(b.as_py(), dtype=np.float16).reshape(-1, WIDTH).astype(np.float32) for b in got["bag"]], y)
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

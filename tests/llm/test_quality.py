@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -64,3 +65,33 @@ def test_odd_rows(spark):
     scored = quality.score(df, quality.train(df, some))
     assert scored.columns == ["doc_id", "text", "score", "predicted"] and scored.count() == 4
     assert quality.classify(df.limit(0), some).count() == 0
+
+
+def slow_score(model, text):
+    """The score by the formulas, passage by passage, in plain Python."""
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    p, hidden, weights = model.p, [], []
+    for row in quality.encode(quality.passages(text)):
+        x = [(float(v) - m) / s for v, m, s in zip(row, model.mean, model.scale)]
+        h = [math.tanh(sum(a * b for a, b in zip(x, column)) + c) for column, c in zip(p["B"].T, p["b"])]
+        gate = [math.tanh(sum(a * b for a, b in zip(h, v))) * sig(sum(a * b for a, b in zip(h, u))) for v, u in zip(p["V"].T, p["U"].T)]
+        hidden.append(h)
+        weights.append(math.exp(sum(a * b for a, b in zip(gate, p["w"]))))
+    z = [sum(w * h[i] for w, h in zip(weights, hidden)) / sum(weights) for i in range(len(p["c"]))]
+    return sig(sum(a * b for a, b in zip(z, p["c"])) + float(p["d"][0]))
+
+
+def test_scores_against_plain_formulas(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.train(docs, labels)
+    got = quality.score(docs, model).select("text", "score").collect()
+    assert all(abs(r.score - slow_score(model, r.text)) < 1e-6 for r in got[::7])
+
+
+def test_words_and_trigrams_are_counted():
+    bag = quality.encode(quality.passages("The cat THE\nzzz"))
+    words = bag[:, -quality.WORD_BINS - quality.GRAM_BINS : -quality.GRAM_BINS] ** 2
+    the, cat = (zlib.crc32(w) % quality.WORD_BINS for w in (b"the", b"cat"))
+    assert the != cat and abs(words[0, the] - 2 / 3) < 1e-6 and abs(words[0, cat] - 1 / 3) < 1e-6 and abs(words[1].sum() - 1) < 1e-6
+    grams = bag[:, -quality.GRAM_BINS :] ** 2
+    assert abs(grams[0].sum() - 9 / 11) < 1e-6 and abs(grams[1].sum() - 1 / 3) < 1e-6
