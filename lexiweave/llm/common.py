@@ -12,11 +12,15 @@ _NO_ID = -(1 << 63)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir as the session gives it; set a folder only where none is set (tests)."""
+    """Use spark.checkpoint.dir as the session gives it; a temporary folder serves only where none is set and all runs on
+    one machine. On a cluster without the setting this is an error. Files of checkpoints that nothing refers to are removed."""
     sc = spark.sparkContext
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lexiweave-checkpoint-"))
 
 
@@ -50,8 +54,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as (src, dst) rows, by alternating large and small stars.
 
     Returns (node, root), root being the smallest node of the component; nodes without an edge to
-    another node are absent. Every step is a map-side combined minimum or a join, so a hub node
-    never gathers in one task, and each round ends in a checkpoint. Takes O(log n) rounds.
+    another node are absent. Every step is a map-side combined minimum, or a join in which a hub node's edges
+    meet its one minimum, where adaptive execution splits them. Each round ends in a checkpoint; rounds grow
+    about as the logarithm of the longest chain.
     """
     pairs = edges.where(F.col("src") != F.col("dst"))
     e = stable(pairs.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())

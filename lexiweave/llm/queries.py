@@ -17,11 +17,13 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint of three-word shingles and the smallest doc_id of its component."""
     groups = simhash.near_duplicate_groups(documents(spark, sf_dir), width=3, radius=3)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document's ids in sequences of 2048 tokens."""
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -31,27 +33,33 @@ def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every document."""
     return licenses.scan(documents(spark, sf_dir))
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's block, slot and place in the mixed order; weights are the roots of the sources' rows."""
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
 
 
 def op7_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; labels of held-out documents are not learned from."""
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes and tokens, and the most leading code points within the limit."""
     counted = token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"), "fits")
 
 
 def op9_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
     return multi_index.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
 
 
 def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sketch and its edited text's, their likeness, and what the sketch estimates of the shingles."""
     made = sketches.edited_fingerprints(documents(spark, sf_dir))
     return made.select(
         "doc_id",
@@ -62,6 +70,8 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited",
         "near_next",
         "next_doc_id",
+        sketches.distinct_count(F.col("sketch")).alias("n_shingles"),
+        sketches.containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_in_edited"),
     )
 
 

@@ -1,5 +1,7 @@
 import hashlib
+import struct
 
+import xxhash
 from pyspark.sql import functions as F
 
 from lexiweave.llm import sketches
@@ -60,3 +62,34 @@ def test_digest_of_edit(spark):
     got = {r.doc_id: r for r in op10_bottom_k_fingerprints(spark, d).collect()}
     want = brute([(i, f"text number {i} öä and more words") for i in range(30)])
     assert all(hashlib.sha256(want[i][1].encode()).hexdigest() == got[i].edited_sha256 for i in range(30))
+
+
+def slow_sketch(text, k=sketches.K, width=sketches.WIDTH):
+    """Sketch by the definition: k smallest of the distinct chained hashes of five words, as signed longs."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in text.lower().split()]
+    grams = [hashes] if 0 < len(hashes) <= width else [hashes[i : i + width] for i in range(len(hashes) - width + 1)]
+    out = set()
+    for gram in grams:
+        seed = 42
+        for h in gram:
+            seed = xxhash.xxh64_intdigest(struct.pack("<Q", h), seed)
+        out.add(signed(seed))
+    return sorted(out)[:k]
+
+
+def slow_likeness(a, b, k=sketches.K):
+    union = sorted({*a, *b})[:k]
+    return 1.0 if a == b else 0.0 if not a or not b else len({*union} & {*a} & {*b}) / len(union)
+
+
+def test_fingerprints_and_likeness_against_brute_force(spark):
+    rows = [(i, " ".join(f"W{j * (1 + i % 3)}é" for j in range(i, i + 45 * i))) for i in range(12)] + [(50, "one"), (51, ""), (52, None), (60, "long " * 30_000 + " ".join(map(str, range(3000))))]
+    got = {r.doc_id: r for r in sketches.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    edits, order = brute(rows), sorted(dict(rows), reverse=True)
+    texts = {i: t or "" for i, t in rows}
+    for n, i in enumerate(order):
+        own, edited = slow_sketch(texts[i]), slow_sketch(edits[i][1])
+        after = slow_sketch(texts[order[(n + 1) % len(order)]])
+        assert got[i].sketch == own and got[i].edited_sketch == edited
+        assert abs(got[i].near_edited - slow_likeness(own, edited)) < 1e-12 and abs(got[i].near_next - slow_likeness(own, after)) < 1e-12
