@@ -30,6 +30,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """A copy of df in the shared checkpoint folder: computed once, and safe from lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -141,17 +141,20 @@ def _word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 1, tokens: int = TOKENS, segments: int = SEGMENTS, text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 1, tokens: int = TOKENS, segments: int = SEGMENTS, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Tokenizes each text (null: empty), appends end_id, and packs all ids into sequences.
 
     Returns one row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
-    loss_tokens. Every id lies in exactly one piece. Rows are documents of their own, even where ids
+    loss_tokens, and the `keep` columns of its document. Plain text bears loss on all ids but a document's first, so
+    here the limit on loss is that on tokens; pack_examples has one of its own. Every id lies in exactly one piece. Rows are documents of their own, even where ids
     are null or repeat; other columns are ignored; an empty table gives no pieces. Rows are packed in
     the order in which they are read, within a window.
     """
     schema = docs.select("doc_id").schema
     for name in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"):
         schema = schema.add(name, "long")
+    for field in docs.select(*keep).schema.fields:
+        schema = schema.add(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer, number = _word_tokens(path), Packer(tokens, segments, tokens), _sequence_base()
@@ -161,31 +164,33 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, tokens: int = TO
             nonlocal number
             offset = 0
             for p in sequence:
-                doc_id, ids = p.owner
-                rows.append((doc_id, p.start, p.tokens, zlib.crc32(ids[p.start : p.start + p.tokens].tobytes()), ids.size, number, offset, p.loss))
+                doc_id, ids, kept = p.owner
+                rows.append((doc_id, p.start, p.tokens, zlib.crc32(ids[p.start : p.start + p.tokens].tobytes()), ids.size, number, offset, p.loss, *kept))
                 offset += p.tokens
             number += bool(sequence)
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) or [()] * len(schema.names)
-            made = pa.RecordBatch.from_arrays([pa.array(c, doc_type if not i else pa.int64()) for i, c in enumerate(columns)], names=schema.names)
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=schema.names)
             rows.clear()
             return made
 
-        doc_type = pa.int64()
+        types: list[pa.DataType] = []
         for batch in batches:
-            doc_type = batch.schema.field(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            types = [batch.schema.field(0).type, *[pa.int64()] * 7, *(batch.schema.field(i).type for i in range(2, batch.num_columns))]
+            kept = list(zip(*(batch.column(i).to_pylist() for i in range(2, batch.num_columns)), strict=True)) or [()] * batch.num_rows
+            for doc_id, text, more in zip(batch.column(0).to_pylist(), batch.column(1), kept, strict=True):
                 ids = np.append(encoder.ids(text.as_py() or ""), np.array([end_id], dtype="<u4")).astype("<u4", copy=False)
-                for sequence in packer.add(Piece((doc_id, ids), 0, ids.size, ids.size - 1)):
+                for sequence in packer.add(Piece((doc_id, ids, more), 0, ids.size, ids.size - 1)):
                     put(sequence)
             if len(rows) > 10_000:
                 yield out()
         for sequence in packer.finish():
             put(sequence)
-        yield out()
+        if types:
+            yield out()
 
-    return docs.select("doc_id", F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col(text_col).cast("string").alias("__text"), *keep).mapInArrow(run, schema)
 
 
 def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = TOKENS) -> DataFrame:
@@ -224,3 +229,23 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: s
 
     count = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
     return examples.select(F.col(id_col).alias("id"), count(tokens_col).alias("t"), count(loss_col).alias("n")).mapInArrow(run, schema)
+
+
+def pack_conversations(conversations: DataFrame, path: str, tokens: int = TOKENS, segments: int = 64, loss: int = TOKENS // 2, end_id: int = 1) -> DataFrame:
+    """Packs whole conversations: (id, tokens, loss, sequence_id, offset, over_limit) for each conv_id.
+
+    A turn has the ids of its text (null: none) and end_id; those of role assistant bear loss. All rows of a
+    conv_id, null too, are one conversation, repeated rows being turns of their own; an empty table gives no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _word_tokens(path)
+        for batch in batches:
+            n = np.array([encoder.ids(t.as_py() or "").size + (end_id is not None) for t in batch.column(2)], dtype=np.int64)
+            answers = np.array([r == "assistant" for r in batch.column(1).to_pylist()], dtype=bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.where(answers, n, 0))], names=["conv_id", "n", "bears"])
+
+    schema = conversations.select("conv_id").schema.add("n", "long").add("bears", "long")
+    turns = conversations.select("conv_id", F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(run, schema)
+    examples = turns.groupBy("conv_id").agg(F.sum("n").alias("n"), F.sum("bears").alias("bears"))
+    return pack_examples(examples, "conv_id", "n", "bears", tokens, segments, loss)

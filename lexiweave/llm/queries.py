@@ -75,6 +75,11 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's operator on instruction data: whole conversations under limits on tokens, segments and answer tokens."""
+    return packing.pack_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_inverted_multi_index": op9_inverted_multi_index,
     "op10_bottom_k_fingerprints": op10_bottom_k_fingerprints,
+    "packed_conversations": packed_conversations,
 }
 
 ORACLES: dict[str, str] = {

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 
+from lexiweave.llm import packing
 from lexiweave.llm.packing import Packer, Piece, pack_documents, pack_examples
 from lexiweave.llm.tokens import load
 
@@ -70,3 +71,27 @@ def test_examples(spark):
             total[r.sequence_id] += r.tokens
             loss[r.sequence_id] += r.loss
     assert max(total.values()) <= 2048 and max(loss.values()) <= 2048
+
+
+def test_loss_limit_binds_on_conversations(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = load(path)
+    want = defaultdict(lambda: [0, 0])
+    for r in df.collect():
+        n = len(t.encode(r.text or "", add_special_tokens=False).ids) + 1
+        want[r.conv_id][0] += n
+        want[r.conv_id][1] += n * (r.role == "assistant")
+    limits = {"tokens": 1024, "segments": 20, "loss": 300}
+    got = packing.pack_conversations(df, path, **limits).collect()
+    assert {r.id: [r.tokens, r.loss] for r in got} == dict(want) and len(got) == len(want)
+    free = packing.pack_conversations(df, path, **limits | {"loss": 10**9}).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append(r)
+    for rows in by.values():
+        rows.sort(key=lambda r: r.offset)
+        assert len(rows) == 1 and rows[0].over_limit or sum(r.tokens for r in rows) <= 1024 and sum(r.loss for r in rows) <= 300 and len(rows) <= 20
+        assert [r.offset for r in rows] == [sum(x.tokens for x in rows[:i]) for i in range(len(rows))]
+    assert len(by) > len({r.sequence_id for r in free})
+    assert packing.pack_conversations(df.limit(0), path).count() == 0
