@@ -135,7 +135,7 @@ def lemma_phrase(c: Column, words: list[str] | None = None) -> Column:
 
 def roots_of(c: Column, roots: list[str] | None = None) -> Column:
     """Sorted roots of four letters or more within the a-z runs of the term."""
-    listed = F.array(*(F.lit(r) for r in sorted(roots if roots is not None else [r[0] for r in ROOTS]) if len(r) >= 4))
+    listed = F.array(*(F.lit(r) for r in sorted(roots if roots is not None else ROOTS) if len(r) >= 4))
     low = F.lower(c)
     return F.filter(listed, lambda r: F.contains(low, r))
 

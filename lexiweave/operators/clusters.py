@@ -148,7 +148,6 @@ def absorb_by_roots(freqs: DataFrame, closed: DataFrame, clusters: DataFrame, in
     """
     key = F.struct(-F.col("combined_freq"), -F.col("target_raw_freq"), F.col("target_term").alias("name"))
     active = clusters.where((F.col("variant_count") > 0) | (F.col("target_raw_freq") >= 2)).select("target_term", key.alias("key"), F.explode(roots_of(F.col("target_term"), roots)).alias("root"))
-    active = settled(active)
     first = active.groupBy("root").agg(F.min("key").alias("first"))
     later = active.join(first, "root").where(F.col("key") > F.col("first")).groupBy("root").agg(F.min("key").alias("second"))
     edges = first.join(later, "root", "left")
@@ -189,7 +188,6 @@ def build_clusters(freqs: DataFrame, vocabulary: DataFrame | None, interceptor:
             gone = gone.join(more.select("target_term"), "target_term", "left_anti")
         rules = rules.unionByName(more)
         targets = targets.join(gone, "target_term", "left_anti")
-    rules = settled(rules)
     return summarize(targets, rules), rules
 
 

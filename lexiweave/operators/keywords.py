@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.lexicons import SEED_VOCABULARY
 from ..functions.text import fold, hyphen_forms
 
-#: A vocabulary is broadcast up to this many rows, by Spark's own size check beyond its static bound.
 VOCABULARY_SCHEMA = "term string, descriptor_id string, concept_id string, canonical_name string"
 
 

@@ -1,53 +1,79 @@
-"""Keyword corpora derived from the star-schema tables, the same way on Spark and in SQL."""
+"""A keyword corpus of our own, derived from line items the same way on Spark and in SQL.
+
+A part names a term of a modifier, a site and a finding; its line items write the term in several ways: plain, plural,
+hyphenated, closed up, as initials, with initials in parentheses, without its modifier, in other case. Some line
+items carry a term of the seed vocabulary. Terms grow with the parts: about 900, 8,000 and 40,000 at the three scales.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Terms and the widths of their shares.
-SHARES = [
-    ("prostate cancer", 420), ("prostatic neoplasms", 110), ("prostate-cancer", 45), ("prostate cancers", 32), ("prostatitis", 28), ("prostatectomy", 35),
-    ("castration-resistant prostate cancer", 75), ("crpc", 52), ("mcrpc", 30), ("depression", 380), ("depressions", 18), ("depressive symptoms", 65),
-    ("depressive disorder", 55), ("major depression", 40), ("antidepressants", 32), ("quality of life", 210), ("qol", 140), ("quality-of-life", 35),
-    ("androgen deprivation therapy", 130), ("adt", 95), ("protein synthesis", 60), ("disease progression", 85), ("overall survival", 150), ("psa", 90),
+from ..functions.lexicons import SEED_VOCABULARY
+
+MODIFIERS = [
+    "acute", "chronic", "early", "late", "advanced", "recurrent", "metastatic", "localized", "severe", "mild", "juvenile", "adult", "familial",
+    "sporadic", "primary", "secondary", "benign", "rare", "common", "occult", "silent", "diffuse", "focal", "bilateral", "refractory", "stage two",
 ]
-# Terms of ours for the odd cases: spellings, short words, symmetric blocks, parentheses, cycles, chains of roots.
-ODD_SHARES = [
-    ("Prostate Cancer", 15), ("ADT", 9), ("tumors", 7), ("tumor", 13), ("anxieties", 6), ("anxiety", 17), ("quality of life (QoL)", 11), ("exercises", 26),
-    ("exercise", 12), ("aerobic exercise", 8), ("chemo-radiation", 10), ("chemoradiation", 14), ("radiation oncology", 5), ("neuro-oncology", 4), ("bone metastases", 19), ("bone metastasis", 23),
-    ("surgeries", 3), (" psychological distress ", 21), ("hepatitis", 2), ("life quality", 16),
+SITES = [
+    "renal", "hepatic", "gastric", "cardiac", "pulmonary", "cutaneous", "ocular", "thyroid", "pancreatic", "bladder", "cervical", "ovarian", "spinal", "vascular", "skeletal", "lymphatic",
+    "nasal", "dental", "tracheal", "colonic", "adrenal", "pelvic", "retinal", "splenic", "uterine", "aortic", "cranial", "pleural", "dermal", "muscular", "prostatic", "neuronal",
 ]
-ALL_SHARES = SHARES + ODD_SHARES
-TOTAL = sum(n for _, n in ALL_SHARES)
+FINDINGS = [
+    "tumor", "biopsy", "surgery", "therapy", "imaging", "screening", "infection", "inflammation", "fibrosis", "stenosis", "resistance", "toxicity", "survival",
+    "recurrence", "marker", "lesion", "carcinoma", "metastasis", "transplant", "symptom", "disorder", "fatigue", "diagnosis", "sample", "ectomy of node",
+]
+SEED_TERMS = [row[0] for row in SEED_VOCABULARY]
+#: Ways of writing a term: the first row of WAYS whose bound is above the line item's number modulo 32.
+WAYS = 32
 
 
-def _bounds() -> list[tuple[str, int]]:
-    out, end = [], 0
-    for term, n in ALL_SHARES:
-        end += n
-        out.append((term, end))
-    return out
+def _nth(words: list[str], n: Column) -> Column:
+    return F.get(F.array(*map(F.lit, words)), n.cast("int"))
 
 
 def keyword_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec_seq, kw_raw): a keyword for each line item, in its order's record."""
-    b = (F.col("l_orderkey") * 31 + F.col("l_partkey") * 17 + F.col("l_linenumber") * 7) % TOTAL
-    bounds = _bounds()
-    term = F.when(b < bounds[0][1], bounds[0][0])
-    for t, end in bounds[1:]:
-        term = term.when(b < end, t)
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.select(F.col("l_orderkey").alias("rec_seq"), term.alias("kw_raw"))
+    p, line = F.col("l_partkey"), F.col("l_orderkey") * 31 + F.col("l_linenumber") * 7 + F.col("l_partkey")
+    way = line % WAYS
+    m, s, f = _nth(MODIFIERS, p * 7 % 26), _nth(SITES, (p * 13 + F.floor(p / 26)) % 32), _nth(FINDINGS, (p * 17 + F.floor(p / 832)) % 25)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("rec_seq"), way.alias("way"), m.alias("m"), s.alias("s"), f.alias("f"), _nth(SEED_TERMS, line % len(SEED_TERMS)).alias("seed"))
+    term = F.concat_ws(" ", "m", "s", "f")
+    initials = F.upper(F.concat(F.substring("m", 1, 1), F.substring("s", 1, 1), F.substring("f", 1, 1)))
+    plural = F.when(F.col("f").endswith("y"), F.concat(F.regexp_replace("f", "y$", ""), F.lit("ies"))).otherwise(F.concat("f", F.lit("s")))
+    words = (
+        F.when(F.col("way") < 14, term)
+        .when(F.col("way") < 17, F.concat_ws(" ", "m", "s", plural))
+        .when(F.col("way") < 19, F.concat_ws(" ", "m", F.concat_ws("-", "s", "f")))
+        .when(F.col("way") < 20, F.concat_ws(" ", "m", F.concat("s", "f")))
+        .when(F.col("way") < 22, initials)
+        .when(F.col("way") < 23, F.concat(term, F.lit(" ("), initials, F.lit(")")))
+        .when(F.col("way") < 24, F.initcap(term))
+        .when(F.col("way") < 25, F.concat(F.lit(" "), term, F.lit(" ")))
+        .when(F.col("way") < 27, F.concat_ws(" ", "s", "f"))
+        .when(F.col("way") < 28, F.concat_ws("-", "m", "s", "f"))
+        .when(F.col("way") < 31, F.col("seed"))
+        .otherwise(F.upper("seed"))
+    )
+    return lines.select("rec_seq", words.alias("kw_raw"))
 
 
 def keyword_edges_sql() -> str:
-    cases = " ".join(f"WHEN b < {end} THEN '{t}'" for t, end in _bounds())
-    return f"SELECT rec_seq, CASE {cases} END AS kw_raw FROM (SELECT l_orderkey AS rec_seq, (l_orderkey * 31 + l_partkey * 17 + l_linenumber * 7) % {TOTAL} AS b FROM lineitem)"
+    words = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    initials = "upper(m[1] || s[1] || f[1])"
+    ways = [
+        (14, "t"), (17, "m || ' ' || s || ' ' || CASE WHEN f LIKE '%y' THEN left(f, length(f) - 1) || 'ies' ELSE f || 's' END"), (19, "m || ' ' || s || '-' || f"), (20, "m || ' ' || s || f"), (22, initials),
+        (23, f"t || ' (' || {initials} || ')'"), (24, "array_to_string(list_transform(string_split(t, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"), (25, "' ' || t || ' '"), (27, "s || ' ' || f"), (28, "m || '-' || s || '-' || f"), (31, "seed"), (32, "upper(seed)"),
+    ]
+    cases = " ".join(f"WHEN way < {n} THEN {x}" for n, x in ways)
+    return f"""SELECT rec_seq, CASE {cases} END AS kw_raw FROM (SELECT *, m || ' ' || s || ' ' || f AS t FROM (
+  SELECT l_orderkey AS rec_seq, (l_orderkey * 31 + l_linenumber * 7 + l_partkey) % {WAYS} AS way, {words(SEED_TERMS)}[1 + (l_orderkey * 31 + l_linenumber * 7 + l_partkey) % {len(SEED_TERMS)}] AS seed,
+  {words(MODIFIERS)}[1 + l_partkey * 7 % 26] AS m, {words(SITES)}[1 + (l_partkey * 13 + l_partkey // 26) % 32] AS s, {words(FINDINGS)}[1 + (l_partkey * 17 + l_partkey // 832) % 25] AS f FROM lineitem))"""
 
 
-def record_texts(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
-    """(path, text): tagged text of all records, one file for each 64 orders; template is wos, pubmed, refworks or cnki."""
+def record_bodies(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
+    """(path, rec_seq, body): the tagged text of each record, 64 orders a path; template is wos, pubmed, refworks or cnki."""
     per = keyword_edges(spark, sf_dir).groupBy("rec_seq").agg(F.array_sort(F.collect_set("kw_raw")).alias("kws"))
     rec, kws = F.col("rec_seq").cast("string"), F.col("kws")
     half = F.floor((F.size(kws) + 1) / 2).cast("int")
@@ -60,5 +86,10 @@ def record_texts(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
         "refworks": F.concat(F.lit("RT Journal\nT1 title "), rec, F.lit("\nK1 "), F.array_join(kws, "；；"), F.lit("\n\n")),
         "cnki": F.concat(F.lit("【来源篇名】title "), rec, F.lit("\n【关键词】"), F.array_join(kws, ";;"), F.lit("\n")),
     }[template]
-    files = per.select(F.concat(F.lit("part-"), F.floor(F.col("rec_seq") / 64).cast("string")).alias("path"), "rec_seq", body.alias("body"))
+    return per.select(F.concat(F.lit("part-"), F.floor(F.col("rec_seq") / 64).cast("string")).alias("path"), "rec_seq", body.alias("body"))
+
+
+def record_texts(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
+    """(path, text): tagged text of all records, one file for each 64 orders."""
+    files = record_bodies(spark, sf_dir, template)
     return files.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rec_seq", "body"))), lambda x: x["body"]), "").alias("text"))

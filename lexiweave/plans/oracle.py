@@ -49,6 +49,9 @@ def aligned(a: str, p: str) -> str:
 PAREN = "'^(.*?)\\s*[(（](.*?)[)）]$'"
 
 
+_CONTENT = lambda p: f"list_filter(regexp_extract_all({p}, '[A-Za-z0-9]+'), lambda w: NOT list_contains({_LIST(ACRONYM_STOP_WORDS)}, lower(w)))"
+
+
 def decouple(x: str) -> str:
     """A struct of full_phrase, acronym, valid; x is a trimmed column."""
     outer, inner = f"trim(regexp_extract({x}, {PAREN}, 1))", f"trim(regexp_extract({x}, {PAREN}, 2))"
@@ -57,10 +60,11 @@ def decouple(x: str) -> str:
     return f"CASE WHEN {both} AND {aligned(inner, outer)} THEN {make(outer, inner, 'true')} WHEN {both} AND {aligned(outer, inner)} THEN {make(inner, outer, 'true')} ELSE {make(x, 'NULL', 'false')} END"
 
 
-def conflicts(x: str, y: str, acr: str = "false") -> str:
+def conflicts(x: str, y: str, acr: str = "false", custom: tuple[str, ...] = ()) -> str:
     a, b = (f"list_distinct(regexp_extract_all(lower({t}), '[a-zA-Z0-9\\-]+'))" for t in (x, y))
-    lex = _LIST(sorted(RISK_TERMS))
-    phrases = _LIST(sorted(t for t in RISK_TERMS if " " in t))
+    terms = {*RISK_TERMS, *custom}
+    lex = _LIST(sorted(terms))
+    phrases = _LIST(sorted(t for t in terms if " " in t))
     delta = f"list_filter(list_distinct(list_concat({a}, {b})), lambda t: list_contains({a}, t) <> list_contains({b}, t))"
     return (
         f"CASE WHEN {acr} THEN CAST([] AS VARCHAR[]) ELSE list_sort(list_distinct(list_concat(list_filter({delta}, lambda t: list_contains({lex}, t)),"
@@ -72,7 +76,7 @@ def reason(c: str, acr: str = "false") -> str:
     return f"CASE WHEN {acr} THEN {_Q(BYPASSED)} WHEN len({c}) > 0 THEN {_Q(SLIPPED)} || array_to_string({c}, ', ') || ')' ELSE {_Q(PASSED)} END"
 
 
-ROOT_LIST = _LIST(sorted(r[0] for r in ROOTS if len(r[0]) >= 4))
+ROOT_LIST = _LIST(sorted(r for r in ROOTS if len(r) >= 4))
 
 
 def roots(x: str) -> str:
@@ -99,7 +103,11 @@ props AS (SELECT p3.*, coalesce(a.descriptor_id, b.descriptor_id) AS descriptor_
 
 LINKS = f"""h AS (SELECT term AS src, hyphen_resolved AS dst, 'Hyphen Resolution' AS rule_source, false AS is_acr FROM props WHERE NOT is_acronym AND hyphen_resolved <> term AND hyphen_resolved IN (SELECT term FROM freqs)),
 l AS (SELECT term AS src, lemmatized AS dst, 'Lemmatization' AS rule_source, false AS is_acr FROM props WHERE NOT is_acronym AND lemmatized <> term AND lemmatized IN (SELECT term FROM freqs) AND term NOT IN (SELECT src FROM h)),
-a AS (SELECT x.term AS src, arg_min(y.term, (-y.freq, y.term)) AS dst, 'Acronym Decoupling' AS rule_source, true AS is_acr FROM props x, props y WHERE x.is_acronym AND NOT y.is_acronym AND {aligned('x.term', 'y.term')} GROUP BY x.term),
+ph AS (SELECT term, freq, regexp_extract_all(term, '[A-Za-z0-9]+') AS ws, {_CONTENT('term')} AS cs FROM props WHERE NOT is_acronym),
+pk AS (SELECT term, freq, unnest([{initials('ws')}, CASE WHEN len(cs) > 0 THEN {initials('cs')} END, CASE WHEN len(cs) > 1 THEN lower(ws[1][1]) || {initials('cs[2:]')} END]) AS k, unnest([false, false, true]) AS low FROM ph WHERE len(ws) > 0),
+ac AS (SELECT term, regexp_replace(term, '[^A-Za-z0-9]', '', 'g') AS bare FROM props WHERE is_acronym),
+a AS (SELECT ac.term AS src, arg_min(pk.term, (-pk.freq, pk.term)) AS dst, 'Acronym Decoupling' AS rule_source, true AS is_acr FROM ac JOIN pk ON pk.k = lower(ac.bare)
+      WHERE length(bare) BETWEEN 1 AND 8 AND (NOT low OR (length(bare) >= 2 AND regexp_matches(bare, '^[a-z]'))) GROUP BY ac.term),
 g AS (SELECT *, first_value(term) OVER w AS lead, first_value(concept_id) OVER w AS lead_concept FROM props WHERE NOT is_acronym AND descriptor_id IS NOT NULL WINDOW w AS (PARTITION BY descriptor_id ORDER BY freq DESC, term)),
 hla AS (SELECT * FROM h UNION ALL SELECT * FROM l UNION ALL SELECT * FROM a),
 links AS (SELECT * FROM hla UNION ALL SELECT term, lead, CASE WHEN concept_id = lead_concept THEN 'MeSH Concept (' || concept_id || ')' ELSE 'MeSH Descriptor (' || descriptor_id || ')' END, {SHORT_UPPER('term')} FROM g WHERE term <> lead AND term NOT IN (SELECT src FROM hla))"""
@@ -120,11 +128,12 @@ def _summary(targets: str, rules: str) -> str:
   coalesce(bool_or(r.tier = {_Q(TIER_3)}), false) AS has_blocked_variants FROM {targets} t LEFT JOIN {rules} r ON r.target_term = t.target_term GROUP BY 1, 2"""
 
 
-# All pairs of a lone term and an active target with a common root, by place in the pass.
+# Pairs of a lone term and an active target with a common root, by place in the pass.
 ABSORB = f"""c0 AS ({_summary('targets0', 'rules0')}),
 active AS (SELECT target_term, row_number() OVER (ORDER BY combined_freq DESC, target_raw_freq DESC, target_term) AS pos FROM c0 WHERE variant_count > 0 OR target_raw_freq >= 2),
 lone AS (SELECT c0.target_term AS term, c0.target_raw_freq AS freq, coalesce(a.pos, 1e9) AS pos FROM c0 LEFT JOIN active a ON a.target_term = c0.target_term WHERE variant_count = 0),
-pairs AS (SELECT l.term, l.freq, l.pos, a.target_term, a.pos AS tpos, list_sort(list_intersect({roots('l.term')}, {roots('a.target_term')}))[1] AS root FROM lone l JOIN active a ON l.term <> a.target_term WHERE len(list_intersect({roots('l.term')}, {roots('a.target_term')})) > 0),
+lr AS (SELECT *, unnest({roots('term')}) AS root FROM lone), ar AS (SELECT *, unnest({roots('target_term')}) AS root FROM active),
+pairs AS (SELECT l.term, l.freq, l.pos, a.target_term, a.pos AS tpos, min(l.root) AS root FROM lr l JOIN ar a ON l.root = a.root AND l.term <> a.target_term GROUP BY ALL),
 one AS (SELECT term, freq, arg_min(target_term, tpos) AS target, arg_min(root, tpos) AS root FROM pairs WHERE tpos < pos GROUP BY term, freq),
 two AS (SELECT term, freq, arg_min(target_term, tpos) AS target, arg_min(root, tpos) AS root FROM pairs WHERE tpos > pos AND term NOT IN (SELECT term FROM one) AND term NOT IN (SELECT target FROM one) GROUP BY term, freq),
 took AS (SELECT * FROM one UNION ALL SELECT * FROM two),

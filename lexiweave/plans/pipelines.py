@@ -1,4 +1,4 @@
-"""The two ways from frequencies to rules: term by term, and by clusters."""
+"""From frequencies to rules, term by term; the way by clusters is operators.clusters.build_clusters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import SAFE_BY_TERM, arbitrate, grade, inspect_pair
 from ..functions.text import decouple, lemma_phrase
-from ..operators.clusters import RULE_COLUMNS, build_clusters
+from ..operators.clusters import RULE_COLUMNS
 from ..operators.keywords import at_least, frequency_of, lookup, resolve_hyphens
 
 
@@ -23,8 +23,3 @@ def rules_by_term(freqs: DataFrame, vocabulary: DataFrame, least: int = 2, custo
     df = df.withColumn("seen", inspect_pair(F.col("raw_term"), F.col("target_term"), False, custom_risk_terms))
     tier, safety, selected = grade(F.col("seen.is_blocked"), F.col("seen.reason"), F.col("rule_source"), SAFE_BY_TERM)
     return df.withColumns({"tier": tier, "clinical_safety_check": safety, "selected_for_export": selected}).select(*RULE_COLUMNS)
-
-
-def rules_by_cluster(freqs: DataFrame, vocabulary: DataFrame | None, **options) -> tuple[DataFrame, DataFrame]:
-    """(clusters, rules); options as in build_clusters."""
-    return build_clusters(freqs, vocabulary, **options)

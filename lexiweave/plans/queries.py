@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import functools
+import json
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks, text
 from ..functions.lexicons import ROOTS
-from ..lineage import settled
+from ..lineage import settled, shared_path
 from ..operators import audit, clusters, keywords, review
-from ..sources import tables, tagged
+from ..sources import sinks, tables, tagged
 from . import oracle as o
-from .corpus import keyword_edges, keyword_edges_sql, record_texts
+from .corpus import keyword_edges, keyword_edges_sql, record_bodies, record_texts
 from .pipelines import rules_by_term
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,12 +98,12 @@ def e3(spark, d):
     return _part_names(spark, d).select("p_partkey", F.array_join(text.split_mixed(v), "|").alias("kws"))
 
 
-@query("e4_acronym_alignment", f"WITH {PARTS_SQL}, ps AS (SELECT DISTINCT v FROM parts) SELECT a.v AS acronym, b.v AS phrase, {o.aligned('a.v', 'b.v')} AS aligned FROM ps a JOIN ps b ON lower(a.v[1]) = lower(b.v[1]) WHERE length(a.v) <= 4")
+@query("e4_acronym_alignment", f"WITH {PARTS_SQL} SELECT p_partkey, {o.aligned('i', 'v')} AS with_own, {o.aligned('v', 'n')} AS as_acronym FROM parts JOIN ini USING (p_partkey)")
 def e4(spark, d):
-    p = _part_names(spark, d).select("v").distinct()
-    a, b = p.where(F.length("v") <= 4).select(F.col("v").alias("acronym")), p.select(F.col("v").alias("phrase"))
-    met = a.join(b, F.lower(F.substring("acronym", 1, 1)) == F.lower(F.substring("phrase", 1, 1)))
-    return met.select("acronym", "phrase", text.aligned(F.col("acronym"), F.col("phrase")).alias("aligned"))
+    name = F.col("p_name")
+    ini = F.array_join(F.transform(F.split(name, " "), lambda w: F.substring(w, 1, 1)), "")
+    p = _part_names(spark, d).join(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name"), "p_partkey")
+    return p.select("p_partkey", text.aligned(ini, F.col("v")).alias("with_own"), text.aligned(F.col("v"), name).alias("as_acronym"))
 
 
 @query("e5_decouple_parentheses", f"WITH {PARTS_SQL}, s AS (SELECT p_partkey, {o.decouple('v')} AS d FROM parts) SELECT p_partkey, d.full_phrase AS full_phrase, d.acronym AS acronym, d.valid AS valid FROM s")
@@ -140,36 +143,67 @@ def e10(spark, d):
     return _freqs(spark, d).select("term", F.array_join(text.roots_of(F.col("term")), ",").alias("roots"))
 
 
-@query("e11_shared_roots", f"WITH {E_} SELECT a.term AS a, b.term AS b, array_to_string(list_sort(list_intersect({o.roots('a.term')}, {o.roots('b.term')})), ',') AS shared FROM freqs a JOIN freqs b ON a.term < b.term AND len(list_intersect({o.roots('a.term')}, {o.roots('b.term')})) > 0")
+def _leads(freqs: DataFrame, keys) -> DataFrame:
+    """(term, freq, lead, lead_freq): each term with the most frequent other term under any of its keys.
+
+    keys: an array of strings, nulls dropped. Of a key's terms one stays before the join, so rows grow as the terms.
+    """
+    k = freqs.select("term", "freq", F.explode(F.array_distinct(F.array_compact(keys))).alias("k"))
+    best = k.groupBy("k").agg(F.min_by(F.struct("term", "freq"), F.struct(-F.col("freq"), "term")).alias("b"))
+    met = k.join(best, "k").where(F.col("term") != F.col("b.term"))
+    return met.select("term", "freq", F.col("b.term").alias("lead"), F.col("b.freq").alias("lead_freq")).distinct()
+
+
+def _leads_sql(keys: str, source: str = "freqs") -> str:
+    """CTEs up to prs(term, freq, lead, lead_freq)."""
+    return f"""ks AS (SELECT DISTINCT term, freq, k FROM (SELECT term, freq, unnest({keys}) AS k FROM {source}) WHERE k IS NOT NULL),
+top AS (SELECT k, arg_min(term, (-freq, term)) AS lead, max(freq) AS lead_freq FROM ks GROUP BY k),
+prs AS (SELECT DISTINCT term, freq, lead, lead_freq FROM ks JOIN top USING (k) WHERE term <> lead)"""
+
+
+@query("e11_shared_roots", f"WITH {E_}, {_leads_sql(o.roots('term'))} SELECT term AS a, lead AS b, array_to_string(list_sort(list_intersect({o.roots('term')}, {o.roots('lead')})), ',') AS shared FROM prs")
 def e11(spark, d):
-    r = _freqs(spark, d).select("term", F.explode(text.roots_of(F.col("term"))).alias("root"))
-    met = r.select(F.col("term").alias("a"), "root").join(r.select(F.col("term").alias("b"), "root"), "root").where("a < b")
-    return met.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("root")), ",").alias("shared"))
+    met = _leads(_freqs(spark, d), text.roots_of(F.col("term")))
+    return met.select(F.col("term").alias("a"), F.col("lead").alias("b"), F.array_join(F.array_sort(text.shared_roots(F.col("term"), F.col("lead"))), ",").alias("shared"))
 
 
 @query("e12_root_count", "SELECT CAST(" + str(len(ROOTS)) + " AS BIGINT) AS roots")
 def e12(spark, d):
-    return spark.createDataFrame([(r[0],) for r in ROOTS], "root string").agg(F.countDistinct("root").alias("roots"))
+    return spark.createDataFrame([(r,) for r in ROOTS], "root string").agg(F.countDistinct("root").alias("roots"))
+
+
+# Pairs to inspect: terms with a word, root, concept or descriptor in common, one of them the most frequent under it.
+_PAIR_KEYS = f"list_concat(list_transform(string_split(term, ' '), lambda w: 'w ' || w), list_transform({o.roots('term')}, lambda r: 'r ' || r), ['c ' || concept_id, 'd ' || descriptor_id])"
+_PAIRS = f"{o.VOCABULARY}, {E_}, known AS (SELECT term, freq, concept_id, descriptor_id FROM freqs LEFT JOIN vocabulary ON vterm = term), {_leads_sql(_PAIR_KEYS, 'known')}"
 
 
-_COMMON = "len(list_intersect(string_split(a.term, ' '), string_split(b.term, ' '))) > 0"
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    known = keywords.lookup(_freqs(spark, d), "term", keywords.seed_vocabulary(spark))
+    named = lambda p, xs: F.transform(xs, lambda x: F.concat(F.lit(p), x))
+    own = F.array(F.concat(F.lit("c "), "concept_id"), F.concat(F.lit("d "), "descriptor_id"))
+    return _leads(known, F.concat(named("w ", F.split("term", " ")), named("r ", text.roots_of(F.col("term"))), own))
 
 
-def _word_pairs(freqs: DataFrame) -> DataFrame:
-    """(x, y, fx, fy) of terms with a common word: an equi-join on words."""
-    w = freqs.select("term", "freq", F.explode(F.array_distinct(F.split("term", " "))).alias("w"))
-    return w.select(F.col("term").alias("x"), F.col("freq").alias("fx"), "w").join(w.select(F.col("term").alias("y"), F.col("freq").alias("fy"), "w"), "w").drop("w").distinct()
+_ACR = "(freq + lead_freq) % 5 = 0"
+_INSPECTED = "SELECT x, y, len(c) > 0 AS is_blocked, CASE WHEN len(c) > 0 THEN 'HIGH_RISK' ELSE 'SAFE' END AS risk_level, array_to_string(c, ',') AS conflicts, "
 
 
-_TERM_PAIRS = f"WITH {E_}, prs AS (SELECT a.term AS x, b.term AS y, (a.freq + b.freq) % 5 = 0 AS acr FROM freqs a, freqs b WHERE {_COMMON}), c AS (SELECT *, {o.conflicts('x', 'y', 'acr')} AS c FROM prs)"
+def _inspected(spark, d, acronym, custom=None):
+    seen = checks.inspect_pair(F.col("term"), F.col("lead"), acronym, custom)
+    return _pairs(spark, d).select(F.col("term").alias("x"), F.col("lead").alias("y"), seen.alias("s")).select("x", "y", "s.is_blocked", "s.risk_level", F.array_join("s.conflicts", ",").alias("conflicts"), "s.reason")
 
 
-@query("e14_inspect_pairs", f"{_TERM_PAIRS} SELECT x, y, len(c) > 0 AS is_blocked, CASE WHEN len(c) > 0 THEN 'HIGH_RISK' ELSE 'SAFE' END AS risk_level, array_to_string(c, ',') AS conflicts, {o.reason('c', 'acr')} AS reason FROM c")
+@query("e14_inspect_pairs", f"WITH {_PAIRS}, c AS (SELECT term AS x, lead AS y, {_ACR} AS acr, {o.conflicts('term', 'lead', _ACR)} AS c FROM prs) {_INSPECTED} {o.reason('c', 'acr')} AS reason FROM c")
 def e14(spark, d):
-    f = _freqs(spark, d)
-    met = _word_pairs(f)
-    seen = checks.inspect_pair(F.col("x"), F.col("y"), (F.col("fx") + F.col("fy")) % 5 == 0)
-    return met.select("x", "y", seen.alias("s")).select("x", "y", "s.is_blocked", "s.risk_level", F.array_join("s.conflicts", ",").alias("conflicts"), "s.reason")
+    return _inspected(spark, d, (F.col("freq") + F.col("lead_freq")) % 5 == 0)
+
+
+CUSTOM = ("occult", "stage two", "renal biopsy")
+
+
+@query("e15_custom_risk_terms", f"WITH {_PAIRS}, c AS (SELECT term AS x, lead AS y, {o.conflicts('term', 'lead', custom=CUSTOM)} AS c FROM prs) {_INSPECTED} {o.reason('c')} AS reason FROM c")
+def e15(spark, d):
+    return _inspected(spark, d, False, ["Occult", *CUSTOM[1:]])
 
 
 @query("e13_risk_tokens", "SELECT conv_id, turn, len(list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9\\-]+'))) AS tokens FROM conversations")
@@ -177,10 +211,11 @@ def e13(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.size(checks.risk_tokens(F.col("text"))).cast("long").alias("tokens"))
 
 
-@query("e16_arbitrate", f"WITH {PARTS_SQL}, q AS (SELECT v AS a, {o.lemma_phrase('v')} AS b, p_partkey % 3 AS fa, p_partkey % 4 AS fb, p_partkey FROM parts) SELECT p_partkey, CASE WHEN {o.SHORT_UPPER('a')} AND NOT {o.SHORT_UPPER('b')} THEN b WHEN {o.SHORT_UPPER('b')} AND NOT {o.SHORT_UPPER('a')} THEN a WHEN fa > fb THEN a WHEN fb > fa THEN b WHEN length(a) <= length(b) THEN a ELSE b END AS target FROM q")
+@query("e16_arbitrate", f"WITH {PARTS_SQL}, q AS (SELECT v AS a, {o.lemma_phrase('v')} AS b, p_partkey % 3 AS fa, p_partkey % 4 AS fb, p_partkey, CASE p_partkey % 7 WHEN 0 THEN upper(v) WHEN 1 THEN {o.lemma_phrase('v')} WHEN 2 THEN 'x' END AS c FROM parts) SELECT p_partkey, CASE WHEN {o.SHORT_UPPER('a')} AND NOT {o.SHORT_UPPER('b')} THEN b WHEN {o.SHORT_UPPER('b')} AND NOT {o.SHORT_UPPER('a')} THEN a WHEN fa > fb THEN a WHEN fb > fa THEN b WHEN lower(a) = lower(c) THEN a WHEN lower(b) = lower(c) THEN b WHEN length(a) <= length(b) THEN a ELSE b END AS target FROM q")
 def e16(spark, d):
-    k = F.col("p_partkey")
-    return _part_names(spark, d).select("p_partkey", checks.arbitrate(F.col("v"), text.lemma_phrase(F.col("v")), k % 3, k % 4, F.lit(None).cast("string")).alias("target"))
+    k, lemma = F.col("p_partkey"), text.lemma_phrase(F.col("v"))
+    canonical = F.when(k % 7 == 0, F.upper("v")).when(k % 7 == 1, lemma).when(k % 7 == 2, "x")
+    return _part_names(spark, d).select("p_partkey", checks.arbitrate(F.col("v"), lemma, k % 3, k % 4, canonical).alias("target"))
 
 
 @query("p5_p6_acronym_tests", f"WITH {PARTS_SQL} SELECT p_partkey, {o.SHORT_UPPER('upper(v)')} AS upper_short, {o.SHORT_WORD('v')} AS candidate FROM parts")
@@ -199,27 +234,25 @@ def j1(spark, d):
     return keywords.lookup(_freqs(spark, d), "term", keywords.seed_vocabulary(spark)).select("term", "matched", "descriptor_id", "concept_id", "canonical_name")
 
 
-@query("e20_synonym_relation", f"""WITH {o.VOCABULARY}, {E_}, p AS (SELECT a.term AS term1, b.term AS term2 FROM freqs a, freqs b WHERE {_COMMON}), m AS (SELECT term1, term2, x.descriptor_id AS d1, y.descriptor_id AS d2, x.concept_id AS c1, y.concept_id AS c2
- FROM p LEFT JOIN vocabulary x ON x.vterm = term1 LEFT JOIN vocabulary y ON y.vterm = term2)
+@query("e20_synonym_relation", f"""WITH {_PAIRS}, m AS (SELECT term AS term1, lead AS term2, x.descriptor_id AS d1, y.descriptor_id AS d2, x.concept_id AS c1, y.concept_id AS c2
+ FROM prs LEFT JOIN vocabulary x ON x.vterm = term LEFT JOIN vocabulary y ON y.vterm = lead)
  SELECT term1, term2, coalesce(c1 = c2, false) AS is_synonym, CASE WHEN c1 = c2 THEN 'Tier 1' WHEN d1 = d2 THEN 'Tier 2' ELSE 'Tier 3' END AS tier, CASE WHEN c1 = c2 THEN c1 END AS concept_id, CASE WHEN d1 = d2 THEN d1 END AS descriptor_id,
  CASE WHEN d1 IS NULL OR d2 IS NULL THEN 'One or both terms not found in MeSH index' WHEN c1 = c2 THEN 'True synonyms under MeSH Concept ' || c1 WHEN d1 = d2 THEN 'Related concepts under MeSH Descriptor ' || d1 || ' (Broad/Narrow relation)' ELSE 'Distinct MeSH descriptors' END AS reason FROM m""")
 def e20(spark, d):
-    pairs = _word_pairs(_freqs(spark, d)).select(F.col("x").alias("term1"), F.col("y").alias("term2"))
+    pairs = _pairs(spark, d).select(F.col("term").alias("term1"), F.col("lead").alias("term2"))
     return keywords.synonym_relation(pairs, keywords.seed_vocabulary(spark))
 
 
 # Links, closure, clusters.
-@functools.lru_cache(maxsize=4)
 def _built(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(freqs, clusters, rules) of a corpus, settled once for a session."""
-    f = _freqs(spark, d)
+    """(freqs, clusters, rules) of a corpus."""
+    f = settled(_freqs(spark, d))
     c, r = clusters.build_clusters(f, keywords.seed_vocabulary(spark))
     return f, c, r
 
 
-@functools.lru_cache(maxsize=4)
 def _props(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(term properties, freqs) of a corpus, settled once for a session."""
+    """(term properties, freqs) of a corpus."""
     f = settled(_freqs(spark, d))
     return settled(clusters.term_properties(f, keywords.seed_vocabulary(spark))), f
 
@@ -256,10 +289,12 @@ def g2(spark, d):
     return clusters.close_links(clusters.term_links(p, f))
 
 
-@query("g2_functional_graph", """WITH RECURSIVE links AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS src, CAST((c_custkey * c_custkey + 13) % 1009 AS VARCHAR) AS dst, 'x' AS rule_source, false AS is_acr FROM customer WHERE (c_custkey * c_custkey + 13) % 1009 <> c_custkey AND c_custkey < 1009), """ + o.CLOSED + " SELECT src, dst FROM closed")
+@query("g2_functional_graph", """WITH RECURSIVE n AS (SELECT max(c_custkey) + 1 AS n FROM customer), links AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS src, CAST((c_custkey * c_custkey + 13) % n AS VARCHAR) AS dst, 'x' AS rule_source, false AS is_acr FROM customer, n WHERE (c_custkey * c_custkey + 13) % n <> c_custkey), """ + o.CLOSED + " SELECT src, dst FROM closed")
 def g2_graph(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey < 1009")
-    to = (F.col("c_custkey") * F.col("c_custkey") + 13) % 1009
+    """Every customer points at another: long tails into cycles."""
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    c = c.join(F.broadcast(c.agg((F.max("c_custkey") + 1).alias("n"))))
+    to = (F.col("c_custkey") * F.col("c_custkey") + 13) % F.col("n")
     links = c.where(to != F.col("c_custkey")).select(F.col("c_custkey").cast("string").alias("src"), to.cast("string").alias("dst"), F.lit("x").alias("rule_source"), F.lit(False).alias("is_acr")).distinct()
     return clusters.close_links(links).select("src", "dst")
 
@@ -379,10 +414,10 @@ def r4s(spark, d):
 
 
 def _draft(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("qol", False, None), ("prostatectomy", True, "prostate surgery"), ("no such term", True, None)], "raw_term string, selected boolean, target string")
+    return spark.createDataFrame([("adt", False, None), ("prostate cancers", True, "cancer of the gland"), ("no such term", True, None)], "raw_term string, selected boolean, target string")
 
 
-_OVER = "o(rt, s, t) AS (VALUES ('qol', false, NULL), ('prostatectomy', true, 'prostate surgery'), ('no such term', true, NULL))"
+_OVER = "o(rt, s, t) AS (VALUES ('adt', false, NULL), ('prostate cancers', true, 'cancer of the gland'), ('no such term', true, NULL))"
 
 
 @query("p9_j11_r6_overrides", f"{o.CLUSTER_PATH}, {_OVER} SELECT raw_term, coalesce(t, target_term) AS target_term, tier, rule_source, clinical_safety_check, raw_frequency, coalesce(s, selected_for_export) AS selected_for_export FROM rules LEFT JOIN o ON rt = raw_term")
@@ -390,10 +425,10 @@ def p9(spark, d):
     return review.apply_overrides(_built(spark, d)[2], _draft(spark))
 
 
-@query("r5_toggle", f"{o.CLUSTER_PATH} SELECT raw_term, target_term, tier, rule_source, clinical_safety_check, raw_frequency, CASE WHEN raw_term = 'qol' THEN false ELSE selected_for_export END AS selected_for_export FROM rules")
+@query("r5_toggle", f"{o.CLUSTER_PATH} SELECT raw_term, target_term, tier, rule_source, clinical_safety_check, raw_frequency, CASE WHEN raw_term = 'adt' THEN false ELSE selected_for_export END AS selected_for_export FROM rules")
 def r5(spark, d):
     none = spark.createDataFrame([], "raw_term string, selected boolean, target string")
-    return review.apply_overrides(_built(spark, d)[2], review.toggle(review.toggle(none, "qol", True), "qol", False))
+    return review.apply_overrides(_built(spark, d)[2], review.toggle(review.toggle(none, "adt", True), "adt", False))
 
 
 # Sources: tagged texts made of the corpus and parsed back.
@@ -443,16 +478,34 @@ def s10(spark, d):
     return tables.vos_records(_vos_lines(spark, d)).select("doc_id", F.get("keywords", F.lit(0)).alias("keyword"))
 
 
-@query("s8_scopus_records", f"""WITH {_KWS}, r AS (SELECT *, row_number() OVER (ORDER BY rec) AS n FROM kw)
-SELECT CASE WHEN rec % 3 = 0 THEN 'E' || rec WHEN rec % 3 = 1 THEN '10.1/' || rec ELSE 'scopus_' || n END AS doc_id, {_FLAT('kws')} AS keywords FROM r""")
-def s8(spark, d):
+_SCOPUS = f"{_KWS}, r AS (SELECT *, row_number() OVER (PARTITION BY rec // 64 ORDER BY rec) AS n FROM kw)"
+
+
+def _scopus_rows(spark: SparkSession, d: str) -> DataFrame:
     per = keyword_edges(spark, d).groupBy("rec_seq").agg(F.array_sort(F.collect_set("kw_raw")).alias("kws"))
     half, r = F.floor((F.size("kws") + 1) / 2).cast("int"), F.col("rec_seq")
-    rows = per.select(
-        F.lit("one").alias("path"), r.alias("rec"), F.when(r % 3 == 0, F.concat(F.lit("E"), r.cast("string"))).otherwise("").alias("eid"), F.when(r % 3 < 2, F.concat(F.lit("10.1/"), r.cast("string"))).alias("doi"),
+    return per.select(
+        F.floor(r / 64).cast("string").alias("path"), r.alias("rec"), F.when(r % 3 == 0, F.concat(F.lit("E"), r.cast("string"))).otherwise("").alias("eid"), F.when(r % 3 < 2, F.concat(F.lit("10.1/"), r.cast("string"))).alias("doi"),
         F.array_join(F.slice("kws", F.lit(1), half), "; ").alias("a"), F.concat(F.array_join("kws", ";"), F.lit("; ;")).alias("i"),
     )
-    return tables.scopus_records(rows).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
+
+
+@query("s8_scopus_records", f"""WITH {_SCOPUS}
+SELECT CASE WHEN rec % 3 = 0 THEN 'E' || rec WHEN rec % 3 = 1 THEN '10.1/' || rec ELSE 'scopus_' || n END AS doc_id, {_FLAT('kws')} AS keywords FROM r""")
+def s8(spark, d):
+    return tables.scopus_records(_scopus_rows(spark, d)).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
+
+
+@query("s8_scopus_files", f"WITH {_KWS} SELECT CASE WHEN rec % 3 = 0 THEN 'E' || rec WHEN rec % 3 = 1 THEN '10.1/' || rec ELSE 'scopus_1' END AS doc_id, {_FLAT('kws')} AS keywords FROM kw WHERE rec % 3 <> 2 OR rec = (SELECT min(rec) FROM kw WHERE rec % 3 = 2)")
+def s8_files(spark, d):
+    """CSV files written and read back; one file has the one row without an id of its own, which takes its place there."""
+    rows, path = settled(_scopus_rows(spark, d)), shared_path(spark)
+    lone = rows.where("rec % 3 = 2").orderBy("rec").limit(1)
+    for part in (rows.where("rec % 3 <> 2"), lone):
+        named = part.select(F.col("eid").alias("EID"), F.col("doi").alias("DOI"), F.col("a").alias("Author Keywords"), F.concat("i", F.lit(' "quoted, with comma";')).alias("Index Keywords"))
+        named.write.mode("append").csv(path, header=True, quoteAll=True, escape='"')
+    found = tables.read_scopus(spark, path)
+    return found.select("doc_id", F.array_join(F.filter("keywords", lambda w: ~F.contains(w, F.lit("quoted, with comma"))), "|").alias("keywords"))
 
 
 @query("s12_vocabulary_xml", """WITH e AS (SELECT lower(p_name || ' ' || (p_size % 4)) AS term, 'D' || p_partkey AS descriptor_id, 'M' || p_partkey || '.0' AS concept_id, p_brand AS canonical_name, p_type AS concept_name, p_partkey AS rec, 0 AS c FROM part
@@ -461,14 +514,18 @@ x AS (SELECT term, arg_max(struct_pack(descriptor_id, concept_id, canonical_name
 o AS (SELECT lower(p_brand) AS term, arg_min(struct_pack(d := 'D' || p_partkey, n := p_brand), p_partkey) AS v FROM part WHERE lower(p_brand) NOT IN (SELECT term FROM x) GROUP BY 1)
 SELECT term, v.descriptor_id AS descriptor_id, v.concept_id AS concept_id, v.canonical_name AS canonical_name, v.concept_name AS concept_name FROM x UNION ALL SELECT term, v.d, v.d, v.n, NULL FROM o""")
 def s12(spark, d):
-    """Descriptor records written as XML from parts and parsed back."""
+    """Descriptor records of parts written as compressed XML files and read back."""
     k = F.col("p_partkey").cast("string")
     tag = lambda t, *inside: F.concat(F.lit(f"<{t}>"), *inside, F.lit(f"</{t}>"))
     concept = lambda i, name, term: tag("Concept", tag("ConceptUI", F.lit("M"), k, F.lit(f".{i}")), tag("ConceptName", tag("String", name)), tag("TermList", tag("Term", tag("String", term))))
     size = F.concat("p_name", F.lit(" "), (F.col("p_size") % 4).cast("string"))
     xml = tag("DescriptorRecord", tag("DescriptorUI", F.lit("D"), k), tag("DescriptorName", tag("String", F.col("p_brand"))), tag("ConceptList", concept(0, F.col("p_type"), size), concept(1, F.concat("p_type", F.lit("s")), F.col("p_type"))))
-    rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("rec"), F.from_xml(xml, tables.DESCRIPTOR).alias("x")).select("rec", "x.*")
-    return tables.vocabulary_entries(rows)
+    path = shared_path(spark)
+    parts = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", xml.alias("record"), F.lpad(F.floor(F.col("p_partkey") / 512).cast("string"), 9, "0").alias("of"))
+    records = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "record"))), lambda x: x["record"]), "\n")
+    files = parts.groupBy("of").agg(tag("DescriptorRecordSet", records).alias("value"))  # 512 records a file
+    files.write.partitionBy("of").option("compression", "gzip").text(path)
+    return tables.read_vocabulary_xml(spark, path)
 
 
 @query("j10_targets", f"WITH RECURSIVE {o.VOCABULARY}, {E_}, {o.PROPS}, {o.LINKS}, {o.CLOSED}, {o.RULES0} SELECT * FROM targets0")
@@ -480,3 +537,86 @@ def j10(spark, d):
 @query("r3_reset", f"{_SEL} selected_for_export FROM rules")
 def r3(spark, d):
     return review.apply_overrides(_built(spark, d)[2], _draft(spark).limit(0))
+
+
+# Files: written to the shared folder, or by a sink on the driver, and read back.
+def _bodies(spark: SparkSession, d: str, template: str) -> DataFrame:
+    """(line) of all records, some files of whole records in order."""
+    return record_bodies(spark, d, template).repartition(4, "path").sortWithinPartitions("path", "rec_seq").select(F.regexp_replace("body", r"\n\z", "").alias("line"))
+
+
+query("s7_charset_fallback", f"WITH {_KWS} SELECT 'title ' || rec AS doc_id, {_FLAT('kws')} AS keywords FROM kw")(lambda spark, d: _gbk_records(spark, d))
+
+
+def _gbk_records(spark: SparkSession, d: str) -> DataFrame:
+    """Chinese exports in GBK, which is no UTF-8: the bytes of files, as Spark reads them."""
+
+    def encode(batches):
+        for b in batches:
+            yield b.assign(content=[t.encode("gbk") for t in b.pop("text")])
+
+    files = record_texts(spark, d, "cnki").mapInPandas(encode, "path string, content binary")
+    return tables.parse_cnki(tables.decoded_lines(files)).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
+
+
+query("s15_read_records", f"WITH {_KWS} SELECT f AS source_database, CASE WHEN f = 'PubMed' THEN 'PMID:' ELSE 'title ' END || rec AS doc_id, {_FLAT('kws')} AS keywords FROM kw, (VALUES ('PubMed'), ('CNKI')) t(f)")(lambda spark, d: _dispatched(spark, d))
+
+
+def _dispatched(spark: SparkSession, d: str) -> DataFrame:
+    """Folders of two formats, each read by what its files hold."""
+    found = []
+    for template in ("pubmed", "refworks"):
+        _bodies(spark, d, template).write.text(path := shared_path(spark))
+        found.append(tables.read_records(spark, path).select("source_database", "doc_id", F.array_join("keywords", "|").alias("keywords")))
+    return found[0].unionByName(found[1])
+
+
+def _file_lines(spark: SparkSession, write, name: str, encoding: str = "utf-8") -> DataFrame:
+    """(n, line) of the file that a sink writes on the driver; rule sets are bounded by the vocabulary."""
+    with tempfile.TemporaryDirectory() as folder:
+        lines = Path(write(f"{folder}/{name}")).read_text(encoding).splitlines()
+    return spark.createDataFrame(list(enumerate(lines)), "n long, line string")
+
+
+def _file_sql(head: str | None, line: str, where: str) -> str:
+    body = f"SELECT row_number() OVER (ORDER BY target_term, raw_term) - {0 if head else 1} AS n, {line} AS line FROM rules WHERE {where}"
+    return f"{o.CLUSTER_PATH} {body}" + (f" UNION ALL SELECT 0, '{head}'" if head else "")
+
+
+_MERGES = "lower(trim(raw_term)) <> lower(trim(target_term))"
+query("k1_vosviewer_file", _file_sql("label' || chr(9) || 'replace by", "raw_term || chr(9) || target_term", f"selected_for_export AND {_MERGES}"))(lambda spark, d: _file_lines(spark, lambda p: sinks.write_vosviewer(_built(spark, d)[2], p), "v.txt"))
+query("k2_citespace_file", _file_sql(None, "raw_term || chr(9) || target_term", f"selected_for_export AND {_MERGES}"))(lambda spark, d: _file_lines(spark, lambda p: sinks.write_citespace(_built(spark, d)[2], p), "c.alias"))
+query("k3_bibliometrix_file", _file_sql("' || chr(65279) || 'old_term;new_term", "raw_term || ';' || target_term", _MERGES))(lambda spark, d: _file_lines(spark, lambda p: sinks.write_bibliometrix(_built(spark, d)[2], p, True), "b.csv"))
+
+
+@query("k5_audit_file", f"{o.CLUSTER_PATH}, {o.METRICS}, au AS ({o.AUDIT}) SELECT count(*) + 1 AS lines, count(*) FILTER (WHERE export_status = 'Included') AS included FROM au")
+def k5(spark, d):
+    """The workbook's table in the form that can be written here."""
+    lines = _file_lines(spark, lambda p: sinks.write_audit(_built(spark, d)[2], p, keyword_edges(spark, d)).with_suffix(".csv"), "audit.csv", "utf-8-sig")
+    return lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("line").endswith(",Included")).alias("included"))
+
+
+@query("k6_s14_vocabulary_json", f"WITH {o.VOCABULARY} SELECT vterm AS term, descriptor_id, concept_id, canonical_name FROM vocabulary")
+def k6(spark, d):
+    """The vocabulary as a JSON file, and the file as a vocabulary."""
+    path = shared_path(spark)
+    _file_lines(spark, lambda p: sinks.write_vocabulary(keywords.seed_vocabulary(spark), p), "v.json").orderBy("n").coalesce(1).select("line").write.text(path)
+    return tables.read_vocabulary_json(spark, path).select("term", "descriptor_id", "concept_id", "canonical_name")
+
+
+@query("s14_roots_and_words", f"SELECT 'root' AS kind, unnest({o._LIST(ROOTS)}) AS value UNION ALL SELECT 'word', lower(w) FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)")
+def s14(spark, d):
+    """Root and word-list files with comments, blank lines and other case."""
+    roots, words = shared_path(spark), shared_path(spark)
+    entries = json.dumps({r: {"category": "c", "meaning": r, "examples": [r + "a"]} for r in ROOTS})
+    spark.createDataFrame([(entries,)], "line string").coalesce(1).write.text(roots)
+    names = spark.read.parquet(f"{d}/part.parquet").select(F.explode(F.split(F.initcap("p_name"), " ")).alias("line"))
+    names.unionByName(spark.createDataFrame([("# a comment",), ("",), ("  ",)], "line string")).write.text(words)
+    return tables.read_roots_json(spark, roots).select(F.lit("root").alias("kind"), F.col("root").alias("value")).unionByName(tables.read_word_list(spark, words).select(F.lit("word").alias("kind"), F.col("word").alias("value")))
+
+
+@query("k7_draft_file", "SELECT * FROM (VALUES ('adt', false, NULL), ('prostate cancers', true, 'cancer of the gland'), ('no such term', true, NULL)) t(raw_term, selected, target)")
+def k7(spark, d):
+    """A draft written, and read back."""
+    with tempfile.TemporaryDirectory() as folder:
+        return sinks.read_draft(spark, sinks.write_draft(_draft(spark), f"{folder}/draft.json"))

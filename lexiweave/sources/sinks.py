@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import json
 import os
+import warnings
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -50,28 +51,40 @@ def write_bibliometrix(rules: DataFrame, path: str | Path, include_unselected: b
 
 
 def write_audit(rules: DataFrame, path: str | Path, doc_kw: DataFrame | None = None) -> Path:
-    """K4, K5: the audit table as CSV with a byte-order mark, or as a workbook where openpyxl is present and path ends in .xlsx."""
+    """K4, K5: the audit table as CSV with a byte-order mark, or as a workbook where path ends in .xlsx and one can be written."""
     path = Path(path)
-    rows = (tuple(r) for r in audit_rows(rules, doc_kw).orderBy("target_term", "raw_term").toLocalIterator())
+    table = audit_rows(rules, doc_kw).orderBy("target_term", "raw_term")
     if path.suffix == ".xlsx":
         try:
-            import openpyxl
-        except ImportError:
+            return _write_workbook(map(tuple, table.toLocalIterator()), path)
+        except Exception as problem:  # whatever keeps the workbook from being written, the table is not lost
+            warnings.warn(f"no workbook ({problem}); the audit table is written as CSV", stacklevel=2)
             path = path.with_suffix(".csv")
-        else:
-            book = openpyxl.Workbook(write_only=True)
-            sheet = book.create_sheet("Table S1 Harmonization Audit")
-            sheet.append(AUDIT_COLUMNS)
-            for row in rows:
-                sheet.append(row)
-            note = book.create_sheet("Methodological Statement")
-            note.append(["Raw Occurrence Sum counts every mention of a keyword; Independent Document Count counts each record once."])
-            book.save(path)
-            return path
     with _open(path, "utf-8-sig") as f:
         out = csv.writer(f)
         out.writerow(AUDIT_COLUMNS)
-        out.writerows(rows)
+        out.writerows(map(tuple, table.toLocalIterator()))
+    return path
+
+
+def _write_workbook(rows: Iterable[tuple], path: Path) -> Path:
+    import openpyxl
+    from openpyxl.styles import Font
+
+    book = openpyxl.Workbook(write_only=True)
+    sheet = book.create_sheet("Table S1 Harmonization Audit")
+    for n, title in enumerate(AUDIT_COLUMNS):
+        sheet.column_dimensions[openpyxl.utils.get_column_letter(n + 1)].width = max(14, len(title) + 2)
+    sheet.freeze_panes = "A2"
+    heads = [openpyxl.cell.WriteOnlyCell(sheet, value=title) for title in AUDIT_COLUMNS]
+    for head in heads:
+        head.font = Font(bold=True)
+    sheet.append(heads)
+    for row in rows:
+        sheet.append(row)
+    note = book.create_sheet("Methodological Statement")
+    note.append(["Raw Occurrence Sum counts every mention of a keyword; Independent Document Count counts each record once."])
+    book.save(path)
     return path
 
 

@@ -23,7 +23,12 @@ DESCRIPTOR = (
 
 
 def read_decoded(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line) of files in the first of CHARSETS that decodes them whole. Spark has no GBK of its own."""
+    """(path, line_no, line) of files in the first of CHARSETS that decodes them whole."""
+    return decoded_lines(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def decoded_lines(files: DataFrame) -> DataFrame:
+    """S7 of (path, content) rows. Spark has no GBK of its own."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -37,7 +42,7 @@ def read_decoded(spark: SparkSession, path: str) -> DataFrame:
                         continue
             yield pd.DataFrame({"path": b["path"], "text": texts})
 
-    return lines_of(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, text string"))
+    return lines_of(files.select("path", "content").mapInPandas(decode, "path string, text string"))
 
 
 def read_scopus(spark: SparkSession, path: str) -> DataFrame:
@@ -93,7 +98,8 @@ def read_vocabulary_xml(spark: SparkSession, path: str) -> DataFrame:
     no other gives it. Files ending in .gz are read as such but not split.
     """
     raw = spark.read.format("xml").option("rowTag", "DescriptorRecord").schema(DESCRIPTOR).load(path)
-    return vocabulary_entries(raw.withColumn("rec", F.monotonically_increasing_id()))
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())  # the order of records, however files are split
+    return vocabulary_entries(raw.withColumn("rec", place))
 
 
 def vocabulary_entries(raw: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from lexiweave.functions.lexicons import TIER_1, TIER_2, TIER_3
 from lexiweave.operators import audit, clusters, keywords, review
 from lexiweave.plans.pipelines import rules_by_term
 
-FOURTEEN = {
-    "prostate cancer": 300, "prostatic neoplasms": 80, "prostate-cancer": 25, "prostate cancers": 15, "depression": 245, "depressive symptoms": 40, "depressions": 12,
-    "quality of life": 120, "qol": 85, "quality-of-life": 20, "androgen deprivation therapy": 90, "adt": 65, "castration-resistant prostate cancer": 50, "crpc": 35,
+TWELVE = {
+    "exercise": 210, "exercises": 33, "aerobic exercise": 47, "renal biopsy": 90, "renal-biopsy": 8, "renal biopsies": 12, "anxiety": 61, "anxieties": 5,
+    "quality of life": 77, "life quality": 30, "intensity modulated beam therapy": 40, "imbt": 9,
 }
 
 
@@ -18,26 +18,25 @@ def build(spark, freqs, **options):
     return {x.target_term: x for x in c.collect()}, {x.raw_term: x for x in r.collect()}, c, r
 
 
-def test_fourteen_terms(spark):
-    c, r, _, _ = build(spark, FOURTEEN)
-    assert {t: x.combined_freq for t, x in c.items()} == {"prostate cancer": 420, "depression": 257, "quality of life": 225, "androgen deprivation therapy": 155, "castration-resistant prostate cancer": 85}
-    assert len(r) == 9
+def test_twelve_terms(spark):
+    c, r, _, _ = build(spark, TWELVE)
+    assert {t: x.combined_freq for t, x in c.items()} == {"exercise": 290, "renal biopsy": 110, "anxiety": 61, "quality of life": 107, "intensity modulated beam therapy": 49}
     want = {
-        "prostatic neoplasms": (TIER_1, "MeSH Concept (M0017849)"), "prostate-cancer": (TIER_1, "Hyphen Resolution"), "prostate cancers": (TIER_1, "Lemmatization"), "depressive symptoms": (TIER_3, "MeSH Concept (M0006080)"),
-        "depressions": (TIER_1, "Lemmatization"), "qol": (TIER_2, "Acronym Decoupling"), "quality-of-life": (TIER_1, "Hyphen Resolution"), "adt": (TIER_2, "Acronym Decoupling"), "crpc": (TIER_2, "Acronym Decoupling"),
+        "exercises": (TIER_1, "Lemmatization"), "aerobic exercise": (TIER_2, "MeSH Descriptor (D015444)"), "renal-biopsy": (TIER_1, "Hyphen Resolution"), "renal biopsies": (TIER_1, "Lemmatization"),
+        "anxieties": (TIER_3, "Lemmatization"), "life quality": (TIER_1, "MeSH Concept (M0018318)"), "imbt": (TIER_2, "Acronym Decoupling"),
     }
     assert {t: (x.tier, x.rule_source) for t, x in r.items()} == want
-    assert not r["depressive symptoms"].selected_for_export and c["depression"].has_blocked_variants
+    assert not r["anxieties"].selected_for_export and c["anxiety"].has_blocked_variants and not c["exercise"].has_blocked_variants
 
 
 def test_roots_attach_lone_terms(spark):
-    freqs = {"prostate cancer": 300, "prostate-cancer": 25, "prostatitis": 20, "prostatectomy": 15, "depression": 245, "antidepressants": 18, "depressions": 10, "protein": 50}
+    freqs = {"hepatic lesion": 200, "hepatic-lesion": 21, "hepatitis panel": 17, "hepatology": 14, "immune marker": 120, "immunotherapy": 19, "immune markers": 11, "device": 44}
     c, r, cdf, rdf = build(spark, freqs)
-    assert r["prostatitis"].rule_source == "Medical Morpheme (prostat)" and not r["prostatitis"].selected_for_export and r["antidepressants"].target_term == "depression"
-    assert c["prostate cancer"].combined_freq == 325 and c["depression"].combined_freq == 255 and set(c) == {"prostate cancer", "depression", "protein"}
-    assert [v.raw_term for v in clusters.nested(cdf, rdf).where("target_term = 'prostate cancer'").first().variants] == ["prostate-cancer", "prostatitis", "prostatectomy"]
+    assert r["hepatology"].rule_source == "Medical Morpheme (hepat)" and not r["hepatology"].selected_for_export and r["immunotherapy"].target_term == "immune marker"
+    assert c["hepatic lesion"].combined_freq == 221 and c["immune marker"].combined_freq == 131 and set(c) == {"hepatic lesion", "immune marker", "device"}
+    assert [v.raw_term for v in clusters.nested(cdf, rdf).where("target_term = 'hepatic lesion'").first().variants] == ["hepatic-lesion", "hepatitis panel", "hepatology"]
     c2, r2, _, _ = build(spark, freqs, morphemes=False)
-    assert "prostatitis" in c2 and len(r2) == 2
+    assert "hepatology" in c2 and len(r2) == 2
 
 
 def test_odd_cases(spark):
@@ -109,25 +108,26 @@ def test_absorption_on_random_roots(spark, seed):
 
 
 def test_by_term_rules_and_metrics(spark):
-    freqs = {"prostate cancer": 420, "prostate-cancer": 45, "prostate cancers": 32, "depression": 380, "depressions": 18, "quality of life": 210, "quality-of-life": 35, "rare": 1, "psa": 90}
+    freqs = {"gastric ulcer": 320, "gastric-ulcer": 41, "gastric ulcers": 27, "lung nodule": 150, "lung nodules": 22, "rate of change": 75, "rate-of-change": 13, "rare": 1, "mri": 66}
     r = rules_by_term(spark.createDataFrame(list(freqs.items()), "term string, freq long"), keywords.seed_vocabulary(spark))
     assert r.count() == 8
-    assert {tuple(x) for x in audit.exportable(r).select("raw_term", "target_term").collect()} == {("prostate-cancer", "prostate cancer"), ("prostate cancers", "prostate cancer"), ("depressions", "depression"), ("quality-of-life", "quality of life")}
-    docs = spark.createDataFrame([(1, "prostate neoplasms"), (1, "prostate cancer"), (2, "Prostate Cancer")], "rec_seq long, kw_raw string")
-    m = audit.dual_metrics(docs, spark.createDataFrame([("prostate neoplasms", "prostate cancer")], "raw string, canonical string")).first()
-    assert (m.raw_sum, m.doc_count, m.reduction) == (3, 2, 1)
+    want = {("gastric-ulcer", "gastric ulcer"), ("gastric ulcers", "gastric ulcer"), ("lung nodules", "lung nodule"), ("rate-of-change", "rate of change")}
+    assert {tuple(x) for x in audit.exportable(r).select("raw_term", "target_term").collect()} == want
+    docs = spark.createDataFrame([(1, "lung nodules"), (1, "lung nodule"), (2, "Lung Nodule"), (2, "lung nodules"), (3, "Lung Nodule")], "rec_seq long, kw_raw string")
+    m = audit.dual_metrics(docs, spark.createDataFrame([("lung nodules", "lung nodule")], "raw string, canonical string")).first()
+    assert (m.raw_sum, m.doc_count, m.reduction) == (5, 3, 2)
 
 
 def test_counts_and_review(spark):
     e = spark.createDataFrame([(1, "ADT"), (1, "adt"), (1, "adt"), (2, " "), (2, None)], "rec_seq long, kw_raw string")
     assert keywords.document_frequency(e).collect()[0].freq == 2 and keywords.document_frequency(e, ignore_case=True).collect()[0].freq == 1
-    _, _, c, r = build(spark, FOURTEEN)
-    assert {x.raw_term for x in review.approve_safe(r).where("not selected_for_export").collect()} == {"depressive symptoms"}
+    _, _, c, r = build(spark, TWELVE)
+    assert {x.raw_term for x in review.approve_safe(r).where("not selected_for_export").collect()} == {"anxieties"}
     none = spark.createDataFrame([], "raw_term string, selected boolean, target string")
-    done = {x.raw_term: x for x in review.apply_overrides(r, review.toggle(none, "qol", False)).collect()}
-    assert not done["qol"].selected_for_export and done["adt"].selected_for_export
-    assert [x.target_term for x in review.search(c, r, "QOL").collect()] == ["quality of life"]
+    done = {x.raw_term: x for x in review.apply_overrides(r, review.toggle(none, "imbt", False)).collect()}
+    assert not done["imbt"].selected_for_export and done["exercises"].selected_for_export
+    assert [x.target_term for x in review.search(c, r, "IMB").collect()] == ["intensity modulated beam therapy"]
     p = review.panel(r.select("raw_term"), c, r).first()
-    assert (p.clusters, p.variants, p.selected, p.tier_3) == (5, 9, 8, 1)
+    assert (p.clusters, p.variants, p.selected, p.tier_3) == (5, 7, 6, 1)
     targets, raws = {x.target_term for x in r.collect()}, {x.raw_term for x in r.collect()}
     assert not targets & raws and all(x.raw_term != x.target_term for x in r.collect())
