@@ -132,10 +132,11 @@ def _gradient(m: Model, f: dict, y: np.ndarray, weight: np.ndarray, starts: np.n
 def fit(bags: list[np.ndarray], y: np.ndarray, hidden: int = 24, gate: int = 12, rounds: int = 40, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> Model:
     """Adam over mini-batches of whole bags; the rarer label weighs as much as the other in all."""
     rng = np.random.default_rng(seed)
-    x = np.concatenate(bags).astype(np.float64)
-    width = x.shape[1]
+    n, width = sum(len(b) for b in bags), bags[0].shape[1]
+    mean = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / n  # bag by bag: the whole sample in double precision would be large
+    spread = np.sqrt(sum(((b - mean) ** 2).sum(axis=0) for b in bags) / n)
     start = lambda *s: rng.normal(scale=1 / np.sqrt(s[0]), size=s)
-    m = Model(x.mean(axis=0), x.std(axis=0) + 1e-3, {"B": start(width, hidden), "b": np.zeros(hidden), "V": start(hidden, gate), "U": start(hidden, gate), "w": start(gate), "c": start(hidden), "d": np.zeros(1)})
+    m = Model(mean, spread + 1e-3, {"B": start(width, hidden), "b": np.zeros(hidden), "V": start(hidden, gate), "U": start(hidden, gate), "w": start(gate), "c": start(hidden), "d": np.zeros(1)})
     ones = max(1.0, y.sum())
     weight = np.where(y == 1, len(y) / 2 / ones, len(y) / 2 / max(1.0, len(y) - ones))
     first, second = ({k: np.zeros_like(v) for k, v in m.p.items()} for _ in range(2))
@@ -190,7 +191,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text_col:
     y = got["y"].to_numpy()
     if len(set(y.tolist())) < 2:
         return None
-    return fit([np.frombuffer(b.as_py(), dtype=np.float16).reshape(-1, WIDTH).astype(np.float32) for b in got["bag"]], y)
+    bags = [np.frombuffer(b.as_py(), dtype=np.float16).reshape(-1, WIDTH) for b in got["bag"]]
+    del got
+    return fit(bags, y)
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
