@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, licenses, mixing, multi_index, packing, pii, quality, simhash, sketches, token_counts
+from . import ball_trees, byte_pairs, chunk_dedup, licenses, merkle, mixing, multi_index, packing, pii, quality, simhash, sketches, token_counts
 from .common import documents
 
 
@@ -75,6 +75,25 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's centroid after three rounds, its squared distance, and the inertia of its cluster and of all."""
+    return ball_trees.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))[0]
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, subroot and proof in the manifest, and whether its tampered or own text still folds to the root."""
+    made = merkle.folded(merkle.manifest(documents(spark, sf_dir), merkle.tampered_text()), F.coalesce("tampered_leaf", "leaf"))
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of ids, and digests of its ids and of the bytes that they spell."""
+    files = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    found = byte_pairs.decode_ids(byte_pairs.encode_texts(documents(spark, sf_dir), *files), *files)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3's operator on instruction data: whole conversations under limits on tokens, segments and answer tokens."""
     return packing.pack_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), public_tokenizers.path("word_bpe_49k.json"))
@@ -91,9 +110,14 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_inverted_multi_index": op9_inverted_multi_index,
     "op10_bottom_k_fingerprints": op10_bottom_k_fingerprints,
+    "op11_ball_tree_clusters": op11_ball_tree_clusters,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_byte_pairs": op13_byte_pairs,
     "packed_conversations": packed_conversations,
 }
 
 ORACLES: dict[str, str] = {
     "op5_license_scan": licenses.oracle_sql(),
+    "op11_ball_tree_clusters": ball_trees.oracle_sql(),
+    "op12_merkle_manifest": merkle.oracle_sql(),
 }
