@@ -6,7 +6,9 @@ hash's span, so once two texts are cut at the same place of a shared passage the
 and an insertion moves only the cuts near it. From each chunk on, the shortest run of whole chunks with at
 least `min_words` words is compared over the whole corpus by the 64-bit digest of its bytes: a run that stands
 in two documents is repeated as a whole, so each repeated passage has one partner for `min_words` words in a row at
-every place. Overlapping runs join to passages. The document with the smallest id keeps its copy of a
+every place. A word is a stretch between blanks; in scripts that are written without blanks (Han, kana, Thai, Lao, Burmese,
+Khmer) each code point counts as one. A text of fewer words is compared as a whole; blanks alone are no passage.
+Overlapping runs join to passages. The document with the smallest id keeps its copy of a
 run; later copies can be cut. Repeats inside one document are left alone.
 """
 
@@ -79,21 +81,41 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def word_places(data: np.ndarray) -> np.ndarray:
+    """Where words start in UTF-8 bytes, code points of scripts without blanks among them."""
+    space = _IS_SPACE[data]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    if data.size and data.max() >= 0xE0:
+        after = np.append(data[1:], np.uint8(0))
+        inside = lambda x, lo, hi: (x >= lo) & (x <= hi)
+        begins |= inside(data, 0xE4, 0xE9) | ((data == 0xE3) & (after >= 0x81)) | ((data == 0xF0) & (after >= 0xA0))  # kana and Han
+        begins |= (data == 0xE0) & inside(after, 0xB8, 0xBB)  # Thai and Lao
+        begins |= (data == 0xE1) & (inside(after, 0x80, 0x82) | inside(after, 0x9E, 0x9F))  # Burmese and Khmer
+    return np.flatnonzero(begins)
+
+
 def runs_of(raw: bytes, average: int = AVERAGE, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of the shortest run of chunks with min_words words (white-space bytes) from each chunk on."""
+    """Start and end of the shortest run of chunks with min_words words from each chunk on; the whole text if it has fewer words, but some."""
+    words = word_places(np.frombuffer(raw, dtype=np.uint8))
+    if words.size < min_words:
+        some = np.arange(1 if words.size else 0, dtype=np.int64)
+        return some, some + len(raw)
     ends = cut_points(raw, average)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: ends.size]
-    spaces = np.flatnonzero(_IS_SPACE[np.frombuffer(raw, dtype=np.uint8)])
-    before = np.searchsorted(spaces, starts)
-    last = np.searchsorted(np.searchsorted(spaces, ends), before + min_words)  # first chunk by whose end there are enough
+    before = np.searchsorted(words, starts)
+    last = np.searchsorted(np.searchsorted(words, ends), before + min_words)  # first chunk by whose end there are enough
     whole = last < ends.size
-    return starts[whole], ends[last[whole]]
+    starts, ends = starts[whole], ends[last[whole]]
+    if ends[-1] < len(raw):  # the last run goes on to the end of the text, too, so that equal ends are found whole
+        starts, ends = np.append(starts, starts[-1]), np.append(ends, len(raw))
+    return starts, ends
 
 
 def runs(docs: DataFrame, average: int = AVERAGE, min_words: int = MIN_WORDS, text_col: str = "text", places: bool = True) -> DataFrame:
     """(digest, k) of every run, and with places (th, start, end): text hash and place in bytes.
 
-    k is the id, nulls on the smallest long. Texts of fewer words, null and empty ones have no runs.
+    k is the id, nulls on the smallest long. A text of fewer than min_words words is one run; null, empty and blank ones have none.
     """
     names = ["digest", "k", *(("th", "start", "end") if places else ())]
 
@@ -149,9 +171,11 @@ def documents_with_repeats(docs: DataFrame, average: int = AVERAGE, min_words: i
     removable_bytes (of copies whose first document is another), spans (array of start, bytes in UTF-8) and
     first_doc_id (the smallest id that shares one of its runs).
 
-    Documents without a repeated passage have no row; null and empty texts have none. Repeats of a
+    Documents without a repeated passage have no row; null, empty and blank texts have none. A text of fewer than min_words words
+    counts as repeated only where another text is equal to it; passages of fewer words inside longer texts are not found,
+    nor are long stretches without blanks in scripts that have them (they are one word). Repeats of a
     row are one document and give one row; rows of one id with unlike texts give one each; a null
-    doc_id is an id of its own and is reported as null. An empty table gives no rows.
+    doc_id is an id of its own and is reported as null. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     found = repeated_passages(docs, average, min_words, text_col)
     back = lambda c: F.when(F.col(c) != F.lit(-(1 << 63)), F.col(c))

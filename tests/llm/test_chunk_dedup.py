@@ -44,19 +44,39 @@ def test_threshold_spread():
     assert cd.LEAST <= sizes[:-1].min() and sizes.max() <= cd.MOST and 0.9 < sizes.mean() / cd.AVERAGE < 1.1
 
 
+def slow_words(text):
+    """Bytes at which words start, code point by code point."""
+    out, at, blank = [], 0, True
+    for c in text:
+        dense = any(a <= ord(c) <= b for a, b in ((0xE00, 0xEFF), (0x1000, 0x10BF), (0x1780, 0x17FF), (0x3040, 0x9FFF), (0x20000, 0x3FFFF)))
+        if dense or blank and c not in "\t\n\v\f\r ":
+            out.append(at)
+        at, blank = at + len(c.encode()), c in "\t\n\v\f\r "
+    return out
+
+
 def brute(rows, min_words=cd.MIN_WORDS):
     """For each id the covered spans: byte strings of whole chunks with enough words, searched in all other texts' chunks."""
     seen, own = {}, {}
     for k, t in rows:
-        raw = t.encode()
+        raw, words = t.encode(), slow_words(t)
         ends = slow_cuts(raw)
         starts = [0, *ends[:-1]]
+        if 0 < len(words) < min_words:
+            starts, ends = [0], [len(raw)]
+            seen.setdefault(raw, set()).add(k)
+            own.setdefault(k, []).append((0, len(raw)))
+        last = None
         for i, a in enumerate(starts):
             for b in ends[i:]:
-                if sum(x in b"\t\n\v\f\r " for x in raw[a:b]) >= min_words:
+                if sum(a <= w < b for w in words) >= min_words:
                     seen.setdefault(raw[a:b], set()).add(k)
                     own.setdefault(k, []).append((a, b))
+                    last = a
                     break
+        if last is not None:
+            seen.setdefault(raw[last:], set()).add(k)
+            own[k].append((last, len(raw)))
     out = {}
     for k, t in rows:
         covered = sorted(s for s in own.get(k, []) if len(seen[t.encode()[s[0] : s[1]]]) > 1)
@@ -107,4 +127,39 @@ def test_long_and_constant_texts(spark):
     long = prose(rng, 40_000)
     rows = [(1, long), (2, "head " + long), (3, "a " * 50_000), (4, "a " * 30_000), (5, "b" * 200_000), (6, "b" * 200_000)]
     got = {r.doc_id: r for r in cd.documents_with_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert set(got) == {1, 2, 3, 4} and got[2].removable_bytes > 0.99 * len(long.encode()) and got[1].removable_bytes == 0
+    assert set(got) == {1, 2, 3, 4, 5, 6} and got[6].removable_bytes == 200_000 and got[2].removable_bytes > 0.99 * len(long.encode()) and got[1].removable_bytes == 0
+
+
+def test_words_start_alike_byte_by_byte_and_by_code_point():
+    rng = random.Random(6)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "b ", " ", "\n", "é", "語", "かな", "ไทย", "ລາວ", "မြန်", "ខ្មែ", "𠀀", "한국 ", "。", "　", "€", "😀"]) for _ in range(rng.randint(0, 60)))
+        assert cd.word_places(np.frombuffer(text.encode(), dtype=np.uint8)).tolist() == slow_words(text)
+
+
+def test_scripts_without_blanks_short_copies_and_blanks(spark):
+    rng = random.Random(8)
+    dense = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    thai = lambda n: "".join(chr(rng.randint(0xE01, 0xE2E)) for _ in range(n))
+    copy, passage, words24 = dense(1800), thai(200), prose(rng, 24)
+    rows = [(1, copy), (2, copy), (3, dense(300) + passage + dense(80)), (4, dense(40) + passage + dense(300)), (5, words24), (6, words24), (7, "two words"), (8, "two words"), (9, "two  words")]
+    rows += [(10, prose(rng, 30) + " " * 900 + prose(rng, 30)), (11, prose(rng, 30) + " " * 900 + prose(rng, 30)), (12, " " * 900), (13, " " * 900), (14, "\n"), (15, "\n"), (16, dense(20)), (17, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in cd.documents_with_repeats(df).collect()}
+    assert {k: [tuple(s) for s in r.spans] for k, r in got.items()} == brute(rows)
+    assert set(got) == {1, 2, 3, 4, 5, 6, 7, 8}
+    assert all(got[k].removable_bytes == len(dict(rows)[k].encode()) for k in (2, 6, 8)) and got[4].removable_bytes > 400
+
+
+def test_every_exact_copy_is_reported(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {}
+    for r in docs.collect():
+        if (r.text or "").strip():
+            texts.setdefault(r.text, []).append(r.doc_id)
+    copies = {i for ids in texts.values() if len(ids) > 1 for i in ids}
+    got = {r.doc_id: r for r in cd.documents_with_repeats(docs).collect()}
+    assert len(copies) > 20 and copies <= set(got)
+    for text, ids in texts.items():
+        for i in sorted(ids)[1:]:
+            assert got[i].removable_bytes == len(text.encode())
