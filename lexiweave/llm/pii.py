@@ -10,9 +10,10 @@ name has one surrogate whatever title, place or gender a mention gives it.
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_key, stable
@@ -44,33 +45,52 @@ SYLLABLES = {
 ENDINGS = {("latin", "m"): "o", ("latin", "f"): "a", ("latin", "n"): "i", ("cyrillic", "m"): "ий", ("cyrillic", "f"): "ия", ("cyrillic", "n"): "и", ("greek", "m"): "ος", ("greek", "f"): "α", ("greek", "n"): "ι"}
 
 _ALL_TITLES = [t for ts in TITLES.values() for t in ts]
-_TITLE = r"(?<!\p{L})(?:" + "|".join(_ALL_TITLES) + r")\.? "
+_LOUD_TITLES = [t.upper() for t in _ALL_TITLES]
+_AFTER_TITLE = r")(?:\.\s{0,3}|\s{1,3})"
+_TITLE = r"(?<!\p{L})(?:" + "|".join(_ALL_TITLES + _LOUD_TITLES) + _AFTER_TITLE
+_LOUD_TITLE = r"(?<!\p{L})(?:" + "|".join(_LOUD_TITLES) + _AFTER_TITLE
 _KEYWORD = r"(?i:password|passwd|secret|token|api_?key) {0,2}[=:] {0,2}[\"']?"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+#: What may follow a secret without being part of it.
+_AFTER = r"""\s"'`.,;:!?)\]}>"""
+# A word of a name: letters, with apostrophes and hyphens inside; a possessive s is left out.
+_NAME = r"\p{Lu}(?:\p{L}+|(?=['’-]\p{L}))(?:['’-](?!s(?!\p{L}))\p{L}+)*+"
 # Small words inside family names.
 PARTICLES = ["van", "von", "der", "den", "de", "da", "di", "du", "del", "la", "le", "dos", "bin", "al", "zu", "ten"]
 _INITIALS = r"(?:\p{Lu}\. ?)"
-_MORE_NAME = rf"(?: (?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_INITIALS}{{0,3}}{_NAME})*+"
+_GAP = r"[ \t]{1,3}"
+_MORE_NAME = rf"(?:{_GAP}(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_INITIALS}{{0,3}}{_NAME})*+"
+# After a title in capitals a name in capitals has three words at most, for all words of such a text may have them.
+_LOUD_WORD = r"\p{Lu}{2,}(?:['’-](?!S(?!\p{L}))\p{Lu}+)*+(?!\p{L})"
+_LOUD_NAME = rf"{_INITIALS}{{0,3}}{_LOUD_WORD}(?:{_GAP}{_LOUD_WORD}){{0,2}}+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_HEX = "[0-9A-Fa-f]"
 
 # Kind and pattern of each entity; where two could start at one place, the earlier wins. Each starts with what makes
 # most places of a text fail at once; titles and keywords belong to the match.
 KINDS = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
     ("secret", r"A(?<![A-Za-z0-9]A)KIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
-    ("secret", rf"(?=[PpSsTtAa]){_KEYWORD}[A-Za-z0-9_/+-]{{8,}}+"),
+    ("secret", rf"""(?=[PpSsTtAa]){_KEYWORD}(?=[^\s"'`]{{8}})[^\s"'`]*[^{_AFTER}]"""),
     ("iban", r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z]\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("ip", rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
-    ("phone", r"\+(?<![\d+]\+)\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\d)|\((?<!\d\()\d{3}\) ?\d{3}-\d{4}(?!\d)"),
+    ("ip", rf"(?=\d)(?<![\p{{L}}\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
+    (
+        "ipv6",
+        rf"(?={_HEX})(?<![\p{{L}}\d:.])(?:(?:{_HEX}{{1,4}}:){{7}}{_HEX}{{1,4}}|(?:{_HEX}{{1,4}}:){{2,6}}(?::{_HEX}{{1,4}}){{1,5}}|(?i:fe80|f[cd]{_HEX}{{2}}|[23]{_HEX}{{3}}):(?::{_HEX}{{1,4}}){{1,6}})(?![\p{{L}}\d:])",
+    ),
+    (
+        "phone",
+        r"\+(?<![\d+]\+)\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\d)|\((?<!\d\()\d{3}\) ?\d{3}-\d{4}(?!\d)"
+        r"|0(?<![\d.+-]0)0[1-9]\d{0,2}[ .-](?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\d)|(?=\d)(?<![\p{L}\d.+-])\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![\d-]|\.\d)",
+    ),
     ("card", r"[3-6](?<![\d+.-][3-6])\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])"),
     ("ssn", r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("name", rf"(?=[{''.join(sorted({t[0] for t in _ALL_TITLES}))}]){_TITLE}{_INITIALS}{{0,3}}{_NAME}{_MORE_NAME}"),
+    ("name", rf"(?=[{''.join(sorted({t[0] for t in _ALL_TITLES}))}])(?:{_LOUD_TITLE}{_LOUD_NAME}|{_TITLE}{_INITIALS}{{0,3}}{_NAME}{_MORE_NAME})"),
 ]
 ENTITY = "|".join(f"(?:{p})" for _, p in KINDS)
 #: What any match has, cheap to look for: a digit, an at sign, a keyword's sign, a key's head or a title.
-_HINT = rf"[0-9@=]|AKIA|(?i:password|passwd|secret|token|api_?key) {{0,2}}:|(?:{'|'.join(_ALL_TITLES)})\.? \p{{Lu}}"
+_HINT = rf"[0-9@=]|AKIA|::|(?i:password|passwd|secret|token|api_?key) {{0,2}}:|(?:{'|'.join(_ALL_TITLES + _LOUD_TITLES)})(?:\.|\s)\s{{0,3}}\p{{Lu}}"
 #: What stands before the value inside a match.
-_BEFORE = rf"^(?:{_KEYWORD}(?=[A-Za-z0-9_/+-]{{8}})|{_TITLE}(?=\p{{Lu}}))"
+_BEFORE = rf"""^(?:{_KEYWORD}(?=[^\s"'`]{{8}})|{_TITLE}(?=\p{{Lu}}))"""
 
 _COMPACT = ("iban", "phone", "card", "ssn")
 #: Draws in the entity's own form; later ones are longer by a character for each further draw.
@@ -86,7 +106,8 @@ def _kind_of(value: Column, after_title: Column) -> Column:
         .when(value.contains("@"), "email")
         .when(value.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip")
         .when(value.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?$"), "iban")
-        .when(value.rlike(r"^\+|^\("), "phone")
+        .when(value.rlike(rf"^{_HEX}*:[0-9A-Fa-f:]+$"), "ipv6")
+        .when(value.rlike(r"^\+|^\(|^00[1-9][^a-z]*$|^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone")
         .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(value.rlike(r"^[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}$"), "card")
         .otherwise("secret")
@@ -99,7 +120,7 @@ def _byte(digest: Column, i: Column) -> Column:
 
 def _like(value: Column, seed: Column, fixed: Column) -> Column:
     """Each letter or digit of value past `fixed` characters replaced by one of its class, 32 characters a keyed SHA-256."""
-    hexes = value.rlike("^(?=.*[a-f])[0-9a-f]{8,}$")
+    hexes = value.rlike("^(?=.*[a-f])[0-9a-f]{8,}$|^[0-9a-f]*:[0-9a-f:]+$")
 
     def block(j: Column) -> Column:
         digest = F.sha2(F.concat_ws("|", seed, j.cast("string")), 256)
@@ -113,6 +134,8 @@ def _like(value: Column, seed: Column, fixed: Column) -> Column:
                 .when(c.rlike("[0-9]"), pick("0123456789"))
                 .when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz"))
                 .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+                .when(c.rlike(r"\p{L}"), pick("abcdefghijklmnopqrstuvwxyz"))
+                .when(c.rlike(r"\p{N}"), pick("0123456789"))
                 .otherwise(c)
             )
 
@@ -149,7 +172,7 @@ def candidate(kind: Column, key: Column, role: Column, attempt: Column, secret:
     digest = F.sha2(seed, 256)
     # Past the draws of its own form the value grows, so that no form runs out.
     more = F.substring(F.translate(F.sha2(F.concat_ws("|", seed, F.lit("more")), 256), "abcdef", "012345"), F.lit(1), F.greatest(attempt - (OWN_FORM - 1), F.lit(0)))
-    free = F.concat(_like(key, seed, F.when(key.rlike("^AKIA[0-9A-Z]{16}$"), 4).otherwise(0)), more)
+    free = F.concat(_like(key, seed, F.when(key.rlike("^AKIA[0-9A-Z]{16}$"), 4).when(kind == "ipv6", 1).otherwise(0)), more)
     octets = F.array_join(F.array(*((_byte(digest, F.lit(i)) % (223 if not i else 254) + 1).cast("string") for i in range(4))), ".")
     local = F.concat(_like(F.substring_index(key, "@", 1), seed, F.lit(0)), more)
     host = _like(F.regexp_replace(F.substring_index(key, "@", -1), r"\.[^.]+$", ""), F.concat(seed, F.lit("|host")), F.lit(0))
@@ -203,8 +226,8 @@ def surrogates(entities: DataFrame, secret: str, max_rounds: int = 64) -> DataFr
     """(kind, key, surrogate) for distinct (kind, key): one to one in each class of kinds, and never an original.
 
     entities: (kind, key, role), role being given:m, given:f, given:n or family for kinds name:<script>, and ignored
-    for others. A name that any mention has as a given name is one, of the gender that its mentions agree on, else
-    of none. In each round the undecided draw; a drawn value goes to its smallest key unless it is taken or is itself
+    for others, one row a mention. A word that more mentions have as a given name than as a family name is one, of the gender
+    that those mentions agree on, else of none. In each round the undecided draw; a drawn value goes to its smallest key unless it is taken or is itself
     an original key, and the others draw again, after OWN_FORM draws in a longer form (but for IBANs and IP addresses,
     whose form is fixed). Names are one class, whatever their script and place, and are compared in lower case, as
     their keys are. Work per round is a few joins on the undecided. An error says that a fixed form has run out.
@@ -212,27 +235,45 @@ def surrogates(entities: DataFrame, secret: str, max_rounds: int = 64) -> DataFr
     is_name = F.col("kind").startswith("name:")
     space = F.when(is_name, "name").otherwise(F.col("kind"))
     form = F.when(F.col("space") == "name", F.lower("surrogate")).otherwise(F.col("surrogate")).alias("form")
-    has = lambda r: F.coalesce(F.bool_or(F.col("role") == r), F.lit(False))
+    has = lambda r: F.count_if(F.col("role") == r)
     m, f, n = has("given:m"), has("given:f"), has("given:n")
-    role = F.when(m & ~f, "m").when(f & ~m, "f").when(m | n, "n").otherwise("family")
+    given = m + f + n > has("family")
+    role = F.when(given & (m > 0) & (f == 0), "m").when(given & (f > 0) & (m == 0), "f").when(given, "n").otherwise("family")
     todo = stable(entities.groupBy("kind", "key").agg(role.alias("role")).withColumn("space", space).withColumn("attempt", F.lit(0)))
     originals = todo.select("space", F.col("key").alias("form")).distinct()
-    done, rows = None, todo.count()
+    done, rows = [], todo.count()
     for _ in range(max_rounds):
         if not rows:
-            return done.select("kind", "key", "surrogate") if done is not None else todo.select("kind", "key", F.lit("").alias("surrogate"))
+            break
         drawn = _dealt(todo, rows).withColumn("surrogate", candidate(F.col("kind"), F.col("key"), F.col("role"), F.col("attempt"), secret))
         fresh = drawn.withColumn("form", form).join(originals, ["space", "form"], "left_anti")
-        if done is not None:
-            fresh = fresh.join(done.select("space", "surrogate"), ["space", "surrogate"], "left_anti")
+        for earlier in done:
+            fresh = fresh.join(earlier.select("space", "surrogate"), ["space", "surrogate"], "left_anti")
         won = fresh.groupBy("space", "surrogate").agg(F.min(F.struct("key", "kind")).alias("w")).select("space", F.col("w.kind").alias("kind"), F.col("w.key").alias("key"), "surrogate")
         won = stable(won)
-        done = won if done is None else stable(done.unionByName(won))
+        done.append(won)  # a round's rows are written once
         todo = stable(todo.join(won, ["kind", "key"], "left_anti").withColumn("attempt", F.col("attempt") + 1).select("kind", "key", "role", "space", "attempt"))
         rows = todo.count()
     if rows:
         raise RuntimeError(f"no distinct surrogates within {max_rounds} draws: a fixed form has too few values")
-    return done.select("kind", "key", "surrogate")
+    if not done:
+        return todo.select("kind", "key", F.lit("").alias("surrogate"))
+    return reduce(DataFrame.unionByName, done).select("kind", "key", "surrogate")
+
+
+def _with_surrogates(mentions: DataFrame, known: DataFrame, rows: int) -> DataFrame:
+    """mentions with the surrogate of their (kind, key).
+
+    A key with more than its share of the rows, as an address that stands in a third of all texts, is not an exchange's key: there are
+    at most 4 such keys for each shuffle partition, so these are broadcast and the others joined.
+    """
+    most = 4 * max(1, int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    share = max(1000, rows // most)
+    hot = stable(mentions.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share).select("kind", "key"))
+    if hot.isEmpty():
+        return mentions.join(known, ["kind", "key"])
+    few, many = known.join(F.broadcast(hot), ["kind", "key"]), mentions.join(F.broadcast(hot), ["kind", "key"], "left_anti")
+    return mentions.join(F.broadcast(few), ["kind", "key"]).unionByName(many.join(known, ["kind", "key"]))
 
 
 def _script(value: Column) -> Column:
@@ -240,32 +281,38 @@ def _script(value: Column) -> Column:
 
 
 def _parts(kind: Column, value: Column, title: Column) -> Column:
-    """array<struct<kind, key, role, value>>: one for each word of a name, else one."""
-    gender = F.when(title.isin(TITLES["m"]), "m").when(title.isin(TITLES["f"]), "f").otherwise("n")
-    tokens = F.split(value, " ")
-    part = lambda k, v, r, m: F.struct(k.alias("kind"), v.alias("key"), r.alias("role"), m.alias("value"))
+    """array<struct<kind, key, role, value, tail>>: one for each word of a name, hyphens part words, else one; tail follows the part."""
+    loud = F.upper(title)
+    of = lambda g: loud.isin([t.upper() for t in TITLES[g]])
+    gender = F.when(of("m"), "m").when(of("f"), "f").otherwise("n")
+    tokens = F.regexp_extract_all(value, F.lit(r"[^\s-]+[\s-]*"), F.lit(0))
+    part = lambda k, v, r, m, t: F.struct(k.alias("kind"), v.alias("key"), r.alias("role"), m.alias("value"), t.alias("tail"))
 
     def word(t: Column, i: Column) -> Column:
-        role = F.when(i + 1 < F.size(tokens), F.concat(F.lit("given:"), gender)).otherwise("family")
-        kept = t.isin(PARTICLES) | ~t.rlike(r"\p{L}")
-        sort = F.when(kept, "keep").when(t.rlike(r"^(?:\p{Lu}\.)+$"), "initial").otherwise(F.concat(F.lit("name:"), _script(t)))
-        return part(sort, F.lower(t), role, t)
+        own = F.regexp_extract(t, r"^[^\s-]+", 0)
+        more = F.exists(F.slice(tokens, i + 1, F.size(tokens)), lambda x: x.rlike(r"\s"))
+        role = F.when(more, F.concat(F.lit("given:"), gender)).otherwise("family")
+        kept = own.isin(PARTICLES) | ~own.rlike(r"\p{L}")
+        sort = F.when(kept, "keep").when(own.rlike(r"^(?:\p{Lu}\.)+$"), "initial").otherwise(F.concat(F.lit("name:"), _script(own)))
+        return part(sort, F.lower(own), role, own, F.substring(t, F.length(own) + 1, F.length(t)))
 
     bare = F.regexp_replace(value, r"[^0-9A-Za-z]", "")
-    code = F.regexp_extract(value, r"^\+\d{1,3}?(?=[ .(-])|^\+\d", 0)
+    dialled = F.regexp_replace(value, "^00", "+")
+    code = F.regexp_extract(dialled, r"^\+\d{1,3}?(?=[ .(-])|^\+\d", 0)
     key = (
-        F.when(kind == "email", F.lower(value))
-        .when(kind == "phone", F.concat(code, F.lit("|"), F.regexp_replace(F.substring(value, F.length(code) + 1, F.lit(64)), r"\D", "")))
+        F.when(kind.isin("email", "ipv6"), F.lower(value))
+        .when(kind == "phone", F.concat(code, F.lit("|"), F.regexp_replace(F.substring(dialled, F.length(code) + 1, F.lit(64)), r"\D", "")))
         .when(kind.isin("iban", "card", "ssn"), bare)
         .otherwise(value)
     )
-    return F.when(kind == "name", F.transform(tokens, word)).otherwise(F.array(part(kind, key, F.lit(None).cast("string"), value)))
+    return F.when(kind == "name", F.transform(tokens, word)).otherwise(F.array(part(kind, key, F.lit(None).cast("string"), value, F.lit(""))))
 
 
 def _render(kind: Column, value: Column, surrogate: Column) -> Column:
     """The surrogate in the form of this mention: its separators and its letter case."""
     chars = F.split(value, "")
-    compact = F.when(kind == "phone", F.regexp_replace(surrogate, r"[+|]", "")).otherwise(surrogate)
+    digits = F.regexp_replace(surrogate, r"[+|]", "")
+    compact = F.when(kind == "phone", F.when(value.startswith("00"), F.concat(F.lit("00"), digits)).otherwise(digits)).otherwise(surrogate)
     places = F.length(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
     spread = F.array_join(
         F.transform(chars, lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(compact, F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), "[^0-9A-Za-z]", "")), F.lit(1))).otherwise(c)), ""
@@ -280,7 +327,7 @@ def _render(kind: Column, value: Column, surrogate: Column) -> Column:
     return (
         F.when(kind == "email", cased)
         .when(kind.isin(*_COMPACT), spread)
-        .when(kind.startswith("name:"), F.when(shout, F.upper(surrogate)).otherwise(surrogate))
+        .when(kind.startswith("name:") | (kind == "ipv6"), F.when(shout, F.upper(surrogate)).otherwise(surrogate))
         .otherwise(surrogate)
     )
 
@@ -293,46 +340,61 @@ def _other_initials(value: Column, secret: str) -> Column:
     return F.array_join(F.transform(F.split(value, ""), lambda c: F.when(c == ".", c).when(at(c) > 0, F.substring(F.lit(letters), (at(c) - 1 + by) % 26 + 1, F.lit(1))).otherwise("X")), "")
 
 
-def pseudonymize(docs: DataFrame, secret: str = "lexiweave", text_col: str = "text") -> DataFrame:
-    """docs with surrogates in text_col, and columns n_entities (int) and entity_kinds (sorted, comma-joined).
+#: The session's setting that holds the key of surrogates.
+KEY_SETTING = "spark.lexiweave.surrogateKey"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session is configured with; without one, a random key that is drawn once and holds for this session alone."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING)
+
+
+def pseudonymize(docs: DataFrame, secret: str, text_col: str = "text", count_col: str = "n_entities", kinds_col: str = "entity_kinds") -> DataFrame:
+    """docs with surrogates in text_col, and columns count_col (int) and kinds_col (string, sorted, comma-joined) of what was found.
 
-    A name is what follows one of TITLES: any number of capitalised words, with initials and particles between
-    them; names without a title are not seen, but where one of the same text has its words. Texts without
+    Who knows `secret` can try out originals, so it is a parameter without a default: keep it as one keeps a password (`session_key` takes it from the session).
+    A name is what follows one of TITLES, also in capitals: any number of capitalised words, with initials and particles between
+    them; names without a title are not seen, but where one of the same text has its words. A name keeps what follows
+    it, a possessive s or a quote, and its hyphens part words. A secret reaches to white space or a quote.
+    Texts without
     entities pass through as they are and are not shuffled. Null text stays null with no entities; so does a row
-    with null id. Rows with equal id and text change equally and come out once each. Other columns are kept,
-    but one named n_entities or entity_kinds is replaced; an empty table gives an empty result.
+    with null id. Rows with equal id and text change equally and come out once each. Other columns are kept, whatever their names,
+    but one named as count_col or kinds_col is replaced; an empty table gives an empty result.
     """
-    docs = docs.drop("n_entities", "entity_kinds")
+    docs = docs.drop(count_col, kinds_col)
     k, th, found_col, txt = "__lw_k", "__lw_th", "__lw_found", F.col(text_col)
     has = F.coalesce(txt.rlike(_HINT) & txt.rlike(ENTITY), F.lit(False))
     names = docs.columns
-    plain = docs.where(~has).select(*(F.col(c) for c in names), F.lit(0).alias("n_entities"), F.lit("").alias("entity_kinds"))
+    plain = docs.where(~has).select(*(F.col(c) for c in names), F.lit(0).alias(count_col), F.lit("").alias(kinds_col))
     idc = id_key("doc_id") if "doc_id" in names else F.lit(0).cast("long")
     # Texts with entities are settled with their matches, so that all later steps search nothing again.
     every = F.when(txt.rlike(_HINT), F.regexp_extract_all(txt, F.lit(ENTITY), F.lit(0)))
     hit = stable(docs.withColumns({k: idc, th: F.xxhash64(txt), found_col: every}).where(F.size(found_col) > 0))
     found = hit.select(k, th, F.posexplode(found_col).alias("pos", "match"))
     found = found.distinct().withColumn("before", F.regexp_extract("match", _BEFORE, 0)).withColumn("value", F.substring("match", F.length("before") + 1, F.length("match")))
-    titled = F.col("before").rlike(r"^(?:" + "|".join(_ALL_TITLES) + r")\.? $")
+    titled = F.col("before").rlike(rf"^{_TITLE}$")
     found = found.withColumn("title", F.when(titled, F.regexp_extract("before", r"^\p{L}+", 0)).otherwise(""))
     found = found.withColumn("kind", F.when(~titled & (F.col("before") != ""), "secret").otherwise(_kind_of(F.col("value"), titled)))
     pieces = found.select(k, th, "pos", F.col("kind").alias("label"), "before", F.posexplode(_parts(F.col("kind"), F.col("value"), F.col("title"))).alias("sub", "part"))
     pieces = stable(pieces.select(k, th, "pos", "sub", "before", "label", "part.*"))
     drawn = ~F.col("kind").isin("keep", "initial")
-    known = surrogates(pieces.where(drawn).select("kind", "key", "role"), secret)
-    rendered = pieces.where(drawn).join(known, ["kind", "key"]).withColumn("new", _render(F.col("kind"), F.col("value"), F.col("surrogate"))).drop("surrogate")
+    mentions = pieces.where(drawn)
+    known = surrogates(mentions.select("kind", "key", "role"), secret)
+    rendered = _with_surrogates(mentions, known, pieces.count()).withColumn("new", _render(F.col("kind"), F.col("value"), F.col("surrogate"))).drop("surrogate")
     kept = F.when(F.col("kind") == "keep", F.col("value")).otherwise(_other_initials(F.col("value"), secret))
     rendered = rendered.unionByName(pieces.where(~drawn).withColumn("new", kept))
     mention = F.struct("value", "new")
     shouted = F.struct(F.upper("value").alias("value"), F.upper("new").alias("new"))
     whole = rendered.groupBy(k, th, "pos", "label", "before").agg(
-        F.concat("before", F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub", "new"))), lambda x: x["new"]), " ")).alias("new"),
+        F.concat("before", F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub", "new", "tail"))), lambda x: F.concat(x["new"], x["tail"])), "")).alias("new"),
         F.flatten(F.collect_list(F.when(F.col("kind").startswith("name:"), F.array(mention, shouted)))).alias("names"),
     )
     lists = whole.groupBy(k, th).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]).alias("__lw_new"),
-        F.count(F.lit(1)).try_cast("int").alias("n_entities"),
-        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("entity_kinds"),
+        F.count(F.lit(1)).try_cast("int").alias("__lw_n"),
+        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("__lw_kinds"),
         F.array_distinct(F.flatten(F.collect_list("names"))).alias("__lw_names"),
     )
     # Bare mentions of a name found in the same text take the same surrogate; no surrogate is an original, so none is replaced again.
@@ -342,4 +404,4 @@ def pseudonymize(docs: DataFrame, secret: str = "lexiweave", text_col: str = "te
     gaps = F.split(txt, ENTITY, -1)
     pieces_of = F.transform(gaps, lambda g, i: F.concat(F.when(F.size("__lw_names") > 0, spread(g)).otherwise(g), F.coalesce(F.get("__lw_new", i), F.lit(""))))
     changed = hit.join(lists, [k, th]).withColumn(text_col, F.array_join(pieces_of, ""))
-    return plain.unionByName(changed.select(*names, "n_entities", "entity_kinds"))
+    return plain.unionByName(changed.select(*names, F.col("__lw_n").alias(count_col), F.col("__lw_kinds").alias(kinds_col)))

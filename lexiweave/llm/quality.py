@@ -196,16 +196,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text_col:
     return fit(bags, y)
 
 
-def score(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with columns score (0 to 1, higher: better) and predicted (1 if score >= threshold, else 0).
+def score(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """docs with columns score_col (0 to 1, higher: better) and predicted_col (1 if the score >= threshold, else 0).
 
     Every text is scored whole; null counts as empty, and an empty text is one empty passage. Without
     a model all rows score 0.5. Other columns pass through as they are; a column of docs that is itself
-    named score or predicted is replaced.
+    named score_col or predicted_col is replaced.
     """
-    docs = docs.drop("score", "predicted")
+    docs = docs.drop(score_col, predicted_col)
     names = docs.columns
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType()), StructField(predicted_col, IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", threshol
                 bags = [encode(passages(t.as_py())) for t in b.column(at).slice(lo, 128)]
                 starts = np.cumsum([0, *(len(x) for x in bags[:-1])])
                 values[lo : lo + len(bags)] = model.score(np.concatenate(bags), starts)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values), pa.array((values >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values), pa.array((values >= threshold).astype(np.int32))], names=[*names, score_col, predicted_col])
 
     return docs.mapInArrow(run, schema)
 

@@ -13,7 +13,7 @@ from .common import documents
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's rewritten text; n_entities is 0 where nothing was found."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return pii.pseudonymize(docs).select("doc_id", "text", F.col("n_entities").cast("long").alias("n_entities"), "entity_kinds")
+    return pii.pseudonymize(docs, pii.session_key(spark)).select("doc_id", "text", F.col("n_entities").cast("long").alias("n_entities"), "entity_kinds")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
