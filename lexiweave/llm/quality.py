@@ -4,7 +4,7 @@ A document is a bag of passages (its lines, long ones cut every 60 words). Each
 as a vector: counts and shares of characters and repeats, and hashed bags of its words and of its byte
 trigrams. A gated attention layer, learned from document labels alone, weighs the passages, and the weighted mean of their
 hidden vectors gives the document's score. The encoder and the network see nothing but the text. Training
-runs on the driver over a bounded sample of labelled rows with a bounded number of passages each; scoring
+runs on the driver over a bounded sample of labelled rows, each with all its passages; scoring
 takes all passages of all texts, in one pass without a shuffle.
 """
 
@@ -19,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.window import Window
+
+from .common import stable
 
 PASSAGE_WORDS = 60
-#: Bounds of the training sample, rows and passages of a row; at 2 bytes a feature it has 60 MB at most.
+#: Bounds of the training sample: rows, and passages of all rows together; at 2 bytes a feature it has 20 MB.
 TRAIN_ROWS = 6000
-TRAIN_PASSAGES = 32
+TRAIN_PASSAGES = 65_536
 WORD_BINS = 64
 GRAM_BINS = 64
 THRESHOLD = 0.3
@@ -163,31 +166,34 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _bags(docs: DataFrame, text_col: str, most: int) -> DataFrame:
-    """(y, bag): the passages of each text as half-precision rows, at most `most`, evenly spread over the text."""
+def _bags(docs: DataFrame, text_col: str) -> DataFrame:
+    """(y, n, bag): the n passages of each text as half-precision rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for t in b.column(1):
-                bag = encode(passages(t.as_py()))
-                kept = np.unique(np.linspace(0, len(bag) - 1, min(most, len(bag))).astype(np.int64))
-                rows.append(bag[kept].astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["y", "bag"])
+            bags = [encode(passages(t.as_py())).astype(np.float16) for t in b.column(1)]
+            arrays = [b.column(0), pa.array([len(x) for x in bags], pa.int32()), pa.array([x.tobytes() for x in bags], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["y", "n", "bag"])
 
-    return docs.select("y", F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "y double, bag binary")
+    return docs.select("y", F.col(text_col).cast("string").alias("__text")).mapInArrow(run, "y double, n int, bag binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text_col: str = "text", most: int = TRAIN_PASSAGES) -> Model | None:
-    """Fits on at most `rows` labelled rows that are not held out, drawn by hash of their id, `most` passages of each.
+    """Fits on at most `rows` labelled rows that are not held out, drawn by hash of their id, while they have `most` passages together.
 
-    Labels of null quality are left out; an id with several labels takes the smallest. None without
+    A row is taken with all its passages or not at all; one with more than a sixteenth of `most` is not. Labels of null quality
+    are left out; an id with several labels takes the smallest. None without
     any usable label, or with labels of one value only.
     """
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
     drawn = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumnRenamed("doc_id", "__id"))  # at most `rows` rows
-    found = _bags(docs.select(F.col("doc_id"), F.col(text_col)).join(drawn, F.col("doc_id") == F.col("__id")), text_col, most)
-    got = found.orderBy(F.xxhash64("bag"), "y").limit(rows).toArrow()
+    found = _bags(docs.select(F.col("doc_id"), F.col(text_col)).join(drawn, F.col("doc_id") == F.col("__id")), text_col)
+    found = stable(found.where(F.col("n") <= most // 16).withColumn("h", F.xxhash64("bag")))
+    # Ids may repeat in docs, so rows are bounded again, by the hash up to which passages and rows are few enough.
+    order = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    few = found.select("h", F.sum("n").over(order).alias("passages"), F.count(F.lit(1)).over(order).alias("rows")).where((F.col("passages") <= most) & (F.col("rows") <= rows))
+    last = few.agg(F.max("h").alias("h")).first()["h"]
+    got = found.where(F.col("h") <= F.lit(last)).orderBy("h", "y").limit(rows).select("y", "bag").toArrow()
     y = got["y"].to_numpy()
     if len(set(y.tolist())) < 2:
         return None

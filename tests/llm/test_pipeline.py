@@ -129,3 +129,25 @@ def test_repeated_lines(spark):
     assert simhash.fingerprint(apart[0], 5) == simhash.fingerprint(apart[1], 5)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.first_of_groups(df).select("doc_id").collect()) == [0, 1, 2]
+
+
+NAMES = ["score", "predicted", "n_entities", "entity_kinds", "mix_part", "mix_row", "lw_score", "lw_predicted", "lw_entities", "fp", "k", "th"]
+
+
+def test_columns_of_the_user_stay(spark, tmp_path):
+    """Stages return a user's columns as they were, whatever their names, and rows that are null, empty or repeated."""
+    rows = [(1, "Mr Smith wrote a long and quite ordinary line of text here.", "a", 59), (2, None, "a", 0), (3, "", None, 0), (None, "plain words", "b", 11), (4, "word " * 30_000, "b", 150_000), (5, "twice the same", "a", 14), (5, "twice the same", "a", 14)]
+    docs = spark.createDataFrame([(*r, *[f"{n}{i}" for n in NAMES]) for i, r in enumerate(rows)], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{n} string" for n in NAMES))
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        before = docs.select("doc_id", *NAMES).collect()
+        stage(spark, docs, DATA).write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+        after = docs.select("doc_id", *NAMES).collect()
+        assert set(after) <= set(before) and len(after) >= {"near_dedup": len(before) - 2}.get(name, 0 if name == "quality" else len(before)), name
+        if name == "quality" and not after:
+            docs = spark.createDataFrame([(*r, *[f"{n}{i}" for n in NAMES]) for i, r in enumerate(rows)], docs.schema)
+    pieces = corpus_pipeline.pack_sequences(spark, docs, DATA)
+    assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in docs.collect()}
+    assert dict(pieces.dtypes)["mix_part"] == "int" and pieces.where("mix_part IS NULL").count() == 0
+    lone = corpus_pipeline.pack_sequences(spark, spark.createDataFrame([(1, "a", "x", "y")], "doc_id long, text string, mix_part string, mix_row string"), DATA).first()
+    assert lone.mix_part is None and lone.mix_row is None and lone.doc_tokens == 2

@@ -95,3 +95,18 @@ def test_words_and_trigrams_are_counted():
     assert the != cat and abs(words[0, the] - 2 / 3) < 1e-6 and abs(words[0, cat] - 1 / 3) < 1e-6 and abs(words[1].sum() - 1) < 1e-6
     grams = bag[:, -quality.GRAM_BINS :] ** 2
     assert abs(grams[0].sum() - 9 / 11) < 1e-6 and abs(grams[1].sum() - 1 / 3) < 1e-6
+
+
+def test_sample_takes_whole_rows_within_the_bounds(spark, monkeypatch):
+    """Rows come with all their passages until the bound; a row over a sixteenth of it is left out."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y: seen.append((bags, y)))
+    rows = [(i, "\n".join(f"line {i} {j}" for j in range(1 + i % 9))) for i in range(200)] + [(500, "x\n" * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    quality.train(docs, labels, most=320)
+    bags, y = seen.pop()
+    whole = {quality.encode(quality.passages(t)).astype(np.float16).tobytes() for _, t in rows[:-1]}
+    assert 300 < sum(map(len, bags)) <= 320 and len(bags) == len(y) and all(b.tobytes() in whole for b in bags)
+    quality.train(docs, labels, rows=50)
+    assert len(seen.pop()[0]) == 50
