@@ -1,10 +1,11 @@
 """Byte-level BPE by merge ranks: texts to ids and ids to bytes.
 
-Each match of the split pattern is merged by itself. Its adjacent pairs wait in buckets, one for each merge rank, that
-hold places of a linked list of tokens; a hierarchical bitmap over the ranks says which buckets have entries, so
-the next rank is a find-first-set in two words. A merge leaves the entries of the pairs it breaks where they are:
+Matches of the split pattern are laid end to end as one linked list of tokens, whose links stop at their borders. Adjacent pairs wait in buckets,
+one for each merge rank, that hold places of the list; a hierarchical bitmap over the ranks says which buckets have
+entries, so the next rank is a find-first-set in two words. A merge leaves the entries of the pairs it breaks where they are:
 an entry counts only while the pair at its place still has the bucket's rank. Each merge costs the same however long
-the match is, so one of a million bytes takes a few seconds and not hours. Short matches are kept in a cache of bounded size.
+a match is, so one of a million bytes takes seconds and not hours. The matches of about a megabyte of texts that the cache does not have share a list;
+the cache keeps short matches and is bounded in entries and bytes.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import base64
 import functools
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -21,60 +24,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .tokens import _Cache
 
-#: Matches of more code points are cut from the text one by one and never kept.
+#: Entries of the cache, and the bytes of its keys and values; whichever comes first empties it.
+CACHE = 500_000
+CACHE_BYTES = 80 << 20
+#: Matches of more code points are not kept.
 LONG = 64
-#: Ids of one batch of results; a longer text makes a batch of its own.
-BATCH_IDS = 1 << 20
+#: Code points of texts whose unseen matches are merged together; a longer text is one such group.
+GROUP = 1 << 19
+#: Places of a list from which its links are arrays, which are smaller than Python's lists and slower.
+WIDE = 1 << 17
 
 
 class RankQueue:
-    """Places waiting under their merge rank; taken by smallest rank, then by smallest place.
+    """Places waiting under their merge rank; taken by smallest rank, all its places in order.
 
     A bit of a lower word marks a rank with a bucket, a bit of the upper word marks a lower word that is not zero. Python's
-    integers have any width, so two levels of about the root of the ranks do. A bucket of one place is that number.
+    integers have any width, so two levels of about the root of the ranks do.
     """
 
-    def __init__(self, ranks: int):
+    def __init__(self, ranks: int, wide: bool = False):
         self.shift = max(6, (max(1, ranks).bit_length() + 1) // 2)
         self.mask = (1 << self.shift) - 1
         self.words = [0] * ((max(1, ranks) >> self.shift) + 1)
-        self.bits = [1 << i for i in range(max(self.mask + 1, len(self.words)))]
         self.top = 0
-        self.buckets: dict[int, int | array] = {}
-        self.unsorted: set[int] = set()
+        self.buckets: dict[int, list | array] = {}
+        self.wide = wide
 
     def put(self, rank: int, place: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = place
-            word = rank >> self.shift
-            self.words[word] |= self.bits[rank & self.mask]
-            self.top |= self.bits[word]
+        if bucket is not None:
+            bucket.append(place)
             return
-        if type(bucket) is int:
-            bucket = self.buckets[rank] = array("q", (bucket,))
-        if place < bucket[-1]:
-            self.unsorted.add(rank)
-        bucket.append(place)
-
-    def take(self) -> tuple[int, int | array]:
-        """The smallest rank with a bucket, and its places in order; the bucket goes. (-1, -1) if there is none."""
+        self.buckets[rank] = array("q", (place,)) if self.wide else [place]
+        word = rank >> self.shift
+        self.words[word] |= 1 << (rank & self.mask)
+        self.top |= 1 << word
+
+    def take(self) -> tuple[int, list | array]:
+        """The smallest rank with a bucket, and its places in order; the bucket goes. (-1, []) if there is none."""
         top = self.top
         if not top:
-            return -1, -1
-        word = (top & -top).bit_length() - 1
+            return -1, []
+        low = top & -top
+        word = low.bit_length() - 1
         bits = self.words[word]
-        low = bits & -bits
-        self.words[word] = bits = bits ^ low
+        least = bits & -bits
+        self.words[word] = bits = bits ^ least
         if not bits:
-            self.top = top & (top - 1)
-        rank = word << self.shift | low.bit_length() - 1
+            self.top = top ^ low
+        rank = word << self.shift | least.bit_length() - 1
         bucket = self.buckets.pop(rank)
-        if rank in self.unsorted:
-            self.unsorted.discard(rank)
-            bucket = array("q", sorted(bucket))
+        if self.wide:
+            np.frombuffer(bucket, dtype=np.int64).sort()
+        else:
+            bucket.sort()
         return rank, bucket
 
 
@@ -96,38 +100,49 @@ class BytePairs:
         self.ranks = read_ranks(path)
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.spelled = {i: t for t, i in self.ranks.items()}
-        self.queue = RankQueue(max(self.ranks.values(), default=0) + 1)
-        self.cache = _Cache(self._piece)
-
-    def merge(self, raw: bytes) -> list[int]:
-        """Ids of one match: lowest rank first, leftmost first among equals."""
-        whole = self.ranks.get(raw)
-        if whole is not None:
-            return [whole]
-        n = len(raw)
-        rank_of, put, take = self.ranks.get, self.queue.put, self.queue.take
-        if n <= LONG:
-            end, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        else:
-            # End of the token that starts at a place, start of the one to its left, rank of the pair with the one to its right.
-            end, before, pair = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), array("q", [-1]) * n
-        for i in range(n - 1):
-            r = rank_of(raw[i : i + 2])
-            if r is not None:
-                pair[i] = r
-                put(r, i)
+        #: Ranks of pairs of bytes by their number, -1 for none.
+        self.first = [self.ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]
+        self.cache: dict[str, bytes] = {}
+        self.held = 0
+
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each piece by itself: lowest rank first, leftmost first among equals. A piece that is a token is that one."""
+        rank_of = self.ranks.get
+        raw, n = b"".join(pieces), sum(map(len, pieces))
+        wide = n > WIDE
+        queue = RankQueue(max(self.spelled, default=0) + 1, wide)
+        put, take = queue.put, queue.take
+        starts = [0, *accumulate(map(len, pieces))]
+        border = bytearray(n + 1)  # 1 where a piece starts, and at the end
+        for at in starts:
+            border[at] = 1
+        # End of the token that starts at a place, start of the one to its left, rank of the pair with the one to its right.
+        end, before, pair = (array("q", x) if wide else list(x) for x in (range(1, n + 1), range(-1, n - 1), (-1,) * n))
+        first = self.first
+        for at, to, piece in zip(starts, starts[1:], pieces, strict=False):
+            if to == at:
+                continue
+            before[at] = -1
+            if piece in self.ranks:
+                end[at] = to
+                continue
+            for i in range(at, to - 1):
+                r = first[raw[i] << 8 | raw[i + 1]]
+                if r >= 0:
+                    pair[i] = r
+                    put(r, i)
         while True:
             rank, bucket = take()
             if rank < 0:
                 break
-            for k, i in enumerate((bucket,) if type(bucket) is int else bucket):
+            for k, i in enumerate(bucket):
                 if pair[i] != rank:  # stale: one of its tokens has been merged
                     continue
                 j = end[i]
                 last = end[i] = end[j]
                 pair[j] = pair[i] = -1
                 lower = rank
-                if last < n:
+                if not border[last]:
                     before[last] = i
                     r = rank_of(raw[i : end[last]])
                     if r is not None:
@@ -143,24 +158,38 @@ class BytePairs:
                         put(r, left)
                         if r < lower:
                             lower = r
-                if lower < rank and type(bucket) is not int:  # a pair of lower rank has come up: it goes first, the rest waits
+                if lower < rank:  # a pair of lower rank has come up: it goes first, the rest of the bucket waits
                     for later in bucket[k + 1 :]:
                         put(rank, later)
                     break
-        ids, i = [], 0
-        while i < n:
-            ids.append(rank_of(raw[i : end[i]]))
-            i = end[i]
+        found = []
+        for at, to in zip(starts, starts[1:], strict=False):
+            ids = []
+            while at < to:
+                ids.append(rank_of(raw[at : end[at]]))
+                at = end[at]
+            found.append(ids)
+        return found
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, without special tokens."""
+        split = [self.split.findall(t) for t in texts]
+        known = self.cache
+        unseen = list(set(chain.from_iterable(split)).difference(known))
+        if len(known) + len(unseen) > CACHE or self.held > CACHE_BYTES:
+            known.clear()
+            self.held = 0
+            unseen = list(set(chain.from_iterable(split)))
+        found = {p: array("i", ids).tobytes() for p, ids in zip(unseen, self.merge([p.encode() for p in unseen]), strict=True)}
+        known.update(found)
+        ids = [np.frombuffer(b"".join(map(known.__getitem__, s)), dtype=np.int32) for s in split]
+        for p, b in found.items():
+            if len(p) > LONG:
+                del known[p]
+            else:
+                self.held += getsizeof(p) + getsizeof(b)
         return ids
 
-    def _piece(self, piece: str) -> bytes:
-        return np.array(self.merge(piece.encode()), dtype="<i4").tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text, without special tokens."""
-        cache, piece = self.cache.__getitem__, self._piece
-        return np.frombuffer(b"".join([cache(p) if len(p) <= LONG else piece(p) for p in self.split.findall(text)]), dtype="<i4")
-
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of ids; an id that no token has is an error."""
         return b"".join(map(self.spelled.__getitem__, ids))
@@ -191,13 +220,14 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text
             return pa.RecordBatch.from_arrays([*(kept.column(i) for i in range(len(keep))), ids], names=schema.names)
 
         for b in batches:
-            found, size, start = [], 0, 0
-            for at, text in enumerate(b.column(len(keep))):
-                found.append(pairs.encode(text.as_py() or ""))
-                size += len(found[-1])
-                if size >= BATCH_IDS or at + 1 == b.num_rows:
-                    yield batch(b.slice(start, at + 1 - start), found)
-                    found, size, start = [], 0, at + 1
+            column, at = b.column(len(keep)), 0
+            while at < b.num_rows:
+                texts, size, start = [], 0, at
+                while at < b.num_rows and size < GROUP:
+                    texts.append(column[at].as_py() or "")
+                    size += len(texts[-1])
+                    at += 1
+                yield batch(b.slice(start, at - start), pairs.encode(texts))
 
     return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
@@ -215,7 +245,12 @@ def decode_ids(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _pairs(path, pattern)
         for b in batches:
-            bare = [pairs.decode(x.as_py() or []) for x in b.column(where)]
+            column = b.column(where)
+            flat, ends = column.flatten(), np.cumsum([0, *column.value_lengths().fill_null(0).to_pylist()])
+            if flat.null_count:
+                raise ValueError("an array of ids holds a null")
+            numbers = flat.to_numpy(zero_copy_only=False)
+            bare = [pairs.decode(numbers[x:y].tolist()) for x, y in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bare, pa.binary())], names=[*names, into])
 
     return rows.mapInArrow(run, schema)

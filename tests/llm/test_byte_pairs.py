@@ -1,13 +1,12 @@
 import hashlib
 import random
-from array import array
 
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lexiweave.llm import queries
+from lexiweave.llm import byte_pairs, queries
 from lexiweave.llm.byte_pairs import BytePairs, RankQueue, decode_ids, encode_texts, read_ranks
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -24,14 +23,14 @@ def library():
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=read_ranks(PATH), special_tokens={})
 
 
-def test_queue_takes_by_rank_then_by_place():
+@pytest.mark.parametrize("wide", [False, True])
+def test_queue_takes_by_rank_then_by_place(wide):
     rng = random.Random(5)
-    queue, held = RankQueue(5000), []
+    queue, held = RankQueue(5000, wide), []
     for _ in range(4000):
         if held and rng.random() < 0.3:
             rank, places = queue.take()
-            want = sorted(p for r, p in held if r == rank)
-            assert rank == min(held)[0] and list(places if isinstance(places, array) else [places]) == want
+            assert rank == min(held)[0] and list(places) == sorted(p for r, p in held if r == rank)
             held = [x for x in held if x[0] != rank]
         else:
             held.append((rng.randrange(5000), rng.randrange(100)))
@@ -40,7 +39,7 @@ def test_queue_takes_by_rank_then_by_place():
         rank, _ = queue.take()
         assert rank == min(held)[0]
         held = [x for x in held if x[0] != rank]
-    assert queue.take() == (-1, -1)
+    assert queue.take() == (-1, [])
 
 
 def plain_merge(ranks, raw):
@@ -62,16 +61,16 @@ def test_merges_where_lower_ranks_come_up_later(pairs):
         rng.shuffle(tokens)
         own = BytePairs(PATH, PATTERN)
         own.ranks = {t: i for i, t in enumerate([*tokens, b"a", b"b", b"c"])}
-        for _ in range(20):
-            raw = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 90)))
-            if raw not in own.ranks:
-                assert own.merge(raw) == plain_merge(own.ranks, raw)
+        own.spelled = {i: t for t, i in own.ranks.items()}
+        own.first = [own.ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]
+        pieces = [bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 90))) for _ in range(20)]
+        assert own.merge(pieces) == [[own.ranks[p]] if p in own.ranks else plain_merge(own.ranks, p) for p in pieces]
 
 
 @pytest.mark.parametrize("text", ODD)
 def test_odd_texts(pairs, library, text):
-    assert pairs.encode(text).tolist() == library.encode_ordinary(text)
-    assert pairs.decode(pairs.encode(text).tolist()) == text.encode()
+    assert pairs.encode([text])[0].tolist() == library.encode_ordinary(text)
+    assert pairs.decode(pairs.encode([text])[0].tolist()) == text.encode()
 
 
 def test_every_code_point(pairs, library):
@@ -79,16 +78,26 @@ def test_every_code_point(pairs, library):
         chars = [chr(c) for c in range(lo, lo + 4096) if not 0xD800 <= c < 0xE000]
         for form in ("a{}b ", "  {} ", "1{0}{0}"):
             text = "".join(form.format(c) for c in chars)
-            assert pairs.encode(text).tolist() == library.encode_ordinary(text)
+            assert pairs.encode([text])[0].tolist() == library.encode_ordinary(text)
 
 
 def test_random_and_very_long_pieces(pairs, library):
     rng = random.Random(3)
     for _ in range(200):
         text = "".join(rng.choice(["th", "e ", "in", "Ñ", "ó", "'", "s ", "  ", "\n", "7", "!!", "re", " ", "zq", "語", "\t"]) for _ in range(rng.randint(1, 60)))
-        assert pairs.encode(text).tolist() == library.encode_ordinary(text)
+        assert pairs.encode([text])[0].tolist() == library.encode_ordinary(text)
     for text in ("a" * 200_000, " " * 100_000 + "x", "".join(rng.choice("abcdefgh") for _ in range(200_000))):
-        assert pairs.encode(text).tolist() == library.encode_ordinary(text)
+        assert pairs.encode([text])[0].tolist() == library.encode_ordinary(text)
+
+
+def test_small_cache(library, monkeypatch):
+    monkeypatch.setattr(byte_pairs, "CACHE", 50)
+    monkeypatch.setattr(byte_pairs, "WIDE", 1000)
+    own, rng = BytePairs(PATH, PATTERN), random.Random(2)
+    for size in (0, 1, 5, 200):
+        texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 90))) for _ in range(9)) for _ in range(size)]
+        assert [x.tolist() for x in own.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+        assert all(len(p) <= byte_pairs.LONG for p in own.cache)
 
 
 def test_rows(spark, library):
