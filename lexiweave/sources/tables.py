@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import split_clean, strip
-from .tagged import _plain, detect_formats, lines_of, parse_cnki, parse_pubmed, parse_wos, read_lines
+from .tagged import _plain, detect_formats, head_lines, lines_of, parse_cnki, parse_pubmed, parse_wos, read_lines, with_counts
 
 CHARSETS = ["utf-8", "utf-8-sig", "gbk", "gb18030", "latin-1"]
 
@@ -22,7 +24,7 @@ DESCRIPTOR = (
 )
 
 
-def read_decoded(spark: SparkSession, path: str) -> DataFrame:
+def read_decoded(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, line_no, line) of files in the first of CHARSETS that decodes them whole."""
     return decoded_lines(spark.read.format("binaryFile").load(path).select("path", "content"))
 
@@ -45,19 +47,55 @@ def decoded_lines(files: DataFrame) -> DataFrame:
     return lines_of(files.select("path", "content").mapInPandas(decode, "path string, text string"))
 
 
-def read_scopus(spark: SparkSession, path: str) -> DataFrame:
-    """The id is EID, else DOI, else a number; keywords are those of authors and index."""
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
-    col = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit("")) if c in raw.columns else F.lit("")
-    names = {c.lstrip("﻿"): c for c in raw.columns}
-    raw = raw.withColumnsRenamed({old: new for new, old in names.items()})
-    rows = raw.select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("rec"), *(strip(col(c)).alias(n) for c, n in (("EID", "eid"), ("DOI", "doi"), ("Author Keywords", "a"), ("Index Keywords", "i"))))
-    return scopus_records(rows)
+def csv_rows(lines: DataFrame) -> DataFrame:
+    """(path, rec, row): the rows of quoted CSV text, also ones with line ends in their cells, numbered from 1 in their file; empty lines are none.
+
+    A line opens a row where the quotes before it in the file are even in number. Each block of a split file counts, for both
+    parities that its start may have, the rows that would open in it; two prefix sums over the blocks of a file, of quotes and then of
+    rows, say which holds. A lone quote inside a cell without quotes upsets what follows in its file.
+    """
+    if "block" not in lines.columns:
+        lines = lines.withColumn("block", F.lit(0).cast("long"))
+    line, quotes = F.col("line"), F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    inside = Window.partitionBy("path", "block").orderBy("line_no")
+    earlier_lines, so_far = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = lines.withColumn("quotes", quotes).withColumn("odd", F.coalesce(F.sum("quotes").over(earlier_lines), F.lit(0)) % 2)
+    sums = df.groupBy("path", "block").agg(F.sum("quotes").alias("q"), F.count_if((line != "") & (F.col("odd") == 0)).alias("if_even"), F.count_if((line != "") & (F.col("odd") == 1)).alias("if_odd"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("carry", F.coalesce(F.sum("q").over(earlier), F.lit(0)) % 2).withColumn("opened", F.when(F.col("carry") == 0, F.col("if_even")).otherwise(F.col("if_odd")))
+    sums = sums.select(F.col("path").alias("__path"), F.col("block").alias("__block"), "carry", F.coalesce(F.sum("opened").over(earlier), F.lit(0)).alias("before"))
+    df = df.join(sums, (F.col("path") == F.col("__path")) & (F.col("block") == F.col("__block")))
+    outside = F.col("odd") == F.col("carry")
+    df = df.withColumn("rec", F.col("before") + F.sum(F.when(outside & (line != ""), 1).otherwise(0)).over(so_far)).where((line != "") | ~outside)
+    of_row = F.array_sort(F.collect_list(F.struct("block", "line_no", "line")))
+    return df.groupBy("path", "rec").agg(F.array_join(F.transform(of_row, lambda x: x["line"]), "\n").alias("row"))
+
+
+def csv_cells(lines: DataFrame, names: list[str]) -> DataFrame:
+    """(path, n, names...): cells of the named columns by each file's own header, '' where a file or row lacks one; n counts a file's rows from 1."""
+    commas = F.length("line") - F.length(F.replace("line", F.lit(","), F.lit("")))
+    heads = head_lines(lines, 1)
+    width = (heads.agg(F.max(commas).alias("n")).first()["n"] or 0) + 1
+    fields = [f"c{i}" for i in range(width)]
+    cells = lambda c: F.from_csv(c, ", ".join(f"{f} string" for f in fields), {"quote": '"', "escape": '"'})
+    many = lambda c: F.array(*(c[f] for f in fields))
+    titles = many(cells(F.col("line")))
+    # A row a file, as the driver's own list of files has.
+    places = F.broadcast(heads.select(F.col("path").alias("__path"), *(F.array_position(titles, c).cast("int").alias(f"p{i}") for i, c in enumerate(names))))
+    rows = csv_rows(lines).where("rec > 1").join(places, F.col("path") == F.col("__path")).withColumn("cells", many(cells(F.col("row"))))
+    at = lambda i: F.coalesce(F.get("cells", F.col(f"p{i}") - 1), F.lit(""))
+    return rows.select("path", (F.col("rec") - 1).alias("n"), *(strip(at(i)).alias(c) for i, c in enumerate(names)))
+
+
+def read_scopus(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The id is EID, else DOI, else a number; keywords are those of authors and index. Files are split; each has its own header."""
+    cells = csv_cells(read_lines(spark, path), ["EID", "DOI", "Author Keywords", "Index Keywords"])
+    return scopus_records(cells.withColumnsRenamed({"EID": "eid", "DOI": "doi", "Author Keywords": "a", "Index Keywords": "i"}))
 
 
 def scopus_records(rows: DataFrame) -> DataFrame:
-    """S8 of (path, rec, eid, doi, a, i) rows, rec being their order in the file; empty or null cells fall through."""
-    n = F.row_number().over(Window.partitionBy("path").orderBy("rec"))
+    """S8 of (path, n, eid, doi, a, i) rows, n being their number in the file; rows with rec, their order, get it. Empty or null cells fall through."""
+    n = F.col("n") if "n" in rows.columns else F.row_number().over(Window.partitionBy("path").orderBy("rec"))
     some = lambda c: F.when(F.col(c) != "", F.col(c))
     words = F.array_sort(F.array_distinct(F.array_union(*(split_clean(F.coalesce(c, F.lit("")), ";") for c in ("a", "i")))))
     found = rows.withColumn("n", n).select(
@@ -67,13 +105,19 @@ def scopus_records(rows: DataFrame) -> DataFrame:
 
 
 def vos_terms(lines: DataFrame) -> DataFrame:
-    """(path, line_no, term, occurrences, total_link_strength); a third column that is no number is an error."""
+    """(path, line_no, term, occurrences, total_link_strength) and block, if lines have it; a third column that is no number is an error."""
     cells = F.split("line", "\t")
-    head = (F.col("line_no") == 0) & F.lower(F.get(cells, F.lit(0))).rlike("term|label")
+    of = [c for c in ("path", "block", "line_no") if c in lines.columns]
+    if "block" in lines.columns:
+        # The first line of a file has the smallest number of its first block.
+        first = head_lines(lines, 1).where(F.lower(F.get(cells, F.lit(0))).rlike("term|label")).select(F.col("path").alias("__path"), F.col("line").alias("__line"))
+        numbered = with_counts(lines, n=F.lit(1)).join(F.broadcast(first), (F.col("path") == F.col("__path")) & (F.col("n") == 1), "left")  # a row a file
+        rows = numbered.where((strip(F.col("line")) != "") & F.col("__path").isNull())
+    else:
+        rows = lines.where((strip(F.col("line")) != "") & ~((F.col("line_no") == 0) & F.lower(F.get(cells, F.lit(0))).rlike("term|label")))
     cell = lambda i: strip(F.get(cells, F.lit(i)))
-    rows = lines.where((strip(F.col("line")) != "") & ~head)
     return rows.select(
-        "path", "line_no", cell(0).alias("term"),
+        *of, cell(0).alias("term"),
         F.when(cell(1).rlike(r"^\d+$"), cell(1)).otherwise("1").cast("long").alias("occurrences"),
         F.coalesce(F.when(F.size(cells) > 2, cell(2)).cast("double"), F.lit(0.0)).alias("total_link_strength"),
     )
@@ -81,14 +125,13 @@ def vos_terms(lines: DataFrame) -> DataFrame:
 
 def vos_records(lines: DataFrame) -> DataFrame:
     """A record of one keyword for each term."""
-    n = F.row_number().over(Window.partitionBy("path").orderBy("line_no"))
-    rows = vos_terms(lines).withColumn("n", n)
+    rows = with_counts(vos_terms(lines), n=F.lit(1))
     return _plain(rows.select(F.xxhash64("path", "n").alias("rec_seq"), F.concat(F.lit("vos_term_"), F.col("n").cast("string")).alias("doc_id"), F.array("term").alias("keywords")), "VOSviewer")
 
 
 def vos_frequencies(lines: DataFrame) -> DataFrame:
     """(term, freq), the last line of a term standing for it."""
-    return vos_terms(lines).groupBy(F.lower("term").alias("term")).agg(F.max_by("occurrences", F.struct("path", "line_no")).alias("freq"))
+    return vos_terms(lines).groupBy(F.lower("term").alias("term")).agg(F.max_by("occurrences", F.struct(*(c for c in ("path", "block", "line_no") if c in lines.columns))).alias("freq"))
 
 
 def read_vocabulary_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -135,15 +178,27 @@ def read_word_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(word.alias("word")).where((F.col("word") != "") & ~F.col("word").startswith("#")).distinct()
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of one file or folder of one format, by detection; what is unknown is read as Web of Science."""
-    lines = read_lines(spark, path)
-    kinds = {r["format"] for r in detect_formats(lines).select("format").distinct().collect()}  # at most seven
-    if len(kinds) > 1:
-        raise ValueError(f"one format at a time, found {sorted(kinds)}")
-    kind = next(iter(kinds), "unknown")
-    if kind == "scopus_csv":
-        return read_scopus(spark, path)
-    if kind in ("cnki_text", "cnki_refworks"):
-        return parse_cnki(read_decoded(spark, path))
-    return {"pubmed_medline": parse_pubmed, "vos_tsv": vos_records}.get(kind, parse_wos)(lines)
+def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The records of files of any formats, each file by what it holds; what is unknown is read as Web of Science.
+
+    Files are split but for those of CNKI that are not UTF-8, which are decoded whole. Formats and paths, a row a
+    file, reach the driver, which lists the files anyway. Empty files have no records.
+    """
+    kinds: dict[str, list[str]] = {}
+    for r in detect_formats(read_lines(spark, path)).collect():
+        kinds.setdefault({"cnki_refworks": "cnki_text"}.get(r["format"], r["format"]), []).append(unquote(r["path"]))  # Spark names files by encoded paths
+    found = []
+    for kind, paths in sorted(kinds.items()):
+        if kind == "scopus_csv":
+            found.append(read_scopus(spark, paths))
+        elif kind == "cnki_text":
+            utf8 = spark.read.text(paths).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.bool_and(F.is_valid_utf8("value")).alias("ok"))
+            known = {unquote(r["path"]) for r in utf8.where("ok").collect()}  # a row a file
+            if known:
+                found.append(parse_cnki(read_lines(spark, sorted(known))))
+            if rest := sorted(set(paths) - known):
+                found.append(parse_cnki(read_decoded(spark, rest)))
+        else:
+            parse = {"pubmed_medline": parse_pubmed, "vos_tsv": vos_records}.get(kind, parse_wos)
+            found.append(parse(read_lines(spark, paths)))
+    return reduce(DataFrame.unionByName, found) if found else parse_wos(read_lines(spark, path))

@@ -1,4 +1,6 @@
+import csv
 import json
+import random
 
 import pytest
 
@@ -15,30 +17,121 @@ def rows(df):
 
 
 def test_web_of_science(spark):
-    a = "PT J\nTI Sample Study\nDE prostate cancer; quality of life; prostate cancer\nID neoplasms; depression\nUT WOS:0001234567\nER\n"
-    b = "PT J\nDE one;\n   two; ;three\nER\n\nPT J\nID castration-resistant prostate cancer; docetaxel\nUT W2\nER\n\nPT J\nDE lost\n"
+    a = "PT J\nTI A note on tides\nDE tidal range; salt marsh; tidal range\nID estuaries; erosion\nUT WOS:A77\nER\n"
+    b = "PT J\nDE one;\n   two; ;three\nER\n\nPT J\nID mud flats; eel grass\nUT W2\nER\n\nPT J\nDE lost\n"
     got = rows(tagged.parse_wos(lines(spark, a=a, b=b)))
-    assert set(got) == {"WOS:0001234567", "wos_doc_1", "W2"}
-    assert got["WOS:0001234567"].keywords == ["prostate cancer", "quality of life"] and not got["WOS:0001234567"].is_de_fallback
+    assert set(got) == {"WOS:A77", "wos_doc_1", "W2"}
+    assert got["WOS:A77"].keywords == ["salt marsh", "tidal range"] and not got["WOS:A77"].is_de_fallback
     assert got["wos_doc_1"].keywords == ["one", "three", "two"]
-    assert got["W2"].is_de_fallback and got["W2"].effective_keywords == ["castration-resistant prostate cancer", "docetaxel"]
+    assert got["W2"].is_de_fallback and got["W2"].effective_keywords == ["eel grass", "mud flats"]
     assert len({r.rec_seq for r in got.values()}) == 3
     f = keywords.document_frequency(keywords.effective_edges(tagged.parse_wos(lines(spark, a=a))))
-    assert {r.term: r.freq for r in f.collect()} == {"prostate cancer": 1, "quality of life": 1}
+    assert {r.term: r.freq for r in f.collect()} == {"tidal range": 1, "salt marsh": 1}
 
 
 def test_pubmed(spark):
-    a = "PMID- 99887766\nTI  - Trial\nOT  - ADT\nMH  - *Prostatic Neoplasms/therapy\nMH  - Antineoplastic Agents/therapeutic use\n\n\nPMID- 2\nOT  - first\n      second\nignored\nOT  - "
+    a = "PMID- 314\nTI  - Waves\nOT  - NAO\nMH  - *Sea Level/trends\nMH  - Storm Surges/statistics & numerical data\n\n\nPMID- 2\nOT  - first\n      second\nignored\nOT  - "
     got = rows(tagged.parse_pubmed(lines(spark, a=a)))
-    assert set(got) == {"PMID:99887766", "PMID:2"} and set(got["PMID:99887766"].keywords) == {"ADT", "Prostatic Neoplasms", "Antineoplastic Agents"}
+    assert set(got) == {"PMID:314", "PMID:2"} and set(got["PMID:314"].keywords) == {"NAO", "Sea Level", "Storm Surges"}
     assert got["PMID:2"].keywords == ["first", "second"]
 
 
 def test_cnki(spark):
-    r = "RT Journal\nT1 前列腺癌患者生活质量研究\nK1 前列腺肿瘤; 生活质量；；抑郁情绪; 心理护理\n\n"
+    r = "RT Journal\nT1 海岸侵蚀的观测\nK1 潮汐; 盐沼；；泥滩; 海草\n\n"
     c = "【来源篇名】甲\n【关键词】一;;二\n【来源篇名】乙\n【关键词】三；四\n"
     got = rows(tagged.parse_cnki(lines(spark, r=r, c=c)))
-    assert len(got["前列腺癌患者生活质量研究"].keywords) == 4 and got["甲"].keywords == ["一", "二"] and got["乙"].keywords == ["三", "四"]
+    assert len(got["海岸侵蚀的观测"].keywords) == 4 and got["甲"].keywords == ["一", "二"] and got["乙"].keywords == ["三", "四"]
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+
+    def use(n):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", n)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+
+    yield use
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def export(kind, n, rng):
+    """An export of n records with odd ones among them."""
+    out = []
+    for i in range(n):
+        words = [f"k{rng.randrange(40)} w{j}" for j in range(rng.randrange(5))]
+        odd = rng.random()
+        if kind == "wos":
+            out += ["PT J", f"TI title {i}", "   goes on", *([f"DE {words[0]};", *(f"   {w};" for w in words[1:])] if words and odd < 0.7 else []), f"ID {'; '.join(words)}", *([f"UT WOS:{i}"] if odd < 0.8 else []), "ER", *([""] if odd < 0.9 else ["ER"])]
+        elif kind == "pubmed":
+            out += [*([f"PMID- {i}"] if odd < 0.8 else []), "AB  - text", "      more text", *(f"OT  - {w}" if j % 2 else f"MH  - *{w}/x" for j, w in enumerate(words)), *(["      continued"] if words else []), *[""] * rng.randrange(1, 4)]
+        elif kind == "cnki":
+            out += [f"【来源篇名】{f'题 {i}' if odd < 0.8 else ''}", "其他", f"【关键词】{';；'.join(words)}"]
+        else:
+            out += ["RT Journal", *([f"T1 title {i}"] if odd < 0.8 else []), "A1 someone", f"K1 {'；'.join(words)}", ""]
+    return "\n".join(out) + "\n"
+
+
+@pytest.mark.parametrize(("kind", "parse"), [("wos", tagged.parse_wos), ("pubmed", tagged.parse_pubmed), ("cnki", tagged.parse_cnki), ("refworks", tagged.parse_cnki)])
+def test_split_files_have_the_same_records(spark, tmp_path, small_splits, kind, parse):
+    """One file in one piece, in a hundred and in pieces below a line: the same records, ids and numbers."""
+    rng = random.Random(kind)
+    texts = {f"{kind}{i} x.txt": export(kind, n, rng) for i, n in enumerate((700, 3, 1))}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(("\ufeff" if name.startswith(f"{kind}1") else "") + (text.replace("\n", "\r\n") if name.startswith(f"{kind}2") else text), encoding="utf-8", newline="")
+    cols = ["doc_id", "keywords", "combined_keywords", "is_de_fallback"]
+    want = sorted(map(tuple, parse(lines(spark, **texts)).select(*cols).collect()), key=str)
+    assert len(want) > 500
+    for size in ("1g", "1000", "97"):
+        small_splits(size)
+        read = tagged.read_lines(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() > {"1g": 0, "1000": 8, "97": 99}[size]
+        got = parse(read)
+        assert sorted(map(tuple, got.select(*cols).collect()), key=str) == want
+        assert got.select("rec_seq").distinct().count() == len(want)
+        assert [(r.format) for r in tagged.detect_formats(read).collect()] == [{"wos": "wos_plaintext", "pubmed": "pubmed_medline", "cnki": "cnki_text", "refworks": "cnki_refworks"}[kind]] * 3
+
+
+def test_split_csv(spark, tmp_path, small_splits):
+    """Cells with line ends, quotes and separators in one file of many splits, against the csv module."""
+    rng = random.Random(9)
+    cell = lambda: "".join(rng.choice(["a", "b ", ";", ",", '"', "\n", "\n\n", "é", "“x”"]) for _ in range(rng.randrange(12)))
+    heads = [["Title", "EID", "DOI", "Author Keywords", "Index Keywords"], ["Index Keywords", "Author Keywords", "Year", "DOI", "EID", "Abstract"], ["Title", "Author Keywords"]]
+    want = []
+    for i, head in enumerate(heads):
+        with open(tmp_path / f"s{i}.csv", "w", encoding="utf-8-sig", newline="") as f:
+            out = csv.writer(f, lineterminator="\n")
+            out.writerow(head)
+            for _ in range((400, 60, 5)[i]):
+                out.writerow([cell() for _ in head])
+                if rng.random() < 0.1:
+                    f.write("\n")  # an empty line is no row
+        with open(tmp_path / f"s{i}.csv", encoding="utf-8-sig", newline="") as f:
+            for n, r in enumerate(csv.DictReader(f), 1):
+                words = {w.strip() for c in ("Author Keywords", "Index Keywords") for w in (r.get(c) or "").split(";")} - {""}
+                want.append(((r.get("EID") or "").strip() or (r.get("DOI") or "").strip() or f"scopus_{n}", sorted(words)))
+    for size in ("1g", "777", "61"):
+        small_splits(size)
+        got = tables.read_scopus(spark, str(tmp_path)).select("doc_id", "keywords").collect()
+        assert sorted((r.doc_id, sorted(r.keywords)) for r in got) == sorted(want)
+
+
+def test_a_folder_of_all_formats(spark, tmp_path, small_splits):
+    files = {
+        "a.txt": "PT J\nDE a1; a2\nUT W1\nER\n", "b.txt": "PMID- 5\nOT  - b1\n\n", "c d.txt": "RT Journal\nT1 C\nK1 c1；c2\n", "e.txt": "【来源篇名】E\n【关键词】e1\n",
+        "f.csv": 'Title,EID,Author Keywords\n"x\ny",E9,f1; f2\n', "g.tsv": "label\toccurrences\nG1\t3\nG2\t4\n", "h.txt": "nothing known\n", "i.txt": "",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    (tmp_path / "k.txt").write_bytes("RT Journal\nT1 标题\nK1 关键；词\n".encode("gbk"))
+    want = {("Web of Science", "W1"): {"a1", "a2"}, ("PubMed", "PMID:5"): {"b1"}, ("CNKI", "C"): {"c1", "c2"}, ("CNKI", "E"): {"e1"}, ("Scopus", "E9"): {"f1", "f2"}, ("VOSviewer", "vos_term_1"): {"G1"}, ("VOSviewer", "vos_term_2"): {"G2"}, ("CNKI", "标题"): {"关键", "词"}}
+    for size in ("1g", "13"):
+        small_splits(size)
+        got = {(r.source_database, r.doc_id): set(r.keywords) for r in tables.read_records(spark, str(tmp_path)).collect()}
+        assert got == want
+        terms = tables.vos_frequencies(tagged.read_lines(spark, str(tmp_path / "g.tsv"))).collect()
+        assert {r.term: r.freq for r in terms} == {"g1": 3, "g2": 4}
 
 
 def test_detection(spark, tmp_path):
