@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import functools
 import json
-import tempfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks, text
-from ..functions.lexicons import ROOTS
+from ..functions.lexicons import AUDIT_COLUMNS, ROOTS
 from ..lineage import settled, shared_path
 from ..operators import audit, clusters, keywords, review
 from ..sources import sinks, tables, tagged
@@ -167,9 +165,12 @@ def e11(spark, d):
     return met.select(F.col("term").alias("a"), F.col("lead").alias("b"), F.array_join(F.array_sort(text.shared_roots(F.col("term"), F.col("lead"))), ",").alias("shared"))
 
 
-@query("e12_root_count", "SELECT CAST(" + str(len(ROOTS)) + " AS BIGINT) AS roots")
+@query("e12_root_count", f"WITH {E_}, r AS (SELECT term, unnest({o.roots('term')}) AS root FROM freqs) SELECT a.root, count(r.term) AS terms, {len(ROOTS)}::BIGINT AS roots FROM (SELECT unnest({o._LIST(ROOTS)}) AS root) a LEFT JOIN r ON r.root = a.root GROUP BY 1")
 def e12(spark, d):
-    return spark.createDataFrame([(r,) for r in ROOTS], "root string").agg(F.countDistinct("root").alias("roots"))
+    """How many terms of the corpus each root is in, of all roots."""
+    roots = spark.createDataFrame([(r,) for r in ROOTS], "root string")
+    met = _freqs(spark, d).select("term", F.explode(text.roots_of(F.col("term"))).alias("root"))
+    return roots.join(met, "root", "left").groupBy("root").agg(F.count("term").alias("terms"), F.lit(len(ROOTS)).cast("long").alias("roots"))
 
 
 # Pairs to inspect: terms with a word, root, concept or descriptor in common, one of them the most frequent under it.
@@ -224,9 +225,10 @@ def p5(spark, d):
 
 
 # Vocabulary.
-@query("s13_seed_vocabulary", f"WITH {o.VOCABULARY} SELECT vterm AS term, descriptor_id, concept_id, canonical_name FROM vocabulary")
+@query("s13_seed_vocabulary", f"WITH {o.VOCABULARY}, {E_} SELECT vterm AS term, descriptor_id, concept_id, canonical_name, coalesce(freq, 0) AS freq FROM vocabulary LEFT JOIN freqs ON term = vterm")
 def s13(spark, d):
-    return keywords.seed_vocabulary(spark)
+    """The entries of the seed vocabulary with the records of the corpus that have their term."""
+    return keywords.seed_vocabulary(spark).join(_freqs(spark, d), "term", "left").select("term", "descriptor_id", "concept_id", "canonical_name", F.coalesce("freq", F.lit(0)).alias("freq"))
 
 
 @query("j1_vocabulary_lookup", f"WITH {o.VOCABULARY}, {E_} SELECT term, vterm IS NOT NULL AS matched, descriptor_id, concept_id, canonical_name FROM freqs LEFT JOIN vocabulary ON vterm = lower(trim(term))")
@@ -496,16 +498,32 @@ def s8(spark, d):
     return tables.scopus_records(_scopus_rows(spark, d)).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
 
 
-@query("s8_scopus_files", f"WITH {_KWS} SELECT CASE WHEN rec % 3 = 0 THEN 'E' || rec WHEN rec % 3 = 1 THEN '10.1/' || rec ELSE 'scopus_1' END AS doc_id, {_FLAT('kws')} AS keywords FROM kw WHERE rec % 3 <> 2 OR rec = (SELECT min(rec) FROM kw WHERE rec % 3 = 2)")
+def _folder_of(bodies: DataFrame, head: str = "", path: str | None = None) -> str:
+    """A folder with a file for each 4096 records of (rec_seq, body), in their order; files grow in number with the records."""
+    path = path or shared_path(bodies.sparkSession)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rec_seq", "body"))), lambda x: x["body"]), "")
+    of = F.lpad(F.expr("rec_seq div 4096").cast("string"), 9, "0").alias("of")
+    files = bodies.groupBy(of).agg(F.regexp_replace(F.concat(F.lit(head), whole), r"\n\z", "").alias("value"))
+    files.write.partitionBy("of").text(path)
+    return path
+
+
+def _scopus_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Quoted rows, with line ends, quotes and separators in their first cell."""
+    cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    title = F.concat(F.lit('a "title", of\n\ntwo lines '), F.col("rec").cast("string"))
+    row = F.concat(F.concat_ws(",", cell(title), *(cell(F.col(c)) for c in ("eid", "doi", "a", "i"))), F.lit("\n"))
+    return _scopus_rows(spark, d).select(F.col("rec").alias("rec_seq"), row.alias("body"))
+
+
+_SCOPUS_HEAD = "Title,EID,DOI,Author Keywords,Index Keywords\n"
+_SCOPUS_FILE = f"SELECT CASE WHEN rec % 3 = 0 THEN 'E' || rec WHEN rec % 3 = 1 THEN '10.1/' || rec ELSE 'scopus_' || row_number() OVER (PARTITION BY rec // 4096 ORDER BY rec) END AS doc_id, {_FLAT('kws')} AS keywords FROM kw"
+
+
+@query("s8_scopus_files", f"WITH {_KWS} {_SCOPUS_FILE}")
 def s8_files(spark, d):
-    """CSV files written and read back; one file has the one row without an id of its own, which takes its place there."""
-    rows, path = settled(_scopus_rows(spark, d)), shared_path(spark)
-    lone = rows.where("rec % 3 = 2").orderBy("rec").limit(1)
-    for part in (rows.where("rec % 3 <> 2"), lone):
-        named = part.select(F.col("eid").alias("EID"), F.col("doi").alias("DOI"), F.col("a").alias("Author Keywords"), F.concat("i", F.lit(' "quoted, with comma";')).alias("Index Keywords"))
-        named.write.mode("append").csv(path, header=True, quoteAll=True, escape='"')
-    found = tables.read_scopus(spark, path)
-    return found.select("doc_id", F.array_join(F.filter("keywords", lambda w: ~F.contains(w, F.lit("quoted, with comma"))), "|").alias("keywords"))
+    """CSV files of all rows, with line ends in cells, written and read back; rows without an id take their number in their file."""
+    return tables.read_scopus(spark, _folder_of(_scopus_bodies(spark, d), _SCOPUS_HEAD)).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
 
 
 @query("s12_vocabulary_xml", """WITH e AS (SELECT lower(p_name || ' ' || (p_size % 4)) AS term, 'D' || p_partkey AS descriptor_id, 'M' || p_partkey || '.0' AS concept_id, p_brand AS canonical_name, p_type AS concept_name, p_partkey AS rec, 0 AS c FROM part
@@ -539,12 +557,7 @@ def r3(spark, d):
     return review.apply_overrides(_built(spark, d)[2], _draft(spark).limit(0))
 
 
-# Files: written to the shared folder, or by a sink on the driver, and read back.
-def _bodies(spark: SparkSession, d: str, template: str) -> DataFrame:
-    """(line) of all records, some files of whole records in order."""
-    return record_bodies(spark, d, template).repartition(4, "path").sortWithinPartitions("path", "rec_seq").select(F.regexp_replace("body", r"\n\z", "").alias("line"))
-
-
+# Files: written to the shared folder and read back.
 query("s7_charset_fallback", f"WITH {_KWS} SELECT 'title ' || rec AS doc_id, {_FLAT('kws')} AS keywords FROM kw")(lambda spark, d: _gbk_records(spark, d))
 
 
@@ -559,23 +572,33 @@ def _gbk_records(spark: SparkSession, d: str) -> DataFrame:
     return tables.parse_cnki(tables.decoded_lines(files)).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
 
 
-query("s15_read_records", f"WITH {_KWS} SELECT f AS source_database, CASE WHEN f = 'PubMed' THEN 'PMID:' ELSE 'title ' END || rec AS doc_id, {_FLAT('kws')} AS keywords FROM kw, (VALUES ('PubMed'), ('CNKI')) t(f)")(lambda spark, d: _dispatched(spark, d))
+_S15 = [
+    f"SELECT 'Web of Science' AS source_database, CASE WHEN rec % 7 <> 0 THEN 'WOS:' || rec ELSE 'wos_doc_' || row_number() OVER (PARTITION BY rec // 4096 ORDER BY rec) END AS doc_id, {_FLAT('CASE WHEN rec % 5 <> 0 THEN kws[1:(len(kws) + 1) // 2] ELSE kws END')} AS keywords FROM kw",
+    *(f"SELECT '{name}', '{head}' || rec, {_FLAT('kws')} FROM kw" for name, head in (("PubMed", "PMID:"), ("CNKI", "title "), ("CNKI", "title "))),
+    f"SELECT 'Scopus', doc_id, keywords FROM ({_SCOPUS_FILE})",
+    "SELECT 'VOSviewer', 'vos_term_' || row_number() OVER (PARTITION BY p_partkey // 4096 ORDER BY p_partkey), p_name FROM part",
+]
 
 
-def _dispatched(spark: SparkSession, d: str) -> DataFrame:
-    """Folders of two formats, each read by what its files hold."""
-    found = []
-    for template in ("pubmed", "refworks"):
-        _bodies(spark, d, template).write.text(path := shared_path(spark))
-        found.append(tables.read_records(spark, path).select("source_database", "doc_id", F.array_join("keywords", "|").alias("keywords")))
-    return found[0].unionByName(found[1])
+@query("s15_read_records", f"WITH {_KWS} {' UNION ALL '.join(_S15)}")
+def s15(spark, d):
+    """One folder with files of all six formats, each file read by what it holds."""
+    path = shared_path(spark)
+    for template in ("wos", "pubmed", "refworks", "cnki"):
+        _folder_of(record_bodies(spark, d, template), path=f"{path}/{template}")
+    _folder_of(_scopus_bodies(spark, d), _SCOPUS_HEAD, f"{path}/scopus")
+    terms = _vos_lines(spark, d).select(F.col("line_no").alias("rec_seq"), F.concat("line", F.lit("\n")).alias("body"))
+    _folder_of(terms, "label\toccurrences\ttotal link strength\n", f"{path}/vos")
+    found = tables.read_records(spark, path)
+    return found.select("source_database", "doc_id", F.array_join("keywords", "|").alias("keywords"))
 
 
-def _file_lines(spark: SparkSession, write, name: str, encoding: str = "utf-8") -> DataFrame:
-    """(n, line) of the file that a sink writes on the driver; rule sets are bounded by the vocabulary."""
-    with tempfile.TemporaryDirectory() as folder:
-        lines = Path(write(f"{folder}/{name}")).read_text(encoding).splitlines()
-    return spark.createDataFrame(list(enumerate(lines)), "n long, line string")
+def _file_lines(spark: SparkSession, write, name: str) -> DataFrame:
+    """(n, line) of the file that a sink writes; rule sets are bounded by the vocabulary."""
+    path = f"{shared_path(spark)}-{name}"
+    write(path)
+    lines = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("n", "line")).select(F.col("n").cast("long").alias("n"), "line")
 
 
 def _file_sql(head: str | None, line: str, where: str) -> str:
@@ -589,18 +612,24 @@ query("k2_citespace_file", _file_sql(None, "raw_term || chr(9) || target_term",
 query("k3_bibliometrix_file", _file_sql("' || chr(65279) || 'old_term;new_term", "raw_term || ';' || target_term", _MERGES))(lambda spark, d: _file_lines(spark, lambda p: sinks.write_bibliometrix(_built(spark, d)[2], p, True), "b.csv"))
 
 
-@query("k5_audit_file", f"{o.CLUSTER_PATH}, {o.METRICS}, au AS ({o.AUDIT}) SELECT count(*) + 1 AS lines, count(*) FILTER (WHERE export_status = 'Included') AS included FROM au")
+_CELL = lambda c: f"CASE WHEN regexp_matches(CAST({c} AS VARCHAR), '[,\"\\r\\n]') THEN '\"' || replace(CAST({c} AS VARCHAR), '\"', '\"\"') || '\"' ELSE CAST({c} AS VARCHAR) END"
+_AUDIT_LINE = " || ',' || ".join(_CELL(c) for c in ("raw_term", "target_term", "tier", "rule_source", "clinical_safety_check", "raw_sum", "doc_count", "reduction", "export_status"))
+
+
+@query("k5_audit_file", f"{o.CLUSTER_PATH}, {o.METRICS}, au AS ({o.AUDIT}) SELECT row_number() OVER (ORDER BY target_term, raw_term) AS n, {_AUDIT_LINE} AS line FROM au UNION ALL SELECT 0, chr(65279) || '{','.join(AUDIT_COLUMNS)}'")
 def k5(spark, d):
-    """The workbook's table in the form that can be written here."""
-    lines = _file_lines(spark, lambda p: sinks.write_audit(_built(spark, d)[2], p, keyword_edges(spark, d)).with_suffix(".csv"), "audit.csv", "utf-8-sig")
-    return lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("line").endswith(",Included")).alias("included"))
+    """The lines of the audit table's file."""
+    return _file_lines(spark, lambda p: sinks.write_audit(_built(spark, d)[2], p, keyword_edges(spark, d)), "audit.csv")
 
 
-@query("k6_s14_vocabulary_json", f"WITH {o.VOCABULARY} SELECT vterm AS term, descriptor_id, concept_id, canonical_name FROM vocabulary")
+@query("k6_s14_vocabulary_json", """SELECT lower(p_name) AS term, 'D' || min(p_partkey) AS descriptor_id, 'M"' || min(p_partkey) || '\\' AS concept_id, CASE WHEN min(p_partkey) % 3 > 0 THEN arg_min(p_type, p_partkey) || ' é' END AS canonical_name FROM part GROUP BY 1""")
 def k6(spark, d):
-    """The vocabulary as a JSON file, and the file as a vocabulary."""
+    """A vocabulary of part names as a JSON file, and the file as a vocabulary."""
     path = shared_path(spark)
-    _file_lines(spark, lambda p: sinks.write_vocabulary(keywords.seed_vocabulary(spark), p), "v.json").orderBy("n").coalesce(1).select("line").write.text(path)
+    key = F.min("p_partkey").cast("string")
+    name = F.when(F.min("p_partkey") % 3 > 0, F.concat(F.min_by("p_type", "p_partkey"), F.lit(" é")))
+    entries = spark.read.parquet(f"{d}/part.parquet").where("p_name IS NOT NULL").groupBy(F.lower("p_name").alias("term"))
+    sinks.write_vocabulary(entries.agg(F.concat(F.lit("D"), key).alias("descriptor_id"), F.concat(F.lit('M"'), key, F.lit("\\")).alias("concept_id"), name.alias("canonical_name")), path)
     return tables.read_vocabulary_json(spark, path).select("term", "descriptor_id", "concept_id", "canonical_name")
 
 
@@ -615,8 +644,9 @@ def s14(spark, d):
     return tables.read_roots_json(spark, roots).select(F.lit("root").alias("kind"), F.col("root").alias("value")).unionByName(tables.read_word_list(spark, words).select(F.lit("word").alias("kind"), F.col("word").alias("value")))
 
 
-@query("k7_draft_file", "SELECT * FROM (VALUES ('adt', false, NULL), ('prostate cancers', true, 'cancer of the gland'), ('no such term', true, NULL)) t(raw_term, selected, target)")
+@query("k7_draft_file", f"{o.CLUSTER_PATH} SELECT raw_term, CASE WHEN raw_frequency % 3 > 0 THEN selected_for_export END AS selected, CASE WHEN raw_frequency % 2 = 0 THEN target_term END AS target FROM rules")
 def k7(spark, d):
-    """A draft written, and read back."""
-    with tempfile.TemporaryDirectory() as folder:
-        return sinks.read_draft(spark, sinks.write_draft(_draft(spark), f"{folder}/draft.json"))
+    """A draft with a choice, a target, both or none for each rule written, and read back."""
+    f = F.col("raw_frequency")
+    draft = _built(spark, d)[2].select("raw_term", F.when(f % 3 > 0, F.col("selected_for_export")).alias("selected"), F.when(f % 2 == 0, F.col("target_term")).alias("target"))
+    return sinks.read_draft(spark, sinks.write_draft(draft, shared_path(spark)))

@@ -27,13 +27,13 @@ def lines_of(texts: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, block, line_no, line) of files, which Spark splits by its maxPartitionBytes; line_no is ordered inside a block.
+    """(path, block, line_no, line) of files, those of inner folders too, which Spark splits by its maxPartitionBytes; line_no is ordered inside a block.
 
     Bytes beyond UTF-8 are replaced, a byte-order mark goes. Unlike in `lines_of`, a line end at the end of a file opens no further, empty line.
     """
     start = F.col("_metadata.file_block_start")
     line = F.make_valid_utf8(F.col("value"))
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), start.alias("block"), F.monotonically_increasing_id().alias("line_no"), line.alias("line"))
+    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), start.alias("block"), F.monotonically_increasing_id().alias("line_no"), line.alias("line"))
     return raw.withColumn("line", F.when(F.col("block") == 0, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")))
 
 

@@ -3,6 +3,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexiweave.operators import keywords
 from lexiweave.sources import sinks, tables, tagged
@@ -202,5 +203,27 @@ def test_sinks(spark, tmp_path):
         assert out.read_text("utf-8-sig").splitlines()[0].startswith("Original Keyword (Raw),") and len(out.read_text().splitlines()) == 4
     o = spark.createDataFrame([("a b", False, None), ("c", None, "d")], "raw_term string, selected boolean, target string")
     sinks.write_draft(o, tmp_path / "d.json")
+    assert (tmp_path / "d.json").read_text() == json.dumps({"a b": {"selected": False}, "c": {"target": "d"}}, indent=2)
+    assert sinks.write_draft(o.limit(0), tmp_path / "e.json").read_text() == "{}"
+    odd = spark.createDataFrame([('q"\\', None, None), ("é\n语", True, "\t/"), ("zz", None, "x")], o.schema)
+    assert sinks.write_draft(odd, tmp_path / "d.json").read_text("utf-8") == json.dumps({'q"\\': {}, "zz": {"target": "x"}, "é\n语": {"selected": True, "target": "\t/"}}, ensure_ascii=False, indent=2)
+    sinks.write_draft(o, tmp_path / "d.json")
+    many = spark.createDataFrame([(f"r{i:05d}", f"t;{i % 7}", "t", 's "x"', "Passed", i, True) for i in range(3000)], cols).repartition(7)
+    want = [b"\xef\xbb\xbfold_term;new_term\r\n", *(f'r{i:05d};"t;{i % 7}"\r\n'.encode() for i in sorted(range(3000), key=lambda i: (i % 7, i)))]
+    assert sinks.write_bibliometrix(many, tmp_path / "m.csv").read_bytes() == b"".join(want)
+    with open(sinks.write_audit(many, tmp_path / "a.csv"), encoding="utf-8-sig", newline="") as f:
+        found = list(csv.reader(f))
+    assert len(found) == 3001 and found[1][:4] == ["r00000", "t;0", "t", 's "x"']
     assert sorted(map(tuple, sinks.read_draft(spark, tmp_path / "d.json").collect())) == [("a b", False, None), ("c", None, "d")]
     assert sinks.read_draft(spark, tmp_path / "none.json").count() == 0
+
+
+def test_a_failed_sink_leaves_no_file(spark, tmp_path):
+    """A task that fails leaves neither a new file nor parts, and an older file stays as it was."""
+    bad = spark.range(100).select(F.when(F.col("id") < 90, F.lit("x")).otherwise(F.raise_error(F.lit("no"))).alias("line"))
+    (tmp_path / "old.txt").write_text("old")
+    for name in ("old.txt", "new.txt"):
+        with pytest.raises(Exception, match="no"):
+            sinks.write_joined(bad, tmp_path / name)
+    assert [p.name for p in tmp_path.iterdir()] == ["old.txt"] and (tmp_path / "old.txt").read_text() == "old"
+    assert sinks.write_joined(bad.where("false"), tmp_path / "old.txt", "head\n").read_text() == "head\n"
