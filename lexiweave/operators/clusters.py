@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,37 +71,47 @@ def term_links(props: DataFrame, freqs: DataFrame, vocabulary: bool = True) -> D
     return best.select("src", "x.dst", "x.rule_source", "x.is_acr")
 
 
-def _jump(ptr: DataFrame) -> DataFrame:
-    """Every pointer follows the pointer of its end; ends without one stay."""
-    on = ptr.select(F.col("src").alias("__e"), F.col("end").alias("__n"))
-    return ptr.join(on, F.col("end") == F.col("__e"), "left").select("src", F.coalesce("__n", "end").alias("end"))
+def _to_ends(links: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
+    """((src, end) of links whose chain has an end, (src, end) of those that run into a cycle, end being on it; None if there are none).
 
-
-def _to_sinks(ptr: DataFrame, rounds: int) -> DataFrame:
-    for n in range(rounds):
-        ptr = settled(_jump(ptr))
-        if n < rounds - 1 and ptr.join(ptr.select(F.col("src").alias("end")), "end", "left_semi").isEmpty():
-            break
-    return ptr
+    Pointer doubling. A round moves only the pointers whose end still has a link; those at a sink leave the working set. Every chain
+    has nodes at each distance from its sink, so a round in which no pointer arrives shows that all that are left
+    run in circles; they go on alone until their ends are on the cycles. About log2 of the longest chain rounds.
+    """
+    going = pointers = links.select("src", F.col("dst").alias("end"))
+    arrived: list[DataFrame] = []
+    steps, left = 1, n
+    while True:
+        on = pointers.select(F.col("src").alias("__e"), F.col("end").alias("__n"))
+        moved = settled(going.join(on, F.col("end") == F.col("__e"), "left").select("src", F.coalesce("__n", "end").alias("end"), F.col("__n").isNotNull().alias("on")))
+        arrived.append(moved.where("NOT on").select("src", "end"))
+        going, steps = moved.where("on").select("src", "end"), steps * 2
+        now = going.count()
+        pointers = reduce(DataFrame.unionByName, [*arrived, going])
+        if not now:
+            return pointers, None
+        if now == left and steps >= now:
+            return reduce(DataFrame.unionByName, arrived), going
+        left = now
 
 
 def close_links(links: DataFrame) -> DataFrame:
     """Each link carried on to the end of its chain, with the label of its first step.
 
     Links on a cycle are dropped, so that each of its terms is its own target; a chain into a cycle ends
-    where it enters. Pointer doubling: about log2 of the longest chain joins, each settled.
+    where it enters.
     """
     links = settled(links)
     n = links.count()
     if not n:
         return links
-    rounds = max(1, math.ceil(math.log2(n + 1)))
-    ptr = _to_sinks(links.select("src", F.col("dst").alias("end")), rounds)
-    turning = ptr.join(links.select(F.col("src").alias("end")), "end", "left_semi").select(F.col("end").alias("src")).distinct()
-    if not turning.isEmpty():
-        links = settled(links.join(turning, "src", "left_anti"))
-        ptr = _to_sinks(links.select("src", F.col("dst").alias("end")), rounds)
-    return links.join(ptr, "src").select("src", F.col("end").alias("dst"), "rule_source", "is_acr")
+    ends, turning = _to_ends(links, n)
+    if turning is not None:
+        on_cycles = settled(turning.select(F.col("end").alias("src")).distinct())
+        into = settled(links.join(turning.select("src"), "src", "left_semi").join(on_cycles, "src", "left_anti"))
+        if m := into.count():
+            ends = ends.unionByName(_to_ends(into, m)[0])
+    return links.join(ends, "src").select("src", F.col("end").alias("dst"), "rule_source", "is_acr")
 
 
 def link_rules(closed: DataFrame, freqs: DataFrame, interceptor: bool = True, custom_risk_terms: list[str] | None = None) -> DataFrame:

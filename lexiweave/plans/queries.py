@@ -248,9 +248,8 @@ def e20(spark, d):
 # Links, closure, clusters.
 def _built(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(freqs, clusters, rules) of a corpus."""
-    f = settled(_freqs(spark, d))
-    c, r = clusters.build_clusters(f, keywords.seed_vocabulary(spark))
-    return f, c, r
+    f = _freqs(spark, d)
+    return f, *clusters.build_clusters(f, keywords.seed_vocabulary(spark))
 
 
 def _props(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
