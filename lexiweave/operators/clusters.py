@@ -12,6 +12,7 @@ from ..functions.lexicons import TIER_3
 from ..functions.text import acronym_key, decouple, fold, is_short_upper, is_short_word, lemma_phrase, phrase_keys, roots_of, starts_lower
 from ..lineage import settled
 from .keywords import lookup, resolve_hyphens
+from .roots import roots_in
 
 RULE_COLUMNS = ["raw_term", "target_term", "tier", "rule_source", "clinical_safety_check", "raw_frequency", "selected_for_export"]
 
@@ -147,22 +148,31 @@ def summarize(targets: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def absorb_by_roots(freqs: DataFrame, closed: DataFrame, clusters: DataFrame, interceptor: bool = True, roots: list[str] | None = None, keep_orphans: bool = False, custom_risk_terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def _with_roots(df: DataFrame, column: str, roots: list[str] | DataFrame | None) -> DataFrame:
+    """df with a row for each root of column; a table of roots is met by its index, a list by looking for each."""
+    if isinstance(roots, DataFrame):
+        return df.join(roots_in(df, roots, column), column)
+    return df.withColumn("root", F.explode(roots_of(F.col(column), roots)))
+
+
+def absorb_by_roots(freqs: DataFrame, closed: DataFrame, clusters: DataFrame, interceptor: bool = True, roots: list[str] | DataFrame | None = None, keep_orphans: bool = False, custom_risk_terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rules, absorbed terms) of the greedy pass that attaches lone terms to a target with a common root.
 
     The pass in order of (combined_freq, target_raw_freq) descending, then name, has a closed form. A lone
     term goes to the first active target with a root of its own that comes before it; a lone term without one,
     which has itself absorbed nothing, goes to the first after it. The first such term is the smallest key
     under any of its roots and the second the next key, so two minima for each root replace all pairs. Rules
-    of a term that was itself absorbed are dropped with it, unless keep_orphans.
+    of a term that was itself absorbed are dropped with it, unless keep_orphans. roots is a list, or a table (root) of any size.
     """
     key = F.struct(-F.col("combined_freq"), -F.col("target_raw_freq"), F.col("target_term").alias("name"))
-    active = clusters.where((F.col("variant_count") > 0) | (F.col("target_raw_freq") >= 2)).select("target_term", key.alias("key"), F.explode(roots_of(F.col("target_term"), roots)).alias("root"))
+    active = clusters.where((F.col("variant_count") > 0) | (F.col("target_raw_freq") >= 2)).select("target_term", key.alias("key"))
+    active = _with_roots(active, "target_term", roots).select("target_term", "key", "root")
     first = active.groupBy("root").agg(F.min("key").alias("first"))
     later = active.join(first, "root").where(F.col("key") > F.col("first")).groupBy("root").agg(F.min("key").alias("second"))
     edges = first.join(later, "root", "left")
     own = clusters.where("variant_count = 0").select(F.col("target_term").alias("term"), F.when(F.col("target_raw_freq") >= 2, key).alias("key"))
-    lone = freqs.join(closed.select(F.col("src").alias("term")), "term", "left_anti").join(own, "term").select("term", "freq", "key", F.explode(roots_of(F.col("term"), roots)).alias("root"))
+    lone = freqs.join(closed.select(F.col("src").alias("term")), "term", "left_anti").join(own, "term").select("term", "freq", "key")
+    lone = _with_roots(lone, "term", roots)
     met = lone.join(edges, "root").groupBy("term", "freq", "key").agg(F.min("first").alias("first"), F.min("second").alias("second"))
     met = settled(met)
     before = F.col("key").isNull() | (F.col("first") < F.col("key"))
@@ -172,9 +182,13 @@ def absorb_by_roots(freqs: DataFrame, closed: DataFrame, clusters: DataFrame, in
     took = settled(one.unionByName(two))
     absorbed = took.select("term")
     shown = took if keep_orphans else took.join(absorbed.withColumnRenamed("term", "target"), "target", "left_anti")
-    root = F.array_min(F.array_intersect(roots_of(F.col("term"), roots), roots_of(F.col("target"), roots)))
+    if isinstance(roots, DataFrame):
+        theirs = _with_roots(shown.select("target").distinct(), "target", roots)
+        shown = _with_roots(shown, "term", roots).join(theirs, ["target", "root"]).groupBy("term", "freq", "target").agg(F.min("root").alias("root"))
+    else:
+        shown = shown.withColumn("root", F.array_min(F.array_intersect(roots_of(F.col("term"), roots), roots_of(F.col("target"), roots))))
     seen = inspect_pair(F.col("term"), F.col("target"), False, custom_risk_terms)
-    shown = shown.withColumn("root", root).withColumn("seen", seen)
+    shown = shown.withColumn("seen", seen)
     blocked = F.col("seen.is_blocked") if interceptor else F.lit(False)
     safety = F.when(blocked, F.concat(F.lit("Blocked: "), F.col("seen.reason"))).otherwise(F.concat(F.lit("Peripheral Morpheme: shared root '"), "root", F.lit("' (Manual confirmation required)")))
     rules = shown.select(
@@ -184,7 +198,7 @@ def absorb_by_roots(freqs: DataFrame, closed: DataFrame, clusters: DataFrame, in
     return rules, absorbed
 
 
-def build_clusters(freqs: DataFrame, vocabulary: DataFrame | None, interceptor: bool = True, morphemes: bool = True, roots: list[str] | None = None, keep_orphans: bool = False, custom_risk_terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def build_clusters(freqs: DataFrame, vocabulary: DataFrame | None, interceptor: bool = True, morphemes: bool = True, roots: list[str] | DataFrame | None = None, keep_orphans: bool = False, custom_risk_terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(clusters, rules). A vocabulary of None switches its links and lookups off."""
     freqs = settled(freqs)
     props = settled(term_properties(freqs, vocabulary))

@@ -2,7 +2,7 @@
 
 A part names a term of a modifier, a site and a finding; its line items write the term in several ways: plain, plural,
 hyphenated, closed up, as initials, with initials in parentheses, without its modifier, in other case. Some line
-items carry a term of the seed vocabulary. Terms grow with the parts: about 900, 8,000 and 40,000 at the three scales.
+items carry a term of the seed vocabulary. Terms grow with the parts, up to the 20,800 that the lists make, in all ways of writing: 11,006 at scale 0.01 and 27,299 at 0.1.
 """
 
 from __future__ import annotations

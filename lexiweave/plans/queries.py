@@ -13,9 +13,11 @@ from ..functions import checks, text
 from ..functions.lexicons import AUDIT_COLUMNS, ROOTS
 from ..lineage import settled, shared_path
 from ..operators import audit, clusters, keywords, review
+from ..operators.roots import roots_in
 from ..sources import sinks, tables, tagged
+from ..streaming import frequencies
 from . import oracle as o
-from .corpus import keyword_edges, keyword_edges_sql, record_bodies, record_texts
+from .corpus import FINDINGS, MODIFIERS, SITES, keyword_edges, keyword_edges_sql, record_bodies, record_texts
 from .pipelines import rules_by_term
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +69,19 @@ def a1_ci(spark, d):
     return keywords.document_frequency(keyword_edges(spark, d), ignore_case=True)
 
 
+@query("a1_arriving_records", f"WITH {E_} SELECT * FROM freqs")
+def a1_arriving(spark, d):
+    """The records as a stream of files, a third of them exported twice, file by file: the same frequencies as at once."""
+    source, folder, checkpoint = (shared_path(spark) for _ in range(3))
+    e = keyword_edges(spark, d).select(F.col("rec_seq").cast("string").alias("doc_id"), "kw_raw")
+    again = e.where(F.crc32(F.col("doc_id").cast("binary")) % 3 == 0)
+    e.write.parquet(source)
+    again.write.mode("append").parquet(source)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    frequencies.follow(stream, folder, checkpoint).awaitTermination()
+    return frequencies.kept_frequency(spark, folder)
+
+
 @query("p1_min_occurrence", f"WITH {E_} SELECT * FROM freqs WHERE freq >= 20")
 def p1(spark, d):
     return keywords.at_least(_freqs(spark, d), 20)
@@ -173,6 +188,16 @@ def e12(spark, d):
     return roots.join(met, "root", "left").groupBy("root").agg(F.count("term").alias("terms"), F.lit(len(ROOTS)).cast("long").alias("roots"))
 
 
+@query("e10_root_table", f"""WITH {WORDS_SQL}, low AS (SELECT DISTINCT lower(w) AS w FROM words), r AS (SELECT DISTINCT left(w, 4 + length(w) % 3) AS root FROM low WHERE length(w) >= 8),
+g AS (SELECT DISTINCT w, w[i:i + n - 1] AS root FROM (SELECT w, n, unnest(range(1, length(w) - n + 2)) AS i FROM low, (VALUES (4), (5), (6)) t(n) WHERE length(w) >= n))
+SELECT root, count(*) AS words, min(w) AS first_word, max(w) AS last_word FROM g JOIN r USING (root) GROUP BY 1""")
+def e10_table(spark, d):
+    """Thousands of roots, the heads of all long words of documents, in all words: each met by the index of its rarest gram."""
+    words = _words(spark, d).select(F.lower("w").alias("w")).distinct()
+    heads = words.where(F.length("w") >= 8).select(F.substring("w", F.lit(1), 4 + F.length("w") % 3).alias("root")).distinct()
+    return roots_in(words, heads, "w").groupBy("root").agg(F.count(F.lit(1)).alias("words"), F.min("w").alias("first_word"), F.max("w").alias("last_word"))
+
+
 # Pairs to inspect: terms with a word, root, concept or descriptor in common, one of them the most frequent under it.
 _PAIR_KEYS = f"list_concat(list_transform(string_split(term, ' '), lambda w: 'w ' || w), list_transform({o.roots('term')}, lambda r: 'r ' || r), ['c ' || concept_id, 'd ' || descriptor_id])"
 _PAIRS = f"{o.VOCABULARY}, {E_}, known AS (SELECT term, freq, concept_id, descriptor_id FROM freqs LEFT JOIN vocabulary ON vterm = term), {_leads_sql(_PAIR_KEYS, 'known')}"
@@ -278,6 +303,47 @@ def j6(spark, d):
     return clusters.descriptor_links(_props(spark, d)[0])
 
 
+# A vocabulary that grows with the tables: the terms of parts under a descriptor for each site and finding, with concepts for
+# groups of modifiers, and an entry for each part and supplier that sold it, which no keyword has.
+_M, _S, _F = "l_partkey * 7 % 26", "(l_partkey * 13 + l_partkey // 26) % 32", "(l_partkey * 17 + l_partkey // 832) % 25"
+_WIDE = f"""triples AS (SELECT DISTINCT {_M} AS mi, {_S} AS si, {_F} AS fi FROM lineitem),
+named3 AS (SELECT *, {o._LIST(MODIFIERS)}[1 + mi] || ' ' || {o._LIST(SITES)}[1 + si] || ' ' || {o._LIST(FINDINGS)}[1 + fi] AS t FROM triples),
+vocabulary AS (SELECT t AS vterm, 'D' || si || '-' || fi AS descriptor_id, 'M' || si || '-' || fi || '.' || mi // 5 AS concept_id, upper(t) AS canonical_name FROM named3
+ UNION ALL SELECT 'item ' || l_partkey || ' of ' || l_suppkey, 'I' || l_partkey, 'I' || l_partkey || '.' || l_suppkey, 'item' FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem))"""
+
+
+def wide_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """(term, descriptor_id, concept_id, canonical_name) of that vocabulary."""
+    sold, p = spark.read.parquet(f"{d}/lineitem.parquet"), F.col("l_partkey")
+    m, s, f = p * 7 % 26, (p * 13 + F.floor(p / 26)) % 32, (p * 17 + F.floor(p / 832)) % 25
+    triples = sold.select(m.cast("int").alias("m"), s.cast("int").alias("s"), f.cast("int").alias("f")).distinct()
+    nth = lambda words, i: F.get(F.array(*map(F.lit, words)), F.col(i))
+    term = F.concat_ws(" ", nth(MODIFIERS, "m"), nth(SITES, "s"), nth(FINDINGS, "f"))
+    of = F.concat_ws("-", "s", "f")
+    named = triples.select(term.alias("term"), F.concat(F.lit("D"), of).alias("descriptor_id"), F.concat(F.lit("M"), of, F.lit("."), F.expr("m div 5").cast("string")).alias("concept_id"))
+    part, by = p.cast("string"), F.col("l_suppkey").cast("string")
+    items = sold.select("l_partkey", "l_suppkey").distinct().select(
+        F.concat(F.lit("item "), part, F.lit(" of "), by).alias("term"), F.concat(F.lit("I"), part).alias("descriptor_id"), F.concat(F.lit("I"), part, F.lit("."), by).alias("concept_id"), F.lit("item").alias("canonical_name")
+    )
+    return named.withColumn("canonical_name", F.upper("term")).unionByName(items)
+
+
+@query("j1_wide_vocabulary", f"WITH {_WIDE}, {E_} SELECT term, freq, descriptor_id, concept_id, canonical_name FROM freqs JOIN vocabulary ON vterm = lower(trim(term)) UNION ALL SELECT 'entries', count(*), NULL, NULL, NULL FROM vocabulary")
+def j1_wide(spark, d):
+    """Terms that a large vocabulary knows, and the number of its entries."""
+    v = wide_vocabulary(spark, d)
+    known = keywords.lookup(_freqs(spark, d), "term", v).where("matched").select("term", "freq", "descriptor_id", "concept_id", "canonical_name")
+    none = F.lit(None).cast("string")
+    return known.unionByName(v.agg(F.count(F.lit(1)).alias("freq")).select(F.lit("entries").alias("term"), "freq", *(none.alias(c) for c in ("descriptor_id", "concept_id", "canonical_name"))))
+
+
+@query("j6_wide_vocabulary", f"WITH {_WIDE}, {E_}, {o.PROPS}, {o.LINKS} SELECT term AS src, lead AS dst, CASE WHEN concept_id = lead_concept THEN 'MeSH Concept (' || concept_id || ')' ELSE 'MeSH Descriptor (' || descriptor_id || ')' END AS rule_source, {o.SHORT_UPPER('term')} AS is_acr FROM g WHERE term <> lead")
+def j6_wide(spark, d):
+    """Links of thousands of terms under descriptors with many terms and several concepts each."""
+    f = settled(_freqs(spark, d))
+    return clusters.descriptor_links(clusters.term_properties(f, settled(wide_vocabulary(spark, d))))
+
+
 @query("g1_term_links", f"WITH {o.VOCABULARY}, {E_}, {o.PROPS}, {o.LINKS} SELECT * FROM links")
 def g1(spark, d):
     p, f = _props(spark, d)
