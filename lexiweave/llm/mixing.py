@@ -98,8 +98,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
 
     weights: positive target weight of each source (None key for null source), taken exactly; by default the
     square root of its rows. A source without a weight is an error. Blocks have `block` rows, more where the rows would
-    make over `most_blocks` blocks. Rows of a source are dealt into blocks by the hash of their id; equal and null ids
-    take any of their places. The per-source counts are the only thing that reaches the driver: as many numbers
+    make over `most_blocks` blocks. Rows of a source are dealt into blocks by the hash of their id, those of null id by that of
+    their other columns; equal ids take any of their places, and rows that are equal in all columns are one key. The per-source counts are the only thing that reaches the driver: as many numbers
     as there are sources; the schedule of blocks goes back as an array a source. Columns of docs with these names
     are replaced; an empty table gives an empty result.
     """
@@ -121,7 +121,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
     slots = schedule({s: -(-n // block) for s, n in counts.items()}, wanted)
     plan = pa.table({"__lw_s": pa.array(list(slots), pa.string()), "__lw_where": pa.array(list(slots.values()), pa.list_(pa.int64()))})
     table = F.broadcast(docs.sparkSession.createDataFrame(plan))  # eight bytes a block, of most_blocks blocks and one a source
-    h = F.xxhash64(F.col(id_col))
+    rest = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != id_col and "map<" not in kind and "variant" not in kind]
+    h = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col))).otherwise(F.xxhash64(F.lit("null"), *rest))
     dealt = named.withColumn("__lw_h", h).withColumn("__lw_b", F.pmod(F.col("__lw_h"), F.lit(max(1, rows // BUCKET)).cast("long")))
     before = _before(dealt.groupBy("__lw_s", "__lw_b").agg(F.count(F.lit(1)).alias("n")))
     ranked = dealt.withColumn("__lw_r", F.row_number().over(Window.partitionBy("__lw_s", "__lw_b").orderBy("__lw_h", id_col)) - 1)

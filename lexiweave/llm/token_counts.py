@@ -25,7 +25,7 @@ def count_tokens(docs: DataFrame, path: str, budget: int = LIMIT, text_col: str
 
     with_store adds `store`, binary: the int8 change of the token count at each code point, from which
     prefix_counts() and truncation_point() answer any later budget. A text whose pieces
-    cannot be aligned with the library's has a null store. Null text counts as empty: 0
+    cannot be aligned with the library's has a null store, and a null `fits` unless all of it is within the budget. Null text counts as empty: 0
     bytes, 0 tokens. One row for each row of docs; other columns are ignored.
     """
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("n_tokens", "long").add("fits", "long")
@@ -41,7 +41,8 @@ def count_tokens(docs: DataFrame, path: str, budget: int = LIMIT, text_col: str
                 store = counter.store(text)
                 sizes.append(len(text.encode()))
                 tokens.append(int(store.sum(dtype=np.int64)))
-                fits.append(len(text) if tokens[-1] <= budget else truncation_point(store, budget))
+                known = store.dtype == np.int8
+                fits.append(len(text) if tokens[-1] <= budget else truncation_point(store, budget) if known else None)
                 if with_store:
                     stores.append(store.tobytes() if store.dtype == np.int8 else None)
             arrays = [*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array(fits, pa.int64())]

@@ -85,3 +85,13 @@ def _counts(rows):
     for _, s, *_ in rows:
         out[s or mixing._NULL] = out.get(s or mixing._NULL, 0) + 1
     return out
+
+
+def test_null_ids_are_dealt_over_buckets(spark, monkeypatch):
+    """Rows without an id are no single key: they stand in many buckets, and every place is taken once."""
+    monkeypatch.setattr(mixing, "BUCKET", 50)
+    df = spark.createDataFrame([(None, "a", f"t{i}", {"k": i}) for i in range(3000)] + [(i, "b", "x", {}) for i in range(1000)], "doc_id long, source string, text string, m map<string,int>")
+    got = mixing.mix(df).select("text", "source", "mix_block", "mix_position").toPandas()
+    assert len(got) == 4000 and got.mix_position.is_unique and set(got[got.source == "a"].text) == {f"t{i}" for i in range(3000)}
+    sizes = got.groupby(["source", "mix_block"]).size()
+    assert sizes.max() == mixing.BLOCK and len(sizes) == -(-3000 // mixing.BLOCK) + -(-1000 // mixing.BLOCK)
