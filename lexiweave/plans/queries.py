@@ -15,6 +15,7 @@ from ..lineage import settled, shared_path
 from ..operators import audit, clusters, keywords, review
 from ..operators.roots import roots_in
 from ..sources import sinks, tables, tagged
+from ..sources.charsets import encoded
 from ..streaming import frequencies
 from . import oracle as o
 from .corpus import FINDINGS, MODIFIERS, SITES, keyword_edges, keyword_edges_sql, record_bodies, record_texts
@@ -563,13 +564,13 @@ def s8(spark, d):
     return tables.scopus_records(_scopus_rows(spark, d)).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
 
 
-def _folder_of(bodies: DataFrame, head: str = "", path: str | None = None) -> str:
+def _folder_of(bodies: DataFrame, head: str = "", path: str | None = None, charset: str = "UTF-8") -> str:
     """A folder with a file for each 4096 records of (rec_seq, body), in their order; files grow in number with the records."""
     path = path or shared_path(bodies.sparkSession)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rec_seq", "body"))), lambda x: x["body"]), "")
     of = F.lpad(F.expr("rec_seq div 4096").cast("string"), 9, "0").alias("of")
     files = bodies.groupBy(of).agg(F.regexp_replace(F.concat(F.lit(head), whole), r"\n\z", "").alias("value"))
-    files.write.partitionBy("of").text(path)
+    encoded(files, "value", charset).write.partitionBy("of").text(path)
     return path
 
 
@@ -623,18 +624,14 @@ def r3(spark, d):
 
 
 # Files: written to the shared folder and read back.
-query("s7_charset_fallback", f"WITH {_KWS} SELECT 'title ' || rec AS doc_id, {_FLAT('kws')} AS keywords FROM kw")(lambda spark, d: _gbk_records(spark, d))
-
-
-def _gbk_records(spark: SparkSession, d: str) -> DataFrame:
-    """Chinese exports in GBK, which is no UTF-8: the bytes of files, as Spark reads them."""
-
-    def encode(batches):
-        for b in batches:
-            yield b.assign(content=[t.encode("gbk") for t in b.pop("text")])
-
-    files = record_texts(spark, d, "cnki").mapInPandas(encode, "path string, content binary")
-    return tables.parse_cnki(tables.decoded_lines(files)).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
+@query("s7_charset_fallback", f"WITH {_KWS} SELECT CASE WHEN rec // 64 % 3 = 1 THEN '题名 í ' ELSE '题名 ß𠀀 ' END || rec AS doc_id, {_FLAT('kws')} AS keywords FROM kw")
+def s7(spark, d):
+    """Chinese exports in UTF-8, GBK and GB18030, file by file; titles in the other two have what GBK lacks."""
+    bodies, path, kind = record_bodies(spark, d, "cnki"), shared_path(spark), F.expr("rec_seq div 64 % 3")
+    for n, charset in enumerate(("UTF-8", "GBK", "GB18030")):
+        title = F.replace("body", F.lit("title "), F.lit("题名 í " if charset == "GBK" else "题名 ß𠀀 "))
+        _folder_of(bodies.where(kind == n).withColumn("body", title), path=f"{path}/{charset}", charset=charset)
+    return tables.parse_cnki(tables.read_decoded(spark, path)).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
 
 
 _S15 = [

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from urllib.parse import unquote
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import split_clean, strip
-from .tagged import _plain, detect_formats, head_lines, lines_of, parse_cnki, parse_pubmed, parse_wos, read_lines, with_counts
-
-CHARSETS = ["utf-8", "utf-8-sig", "gbk", "gb18030", "latin-1"]
-
+from .charsets import decoded
+from .tagged import _plain, detect_formats, head_lines, parse_cnki, parse_pubmed, parse_wos, read_lines, with_counts
 
 #: Schema of a descriptor record; inference would make single children structs.
 DESCRIPTOR = (
@@ -25,26 +21,8 @@ DESCRIPTOR = (
 
 
 def read_decoded(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, line_no, line) of files in the first of CHARSETS that decodes them whole."""
-    return decoded_lines(spark.read.format("binaryFile").load(path).select("path", "content"))
-
-
-def decoded_lines(files: DataFrame) -> DataFrame:
-    """S7 of (path, content) rows. Spark has no GBK of its own."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = []
-            for raw in b["content"]:
-                for charset in CHARSETS:
-                    try:
-                        texts.append(bytes(raw).decode(charset))
-                        break
-                    except UnicodeDecodeError:
-                        continue
-            yield pd.DataFrame({"path": b["path"], "text": texts})
-
-    return lines_of(files.select("path", "content").mapInPandas(decode, "path string, text string"))
+    """(path, block, line_no, line) of files, each in the first charset that decodes it whole; files are split."""
+    return read_lines(spark, path, decoded)
 
 
 def csv_rows(lines: DataFrame) -> DataFrame:
@@ -181,8 +159,8 @@ def read_word_list(spark: SparkSession, path: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The records of files of any formats, each file by what it holds; what is unknown is read as Web of Science.
 
-    Files are split but for those of CNKI that are not UTF-8, which are decoded whole. Formats and paths, a row a
-    file, reach the driver, which lists the files anyway. Empty files have no records.
+    Files are split; those of CNKI may be in other charsets than UTF-8. Formats and paths, a row a file, reach the driver,
+    which lists the files anyway. Empty files have no records.
     """
     kinds: dict[str, list[str]] = {}
     for r in detect_formats(read_lines(spark, path)).collect():
@@ -192,12 +170,7 @@ def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
         if kind == "scopus_csv":
             found.append(read_scopus(spark, paths))
         elif kind == "cnki_text":
-            utf8 = spark.read.text(paths).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.bool_and(F.is_valid_utf8("value")).alias("ok"))
-            known = {unquote(r["path"]) for r in utf8.where("ok").collect()}  # a row a file
-            if known:
-                found.append(parse_cnki(read_lines(spark, sorted(known))))
-            if rest := sorted(set(paths) - known):
-                found.append(parse_cnki(read_decoded(spark, rest)))
+            found.append(parse_cnki(read_decoded(spark, paths)))
         else:
             parse = {"pubmed_medline": parse_pubmed, "vos_tsv": vos_records}.get(kind, parse_wos)
             found.append(parse(read_lines(spark, paths)))

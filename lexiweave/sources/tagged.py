@@ -9,6 +9,8 @@ file, for ids of records without one, are counted in the same two steps. Without
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,14 +28,15 @@ def lines_of(texts: DataFrame) -> DataFrame:
     return texts.select("path", F.posexplode(F.split(bare, r"\r\n|\n|\r")).alias("line_no", "line"))
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], decode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(path, block, line_no, line) of files, those of inner folders too, which Spark splits by its maxPartitionBytes; line_no is ordered inside a block.
 
-    Bytes beyond UTF-8 are replaced, a byte-order mark goes. Unlike in `lines_of`, a line end at the end of a file opens no further, empty line.
+    `decode` makes text of (path, block, line_no, value) lines of raw bytes; without it, bytes beyond UTF-8 are replaced. A byte-order mark goes. Unlike in `lines_of`, a line end at the end of a file opens no further, empty line.
     """
     start = F.col("_metadata.file_block_start")
-    line = F.make_valid_utf8(F.col("value"))
-    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), start.alias("block"), F.monotonically_increasing_id().alias("line_no"), line.alias("line"))
+    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), start.alias("block"), F.monotonically_increasing_id().alias("line_no"), "value")
+    raw = raw.withColumn("value", F.make_valid_utf8("value")) if decode is None else decode(raw)
+    raw = raw.withColumnRenamed("value", "line")
     return raw.withColumn("line", F.when(F.col("block") == 0, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")))
 
 

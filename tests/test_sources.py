@@ -147,9 +147,27 @@ def test_detection(spark, tmp_path):
 
 
 def test_charsets(spark, tmp_path):
-    (tmp_path / "g.txt").write_bytes("RT Journal\nT1 标题\nK1 关键；词\n".encode("gbk"))
-    got = tagged.parse_cnki(tables.read_decoded(spark, str(tmp_path / "g.txt"))).first()
-    assert got.doc_id == "标题" and got.keywords == ["关键", "词"]
+    body = "【来源篇名】标题 {}\n【关键词】关键；词 {}\n"
+    odd = {"gbk": "í", "gb18030": "ß𠀀", "utf-8": "é", "utf-8-sig": "é"}
+    for charset, more in odd.items():
+        (tmp_path / f"{charset}.txt").write_bytes(body.format(charset, more).encode(charset))
+    (tmp_path / "rest.txt").write_bytes(b"RT Journal\nT1 rest\nK1 caf\xe9\xff;x\n")
+    (tmp_path / "none.txt").write_bytes(b"")
+    got = rows(tagged.parse_cnki(tables.read_decoded(spark, str(tmp_path))))
+    assert {k: v.keywords for k, v in got.items()} == {f"标题 {c}": sorted(["关键", f"词 {m}"]) for c, m in odd.items()} | {"rest": ["café\xff", "x"]}
+
+
+def test_big_file_in_gbk_is_split(spark, tmp_path):
+    text = "".join(f"【来源篇名】题{i}\n【关键词】词{i};共\n" for i in range(20000))
+    (tmp_path / "g.txt").write_bytes(text.encode("gbk"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 65536)
+    try:
+        lines_ = tables.read_decoded(spark, str(tmp_path / "g.txt"))
+        assert lines_.select("block").distinct().count() > 4
+        got = tagged.parse_cnki(lines_)
+        assert got.count() == 20000 and got.where("doc_id = concat('题', substr(array_min(keywords), 2)) OR doc_id = concat('题', substr(array_max(keywords), 2))").count() == 20000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_scopus(spark, tmp_path):
