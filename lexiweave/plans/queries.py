@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import checks, text
 from ..functions.lexicons import AUDIT_COLUMNS, ROOTS
 from ..lineage import settled, shared_path
-from ..operators import audit, clusters, keywords, review
+from ..operators import audit, clusters, keywords, review, review_log, suffixes
 from ..operators.roots import roots_in
 from ..sources import sinks, tables, tagged
 from ..sources.charsets import encoded
@@ -147,6 +147,18 @@ def e8(spark, d):
     return _words(spark, d).select("w", text.lemma_word(F.col("w")).alias("lemma"))
 
 
+_SUFFIXES = ", ".join(f"('{a}', '{b}', {n}, {str(w).lower()})" for a, b, n, w in suffixes.ENGLISH)
+
+
+@query("e8_suffix_table", f"""WITH {WORDS_SQL}, low AS (SELECT DISTINCT lower(w) AS w FROM words), rules(suffix, put, least, whole) AS (VALUES {_SUFFIXES}),
+met AS (SELECT w, arg_max((suffix, put), (CASE WHEN whole THEN 1 ELSE 0 END, length(suffix))) AS r FROM low JOIN rules ON CASE WHEN whole THEN w = suffix ELSE suffix(w, suffix) AND length(w) >= least END WHERE NOT {o._protected('w')} GROUP BY 1)
+SELECT low.w, CASE WHEN r IS NULL THEN {o.lemma_word('low.w')} ELSE left(low.w, length(low.w) - length(r[1])) || r[2] END AS lemma FROM low LEFT JOIN met USING (w)""")
+def e8_table(spark, d):
+    """All words of documents in the singular by a table of suffixes and irregular nouns."""
+    words = _words(spark, d).select(F.lower("w").alias("w")).distinct()
+    return suffixes.lemmas(words, "w", suffixes.english(spark))
+
+
 @query("e9_phrase_lemma", f"WITH {PARTS_SQL} SELECT p_partkey, {o.lemma_phrase('v')} AS lemma FROM parts")
 def e9(spark, d):
     return _part_names(spark, d).select("p_partkey", text.lemma_phrase(F.col("v")).alias("lemma"))
@@ -499,6 +511,30 @@ def r5(spark, d):
     return review.apply_overrides(_built(spark, d)[2], review.toggle(review.toggle(none, "adt", True), "adt", False))
 
 
+# Each event is a reviewer's action on every keyword of the record of its number, in three batches by user.
+_ACTIONS = """acts AS (SELECT DISTINCT (user_id % 3, event_id) AS place, lower(trim(kw_raw)) AS raw, event_type = 'error' AS reset, CASE event_type WHEN 'click' THEN true WHEN 'view' THEN false END AS selected,
+  CASE WHEN event_type NOT IN ('click', 'view', 'error') THEN 'Group ' || user_id % 20 END AS target FROM events JOIN edges ON rec_seq = event_id),
+resets AS (SELECT raw, max(place) FILTER (WHERE reset) AS r FROM acts GROUP BY 1), live AS (SELECT acts.* FROM acts JOIN resets USING (raw) WHERE r IS NULL OR place >= r),
+chosen AS (SELECT raw, arg_max(selected, place) FILTER (WHERE selected IS NOT NULL) AS s, arg_max(target, place) FILTER (WHERE target IS NOT NULL) AS t FROM live GROUP BY 1),
+reviewed AS (SELECT raw_term, coalesce(t, target_term) AS target_term, coalesce(s, selected_for_export) AS selected_for_export FROM rules LEFT JOIN chosen ON raw = raw_term)"""
+
+
+@query("r5_a5_review_log", f"{o.CLUSTER_PATH}, {_ACTIONS}, {o.METRICS.replace('FROM rules', 'FROM reviewed')} SELECT * FROM metrics")
+def review_by_log(spark, d):
+    """The counts that a review keeps, after three batches of actions recorded in its log."""
+    folder, edges = shared_path(spark), keyword_edges(spark, d)
+    review_log.start(folder, _built(spark, d)[2], edges)
+    kind, group = F.col("event_type"), F.concat(F.lit("Group "), (F.col("user_id") % 20).cast("string"))
+    met = spark.read.parquet(f"{d}/events.parquet").join(edges, F.col("event_id") == F.col("rec_seq"))
+    actions = met.select(
+        (F.col("user_id") % 3).alias("batch"), F.col("event_id").alias("seq"), text.fold(F.col("kw_raw")).alias("raw_term"), F.when(kind == "click", True).when(kind == "view", False).alias("selected"),
+        F.when(~kind.isin("click", "view", "error"), group).alias("target"), (kind == "error").alias("reset"),
+    ).distinct()
+    for batch in range(3):
+        review_log.record(folder, actions.where(F.col("batch") == batch).drop("batch"))
+    return review_log.metrics(spark, folder)
+
+
 # Sources: tagged texts made of the corpus and parsed back.
 _KWS = f"e AS ({keyword_edges_sql()}), k AS (SELECT rec_seq AS rec, list_sort(list(DISTINCT kw_raw)) AS raw FROM e GROUP BY 1), kw AS (SELECT rec, list_transform(raw, lambda x: trim(x)) AS kws FROM k)"
 _FLAT = lambda c: f"array_to_string(list_sort(list_distinct({c})), '|')"
