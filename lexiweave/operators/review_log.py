@@ -49,12 +49,16 @@ def _finish(spark: SparkSession, folder: str, version: int) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
 
 
+def _by_bucket(df: DataFrame, key: str) -> DataFrame:
+    """df with the bucket of key, a file a bucket; adaptive execution splits a bucket above its advisory size, as one of a hot key."""
+    return df.withColumn("bucket", _bucket(F.col(key))).hint("rebalance", "bucket")
+
+
 def _write(df: DataFrame, folder: str, table: str, version: int, by: str | None = None) -> None:
     if by is None:
         df.write.mode("overwrite").parquet(f"{folder}/{table}/version={version}")
         return
-    # Keys of one bucket may hold most rows: files are many a bucket, dealt by all columns.
-    df.withColumn("bucket", _bucket(F.col(by))).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{table}/version={version}")
+    _by_bucket(df, by).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{table}/version={version}")
 
 
 def _read(spark: SparkSession, folder: str, table: str, versions: int) -> DataFrame:
@@ -86,7 +90,7 @@ def start(folder: str, rules: DataFrame, doc_kw: DataFrame) -> None:
     rules.write.mode("overwrite").parquet(f"{folder}/rules")
     rules = spark.read.parquet(f"{folder}/rules")
     postings = doc_kw.groupBy("rec_seq", fold(F.col("kw_raw")).alias("key")).agg(F.count_distinct("kw_raw").alias("n")).where("key <> ''")
-    postings.withColumn("bucket", _bucket(F.col("key"))).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    _by_bucket(postings, "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
     _write(spark.createDataFrame([], ACTION), folder, "log", 0)
     _write(mapping_of(rules), folder, "mapping", 0)
     mapping, postings = _read(spark, folder, "mapping", 1).select("raw", "canonical"), _postings(spark, folder).drop("bucket")
@@ -170,7 +174,7 @@ def compact(spark: SparkSession, folder: str, into: str) -> None:
     if not n or _versions(spark, into):
         raise ValueError(f"{folder} must hold a review and {into} none")
     spark.read.parquet(f"{folder}/rules").write.mode("overwrite").parquet(f"{into}/rules")
-    _postings(spark, folder).write.mode("overwrite").partitionBy("bucket").parquet(f"{into}/postings")
+    _by_bucket(_postings(spark, folder).drop("bucket"), "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{into}/postings")
     _write(overrides(spark, folder).select(F.lit(0).cast("long").alias("seq"), "raw_term", "selected", "target", F.lit(False).alias("reset")), into, "log", 0)
     _write(_latest(_read(spark, folder, "mapping", n).drop("old"), "raw").where("canonical IS NOT NULL"), into, "mapping", 0)
     counts = _read(spark, folder, "counts", n).groupBy("canonical", "rec_seq").agg(F.sum("n").alias("n")).where("n > 0")
