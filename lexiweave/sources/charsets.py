@@ -30,10 +30,13 @@ def all_charsets(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(s) if value is None else spark.conf.set(s, value)
 
 
-def encoded(df: DataFrame, column: str, charset: str) -> DataFrame:
-    """df with the bytes of column in a charset in the place of its UTF-8, as Spark's text writer puts them out."""
+def encoded(df: DataFrame, column: str, charsets: list[str], kind: str = "kind") -> DataFrame:
+    """df with the bytes of column in the place of its UTF-8, as Spark's text writer puts them out, where `kind` names one of the charsets."""
     with all_charsets(df.sparkSession):
-        return df.withColumn(column, F.encode(column, charset).cast("string"))
+        value = F.col(column)
+        for c in charsets:
+            value = F.when(F.col(kind) == c, F.encode(column, c).cast("string")).otherwise(value)
+        return df.withColumn(column, value)
 
 
 def file_charsets(raw: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import split_clean, strip
 from .charsets import decoded
-from .tagged import _plain, detect_formats, head_lines, parse_cnki, parse_pubmed, parse_wos, read_lines, with_counts
+from .tagged import _plain, detect_formats, head_lines, parse_cnki, parse_pubmed, parse_wos, parsed, placed, read_lines, with_counts
 
 #: Schema of a descriptor record; inference would make single children structs.
 DESCRIPTOR = (
@@ -32,12 +32,15 @@ def csv_rows(lines: DataFrame) -> DataFrame:
     parities that its start may have, the rows that would open in it; two prefix sums over the blocks of a file, of quotes and then of
     rows, say which holds. A lone quote inside a cell without quotes upsets what follows in its file.
     """
-    if "block" not in lines.columns:
-        lines = lines.withColumn("block", F.lit(0).cast("long"))
+    lines = placed(lines)
     line, quotes = F.col("line"), F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    inside = Window.partitionBy("path", "block").orderBy("line_no")
+    split = [c for c in ("block",) if c in lines.columns]
+    inside = Window.partitionBy("path", *split).orderBy("line_no")
     earlier_lines, so_far = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = lines.withColumn("quotes", quotes).withColumn("odd", F.coalesce(F.sum("quotes").over(earlier_lines), F.lit(0)) % 2)
+    if not split:
+        df = df.withColumn("rec", F.sum(F.when((F.col("odd") == 0) & (line != ""), 1).otherwise(0)).over(so_far)).where((line != "") | (F.col("odd") == 1))
+        return _rows(df, F.struct("line_no", "line"))
     sums = df.groupBy("path", "block").agg(F.sum("quotes").alias("q"), F.count_if((line != "") & (F.col("odd") == 0)).alias("if_even"), F.count_if((line != "") & (F.col("odd") == 1)).alias("if_odd"))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("carry", F.coalesce(F.sum("q").over(earlier), F.lit(0)) % 2).withColumn("opened", F.when(F.col("carry") == 0, F.col("if_even")).otherwise(F.col("if_odd")))
@@ -45,8 +48,12 @@ def csv_rows(lines: DataFrame) -> DataFrame:
     df = df.join(sums, (F.col("path") == F.col("__path")) & (F.col("block") == F.col("__block")))
     outside = F.col("odd") == F.col("carry")
     df = df.withColumn("rec", F.col("before") + F.sum(F.when(outside & (line != ""), 1).otherwise(0)).over(so_far)).where((line != "") | ~outside)
-    of_row = F.array_sort(F.collect_list(F.struct("block", "line_no", "line")))
-    return df.groupBy("path", "rec").agg(F.array_join(F.transform(of_row, lambda x: x["line"]), "\n").alias("row"))
+    return _rows(df, F.struct("block", "line_no", "line"))
+
+
+def _rows(df: DataFrame, place) -> DataFrame:
+    """(path, rec, row) of lines with the number of their row, in the order of their place."""
+    return df.groupBy("path", "rec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["line"]), "\n").alias("row"))
 
 
 def csv_cells(lines: DataFrame, names: list[str]) -> DataFrame:
@@ -67,8 +74,13 @@ def csv_cells(lines: DataFrame, names: list[str]) -> DataFrame:
 
 def read_scopus(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The id is EID, else DOI, else a number; keywords are those of authors and index. Files are split; each has its own header."""
-    cells = csv_cells(read_lines(spark, path), ["EID", "DOI", "Author Keywords", "Index Keywords"])
-    return scopus_records(cells.withColumnsRenamed({"EID": "eid", "DOI": "doi", "Author Keywords": "a", "Index Keywords": "i"}))
+    names = {"EID": "eid", "DOI": "doi", "Author Keywords": "a", "Index Keywords": "i"}
+    return parsed(spark, path, lambda lines: scopus_records(csv_cells(lines, list(names)).withColumnsRenamed(names)))
+
+
+def read_cnki(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Files in any of the charsets."""
+    return parsed(spark, path, parse_cnki, decoded)
 
 
 def scopus_records(rows: DataFrame) -> DataFrame:
@@ -85,15 +97,16 @@ def scopus_records(rows: DataFrame) -> DataFrame:
 def vos_terms(lines: DataFrame) -> DataFrame:
     """(path, line_no, term, occurrences, total_link_strength) and block, if lines have it; a third column that is no number is an error."""
     cells = F.split("line", "\t")
-    of = [c for c in ("path", "block", "line_no") if c in lines.columns]
     if "block" in lines.columns:
         # The first line of a file has the smallest number of its first block.
         first = head_lines(lines, 1).where(F.lower(F.get(cells, F.lit(0))).rlike("term|label")).select(F.col("path").alias("__path"), F.col("line").alias("__line"))
+        lines = placed(lines)
         numbered = with_counts(lines, n=F.lit(1)).join(F.broadcast(first), (F.col("path") == F.col("__path")) & (F.col("n") == 1), "left")  # a row a file
         rows = numbered.where((strip(F.col("line")) != "") & F.col("__path").isNull())
     else:
         rows = lines.where((strip(F.col("line")) != "") & ~((F.col("line_no") == 0) & F.lower(F.get(cells, F.lit(0))).rlike("term|label")))
     cell = lambda i: strip(F.get(cells, F.lit(i)))
+    of = [c for c in ("path", "block", "line_no") if c in lines.columns]
     return rows.select(
         *of, cell(0).alias("term"),
         F.when(cell(1).rlike(r"^\d+$"), cell(1)).otherwise("1").cast("long").alias("occurrences"),
@@ -170,8 +183,8 @@ def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
         if kind == "scopus_csv":
             found.append(read_scopus(spark, paths))
         elif kind == "cnki_text":
-            found.append(parse_cnki(read_decoded(spark, paths)))
+            found.append(read_cnki(spark, paths))
         else:
             parse = {"pubmed_medline": parse_pubmed, "vos_tsv": vos_records}.get(kind, parse_wos)
-            found.append(parse(read_lines(spark, paths)))
+            found.append(parsed(spark, paths, parse))
     return reduce(DataFrame.unionByName, found) if found else parse_wos(read_lines(spark, path))

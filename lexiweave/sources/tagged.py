@@ -5,6 +5,9 @@ Parsers take (path, line_no, line) rows and return rec_seq, doc_id, keyword arra
 the number of separators before its lines, counted inside each block and, over the few blocks of a file, by a prefix sum. Tags carry
 forward inside a record, which an exchange by (file, record) brings together wherever a split cut it. Places of records in their
 file, for ids of records without one, are counted in the same two steps. Without `block` a file is one value and one window.
+
+Lines of files of at most WHOLE bytes have `whole` besides: an exchange brings each such file to one task once, and all windows and groups
+of its parser then work where the lines are.
 """
 
 from __future__ import annotations
@@ -20,6 +23,9 @@ from ..functions.text import clean_heading, split_clean, split_mixed, strip
 
 #: Records whose places are counted together.
 RANGE = 4096
+#: Bytes of a file that one task may take whole, and files for each task.
+WHOLE = 16 << 20
+FILES = 16
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
@@ -28,18 +34,41 @@ def lines_of(texts: DataFrame) -> DataFrame:
     return texts.select("path", F.posexplode(F.split(bare, r"\r\n|\n|\r")).alias("line_no", "line"))
 
 
-def read_lines(spark: SparkSession, path: str | list[str], decode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], decode: Callable[[DataFrame], DataFrame] | None = None, whole: bool | None = None) -> DataFrame:
     """(path, block, line_no, line) of files, those of inner folders too, which Spark splits by its maxPartitionBytes; line_no is ordered inside a block.
 
     `decode` makes text of (path, block, line_no, value) lines of raw bytes; without it, bytes beyond UTF-8 are replaced. A byte-order mark goes. Unlike in `lines_of`, a line end at the end of a file opens no further, empty line.
+    `whole` takes only files of at most WHOLE bytes (true) or only larger ones (false).
     """
     start = F.col("_metadata.file_block_start")
-    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), start.alias("block"), F.monotonically_increasing_id().alias("line_no"), "value")
+    files = spark.read.option("recursiveFileLookup", "true").text(path)
+    if whole is not None:
+        size = F.col("_metadata.file_size")  # Spark leaves the other files out when it lists them
+        files = files.where(size <= WHOLE if whole else size > WHOLE)
+    raw = files.select(F.col("_metadata.file_path").alias("path"), start.alias("block"), F.monotonically_increasing_id().alias("line_no"), "value")
     raw = raw.withColumn("value", F.make_valid_utf8("value")) if decode is None else decode(raw)
     raw = raw.withColumnRenamed("value", "line")
+    if whole:
+        raw = raw.withColumn("whole", F.lit(True))
     return raw.withColumn("line", F.when(F.col("block") == 0, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")))
 
 
+def parsed(spark: SparkSession, path: str | list[str], parse: Callable[[DataFrame], DataFrame], decode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """What `parse` makes of the lines of files: small files each in one task, larger ones by their splits."""
+    small = parse(read_lines(spark, path, decode, True))
+    if read_lines(spark, path, whole=False).select("path").isEmpty():
+        return small
+    return small.unionByName(parse(read_lines(spark, path, decode, False)))
+
+
+def placed(lines: DataFrame) -> DataFrame:
+    """lines of whole files with all of a file in one task, and their files as the only unit; other lines as they are. Tasks grow in number with the files."""
+    if "whole" not in lines.columns:
+        return lines
+    n = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-len(lines.inputFiles()) // FILES))
+    return lines.drop("whole", "block").repartition(n, "path")
+
+
 def order_of(lines: DataFrame) -> Column:
     """What orders the lines of one file."""
     return F.struct("block", "line_no") if "block" in lines.columns else F.col("line_no")
@@ -107,7 +136,7 @@ def _in_record(lines: DataFrame) -> Window:
 
 def parse_wos(lines: DataFrame) -> DataFrame:
     """`UT`, `DE`, `ID` up to each `ER`; a record without ER is lost, DE falls back to ID."""
-    line = F.col("line")
+    line, lines = F.col("line"), placed(lines)
     goes_on = line.startswith("   ")
     own = F.when(~goes_on & (strip(F.substring(line, 1, 2)) != ""), strip(F.substring(line, 1, 2)))
     df = lines.where(line != "").withColumn("own", own).withColumn("val", F.when(goes_on, strip(line)).otherwise(strip(F.substring(line, 4, 1 << 30))))
@@ -133,7 +162,7 @@ def parse_wos(lines: DataFrame) -> DataFrame:
 
 def parse_pubmed(lines: DataFrame) -> DataFrame:
     """`PMID`, `OT`, `MH`; a blank line closes a record that has an id or keywords, as the file's end does."""
-    line = F.col("line")
+    line, lines = F.col("line"), placed(lines)
     tagged = (F.length(line) >= 6) & (F.substring(line, 5, 2) == "- ")
     goes_on = ~tagged & line.startswith("      ")
     blank = ~tagged & ~goes_on & (strip(line) == "")
@@ -156,7 +185,7 @@ def _plain(df: DataFrame, database: str) -> DataFrame:
 
 def parse_cnki_text(lines: DataFrame) -> DataFrame:
     """A title line starts a record, keyword lines add to it."""
-    line = strip(F.col("line"))
+    line, lines = strip(F.col("line")), placed(lines)
     title, words = "【来源篇名】", "【关键词】"
     df = with_counts(lines.withColumn("s", line).where(line.startswith(title) | line.startswith(words)), rec=F.when(F.col("s").startswith(title), 1).otherwise(0))
     value = lambda t: strip(F.replace("s", F.lit(t), F.lit("")))
@@ -169,7 +198,7 @@ def parse_cnki_text(lines: DataFrame) -> DataFrame:
 
 def parse_cnki_refworks(lines: DataFrame) -> DataFrame:
     """`RT ` starts a record once the one before has an id or keywords; `T1` is the id, `K1` keywords."""
-    line = strip(F.col("line"))
+    line, lines = strip(F.col("line")), placed(lines)
     df = with_counts(lines.withColumn("s", line).where(F.col("s").rlike("^(?:RT |T1|K1)")), rec=F.when(F.col("s").startswith("RT "), 1).otherwise(0))
     tag, val = strip(F.substring("s", 1, 2)), strip(F.substring("s", 4, 1 << 30))
     per = df.groupBy("path", "rec").agg(
@@ -182,7 +211,7 @@ def parse_cnki_refworks(lines: DataFrame) -> DataFrame:
 def parse_cnki(lines: DataFrame) -> DataFrame:
     """S5 for files with one of its marks in the first 30 lines, S6 for the others."""
     marked = F.contains("line", F.lit("【来源篇名】")) | F.contains("line", F.lit("【关键词】"))
-    custom = head_lines(lines, 30).where(marked).select("path").distinct()
+    custom = F.broadcast(head_lines(lines, 30).where(marked).select("path").distinct())  # a row a file
     return parse_cnki_text(lines.join(custom, "path", "left_semi")).unionByName(parse_cnki_refworks(lines.join(custom, "path", "left_anti")))
 
 
