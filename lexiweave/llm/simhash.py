@@ -68,6 +68,8 @@ _FIRST, _SECOND = (np.array(x) for x in zip(*(p for g in range(0, SIGNATURE, GRO
 #: Differing bits of 128, and of all 512, that sets of similarity 0.8 stay within: 0.152 of the bits differ (0.19 for the smallest sets), with four deviations.
 NEAR, NEAR_SMALL, NEAR_ALL = 36, 41, 131
 _SMALL_SET = 32
+#: Nodes of the links that a task of the wide net compares new ones with.
+FOREST = 100_000
 
 
 def signature(text: str | None, width: int) -> tuple[int, bytes]:
@@ -320,7 +322,10 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(similarity: float):
-    """Over rows sorted by k: a spanning forest of each bucket's links, by exclusive-or and bit counts, where sizes allow the similarity."""
+    """Over rows sorted by k and node: links that connect each bucket, by exclusive-or and bit counts, where sizes allow the similarity.
+
+    A large bucket gives a spanning forest from its smallest nodes on, so that the buckets of one group of near copies give mostly the same links.
+    """
 
     def close(n, m, x, y, z, w):
         most = np.maximum(n, m)
@@ -352,10 +357,28 @@ def _near(similarity: float):
                         dst.append(node[left[hit]])
                         queue += left[hit].tolist()
                         left = left[~hit]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(src), pa.int64()), pa.array(np.concatenate(dst), pa.int64())], names=["src", "dst"])
+        return np.concatenate(src).tolist(), np.concatenate(dst).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, root = None, {}
+
+        def find(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root.setdefault(up, up)
+            return x
+
+        def new(src, dst):
+            """Those links that join what the task's links before, of up to FOREST nodes, did not: buckets of one group repeat each other."""
+            if len(root) > FOREST:
+                root.clear()
+            kept = []
+            for x, y in zip(src, dst, strict=True):
+                u, v = find(x), find(y)
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+                    kept.append((x, y))
+            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["src", "dst"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -366,9 +389,9 @@ def _near(similarity: float):
             cut = int(np.searchsorted(now[0], now[0][-1]))
             held = [x[cut:] for x in now]
             if cut:
-                yield links(*(x[:cut] for x in now))
+                yield new(*links(*(x[:cut] for x in now)))
         if held is not None:
-            yield links(*held)
+            yield new(*links(*held))
 
     return run
 
@@ -380,7 +403,7 @@ def candidate_links(prints: DataFrame, similarity: float = 0.8) -> DataFrame:
     one of 8 groups are whole (0.8-alike sets miss with a chance of about 1 in 10,000), and link within the radius of 128 of the bits.
     """
     keyed = prints.select("node", "size", "sig").mapInArrow(_bucket_rows, "k int, node long, size long, a long, b long")
-    return keyed.repartition("k").sortWithinPartitions("k").mapInArrow(_near(similarity), "src long, dst long").distinct()
+    return keyed.repartition("k").sortWithinPartitions("k", "node").mapInArrow(_near(similarity), "src long, dst long").distinct()
 
 
 def similar_links(texts: DataFrame, prints: DataFrame, width: int = 5, similarity: float = 0.8, cell: int = CELL) -> DataFrame:

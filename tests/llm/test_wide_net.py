@@ -27,3 +27,14 @@ def test_links_of_pairs_and_of_large_buckets(spark, copies):
     links = simhash.candidate_links(spark.createDataFrame(rows, "node long, size long, sig binary"))
     roots = {r.node: r.root for r in simhash.connected_components(links).collect()}
     assert roots == {g * 1000 + c: g * 1000 for g in range(30) for c in range(copies)}
+
+
+def test_buckets_of_one_group_give_the_same_links(spark):
+    rng, rows = np.random.default_rng(9), []
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    for c in rng.permutation(400).tolist():
+        size, sig = simhash._signature(np.concatenate([base[:192], rng.integers(0, 1 << 63, 8, dtype=np.uint64)]))
+        rows.append((c, size, bytearray(sig)))
+    n = simhash.candidate_links(spark.createDataFrame(rows, "node long, size long, sig binary")).count()
+    print("links", n)
+    assert n < 12 * 400
