@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
+from ..lineage import settled
+
+#: Rows of a mapping that is sent to all executors; a larger one is met in an exchange.
+SENT = 200_000
 
 
 def mapping_of(rules: DataFrame) -> DataFrame:
@@ -19,9 +23,12 @@ def dual_metrics(doc_kw: DataFrame, mapping: DataFrame) -> DataFrame:
 
     A keyword maps by its folded form, else by itself, else to itself.
     """
-    once = doc_kw.select("rec_seq", "kw_raw").distinct().withColumn("__f", fold(F.col("kw_raw")))
-    by_fold = mapping.select(F.col("raw").alias("__f"), F.col("canonical").alias("__a"))
-    by_self = mapping.select(F.col("raw").alias("kw_raw"), F.col("canonical").alias("__b"))
+    mapping = settled(mapping)
+    sent = F.broadcast if mapping.count() <= SENT else lambda m: m
+    # One exchange, by record: what is counted per record needs no other while the mapping is sent.
+    once = doc_kw.select("rec_seq", "kw_raw").repartition("rec_seq").distinct().withColumn("__f", fold(F.col("kw_raw")))
+    by_fold = sent(mapping.select(F.col("raw").alias("__f"), F.col("canonical").alias("__a")))
+    by_self = sent(mapping.select(F.col("raw").alias("kw_raw"), F.col("canonical").alias("__b")))
     met = once.join(by_fold, "__f", "left").join(by_self, "kw_raw", "left")
     named = met.select("rec_seq", fold(F.coalesce("__a", "__b", "kw_raw")).alias("canonical")).where(F.col("canonical") != "")
     # Records are counted by a first pass on (canonical, record), so a hot keyword is summed in parts.
@@ -36,6 +43,7 @@ def audit_rows(rules: DataFrame, doc_kw: DataFrame | None) -> DataFrame:
     if doc_kw is None:
         met = rules.withColumns({c: F.lit(None).cast("long") for c in ("raw_sum", "doc_count", "reduction")})
     else:
+        rules = settled(rules)
         met = rules.join(dual_metrics(doc_kw, mapping_of(rules)), key == F.col("canonical"), "left")
     return met.select(
         "raw_term", "target_term", "tier", "rule_source", "clinical_safety_check",

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import SAFE_BY_TERM, arbitrate, grade, inspect_pair
 from ..functions.text import decouple, lemma_phrase
+from ..lineage import settled
 from ..operators.clusters import RULE_COLUMNS
 from ..operators.keywords import at_least, frequency_of, lookup, resolve_hyphens
 
 
 def rules_by_term(freqs: DataFrame, vocabulary: DataFrame, least: int = 2, custom_risk_terms: list[str] | None = None) -> DataFrame:
     """One rule for each term of at least `least` records, identity rules included."""
-    kept = at_least(freqs, least)
+    kept = settled(at_least(freqs, least))  # it is met four times
     df = kept.withColumn("base", decouple(F.col("term"))["full_phrase"])
     df = resolve_hyphens(df, "base", kept, vocabulary).withColumn("lemma", lemma_phrase(F.col("hyphen_resolved")))
     df = frequency_of(lookup(df, "lemma", vocabulary), F.lower("lemma"), kept, "lemma_freq")

@@ -1,5 +1,6 @@
 """What one task holds does not grow with the input."""
 
+from lexiweave.operators import audit
 from lexiweave.plans import corpus
 from lexiweave.sources import tables, tagged
 
@@ -33,3 +34,11 @@ def test_large_and_small_files_are_read_alike(spark, tmp_path, monkeypatch):
     assert rows() == whole
     monkeypatch.setattr(tagged, "WHOLE", 0)
     assert rows() == whole
+
+
+def test_a_small_mapping_is_sent(spark):
+    edges = spark.createDataFrame([(1, "A"), (1, "a"), (2, "b"), (None, "b"), (None, "b"), (2, " ")], "rec_seq long, kw_raw string")
+    mapping = spark.createDataFrame([("a", "x"), ("b", "x")], "raw string, canonical string")
+    found = audit.dual_metrics(edges, mapping)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 0
+    assert [tuple(r) for r in found.collect()] == [("x", 4, 3, 1)]
