@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import SAFE_BY_CLUSTER, grade, inspect_pair
 from ..functions.lexicons import TIER_3
-from ..functions.text import acronym_key, decouple, fold, is_short_upper, is_short_word, lemma_phrase, phrase_keys, roots_of, starts_lower
+from ..functions.text import acronym_key, decouple, fold, hyphen_forms, is_short_upper, is_short_word, lemma_phrase, phrase_keys, roots_of, starts_lower
 from ..lineage import settled
 from .keywords import lookup, resolve_hyphens
 from .roots import roots_in
@@ -23,6 +23,8 @@ def term_properties(freqs: DataFrame, vocabulary: DataFrame | None) -> DataFrame
     df = freqs.select("term", "freq", d.alias("d")).select(
         "term", "freq", F.col("d.full_phrase").alias("base_term"), (F.col("d.valid") | is_short_upper(F.col("term")) | is_short_word(F.col("term"))).alias("is_acronym")
     )
+    if vocabulary is not None:
+        vocabulary = settled(_asked(df, vocabulary))
     df = resolve_hyphens(df, "base_term", freqs, vocabulary).withColumn("lemmatized", lemma_phrase(F.col("hyphen_resolved")))
     if vocabulary is None:
         none = F.lit(None).cast("string")
@@ -32,6 +34,16 @@ def term_properties(freqs: DataFrame, vocabulary: DataFrame | None) -> DataFrame
     return df.select(*freqs.select("term", "freq").columns, "base_term", "is_acronym", "hyphen_resolved", "lemmatized", *map(pick, ("descriptor_id", "concept_id", "canonical_name")))
 
 
+def _asked(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The entries of the vocabulary under any form of a base_term that is looked up: a large one is gone through once, and what is left is no larger than the forms."""
+    base = F.col("base_term")
+    space, closed = hyphen_forms(base)
+    hyphened = F.array(F.lower(space), F.lower(closed), fold(lemma_phrase(space)), fold(lemma_phrase(closed)))
+    forms = F.concat(F.array(fold(base), fold(lemma_phrase(base))), F.when(F.contains(base, F.lit("-")), hyphened).otherwise(F.array().cast("array<string>")))
+    asked = df.select(F.explode(F.array_distinct(forms)).alias("term")).distinct()
+    return vocabulary.join(asked, "term", "left_semi")
+
+
 def hyphen_and_plural_links(props: DataFrame, freqs: DataFrame) -> DataFrame:
     """(src, dst, rule_source, is_acr) of full terms whose resolved or singular form is a term."""
     full = props.where(~F.col("is_acronym")).select("term", F.explode(F.array(F.struct(F.lit(1).alias("o"), F.col("hyphen_resolved").alias("dst")), F.struct(F.lit(2).alias("o"), F.col("lemmatized").alias("dst")))).alias("x"))

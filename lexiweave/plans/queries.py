@@ -355,7 +355,7 @@ def j1_wide(spark, d):
 def j6_wide(spark, d):
     """Links of thousands of terms under descriptors with many terms and several concepts each."""
     f = settled(_freqs(spark, d))
-    return clusters.descriptor_links(clusters.term_properties(f, settled(wide_vocabulary(spark, d))))
+    return clusters.descriptor_links(clusters.term_properties(f, wide_vocabulary(spark, d)))
 
 
 @query("g1_term_links", f"WITH {o.VOCABULARY}, {E_}, {o.PROPS}, {o.LINKS} SELECT * FROM links")

@@ -1,6 +1,6 @@
 """What one task holds does not grow with the input."""
 
-from lexiweave.operators import audit
+from lexiweave.operators import audit, clusters
 from lexiweave.plans import corpus
 from lexiweave.sources import tables, tagged
 
@@ -42,3 +42,11 @@ def test_a_small_mapping_is_sent(spark):
     found = audit.dual_metrics(edges, mapping)
     assert found._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 0
     assert [tuple(r) for r in found.collect()] == [("x", 4, 3, 1)]
+
+
+def test_a_large_vocabulary_is_cut_to_what_is_asked(spark):
+    freqs = spark.createDataFrame([("renal-tumors", 3), ("renal tumor", 2), ("other", 1)], "term string, freq long")
+    vocabulary = spark.createDataFrame([(f"entry {i}", "d", "c", "n") for i in range(50)] + [("renal tumor", "d1", "c1", "Renal Tumor"), ("renaltumors", "d2", "c2", "x")], "term string, descriptor_id string, concept_id string, canonical_name string")
+    assert {r.term for r in clusters._asked(freqs.withColumnRenamed("term", "base_term"), vocabulary).collect()} == {"renal tumor", "renaltumors"}
+    got = {r.term: (r.hyphen_resolved, r.descriptor_id) for r in clusters.term_properties(freqs, vocabulary).collect()}
+    assert got == {"renal-tumors": ("renaltumors", None), "renal tumor": ("renal tumor", "d1"), "other": ("other", None)}
