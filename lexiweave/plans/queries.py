@@ -531,8 +531,10 @@ def review_by_log(spark, d):
         (F.col("user_id") % 3).alias("batch"), F.col("event_id").alias("seq"), text.fold(F.col("kw_raw")).alias("raw_term"), F.when(kind == "click", True).when(kind == "view", False).alias("selected"),
         F.when(~kind.isin("click", "view", "error"), group).alias("target"), (kind == "error").alias("reset"),
     ).distinct()
+    kept = shared_path(spark)  # the records are met with the events once, not once a batch
+    actions.write.partitionBy("batch").parquet(kept)
     for batch in range(3):
-        review_log.record(folder, actions.where(F.col("batch") == batch).drop("batch"))
+        review_log.record(folder, spark.read.schema(actions.schema).parquet(kept).where(F.col("batch") == batch).drop("batch"))
     return review_log.metrics(spark, folder)
 
 
