@@ -68,7 +68,7 @@ _FIRST, _SECOND = (np.array(x) for x in zip(*(p for g in range(0, SIGNATURE, GRO
 #: Differing bits of 128, and of all 512, that sets of similarity 0.8 stay within: 0.152 of the bits differ (0.19 for the smallest sets), with four deviations.
 NEAR, NEAR_SMALL, NEAR_ALL = 36, 41, 131
 _SMALL_SET = 32
-#: Nodes of the links that a task of the wide net compares new ones with.
+#: Nodes of the links that a task of the wide net holds together before it gives them away.
 FOREST = 100_000
 
 
@@ -322,9 +322,9 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(similarity: float):
-    """Over rows sorted by k and node: links that connect each bucket, by exclusive-or and bit counts, where sizes allow the similarity.
+    """Over rows sorted by k and node: links that connect the buckets, by exclusive-or and bit counts, where sizes allow the similarity.
 
-    A large bucket gives a spanning forest from its smallest nodes on, so that the buckets of one group of near copies give mostly the same links.
+    A task joins the links of its buckets and gives each node the smallest one it is joined with, so links grow with the nodes, not with the buckets of a group of near copies.
     """
 
     def close(n, m, x, y, z, w):
@@ -367,17 +367,17 @@ def _near(similarity: float):
                 root[x] = x = root.setdefault(up, up)
             return x
 
-        def new(src, dst):
-            """Those links that join what the task's links before, of up to FOREST nodes, did not: buckets of one group repeat each other."""
-            if len(root) > FOREST:
-                root.clear()
-            kept = []
+        def join(src, dst):
             for x, y in zip(src, dst, strict=True):
                 u, v = find(x), find(y)
                 if u != v:
                     root[max(u, v)] = min(u, v)
-                    kept.append((x, y))
-            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["src", "dst"])
+
+        def stars() -> pa.RecordBatch:
+            """A link of each node to the smallest one that the task's buckets join it with: other tasks give mostly the same ones for a group."""
+            linked = [(x, r) for x in list(root) if (r := find(x)) != x]
+            root.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in linked], pa.int64()) for i in (0, 1)], names=["src", "dst"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -389,9 +389,12 @@ def _near(similarity: float):
             cut = int(np.searchsorted(now[0], now[0][-1]))
             held = [x[cut:] for x in now]
             if cut:
-                yield new(*links(*(x[:cut] for x in now)))
+                join(*links(*(x[:cut] for x in now)))
+            if len(root) > FOREST:
+                yield stars()
         if held is not None:
-            yield new(*links(*held))
+            join(*links(*held))
+        yield stars()
 
     return run
 
@@ -401,9 +404,12 @@ def candidate_links(prints: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     prints: (node, size, sig), a row for each node, sig being a SimHash of 512 bits in 64 blocks of a byte. Texts meet where two blocks of
     one of 8 groups are whole (0.8-alike sets miss with a chance of about 1 in 10,000), and link within the radius of 128 of the bits.
+    Tasks give a node 224 links at most, one for each of its buckets; each then goes to the smallest end of its links, as do the other ends.
     """
     keyed = prints.select("node", "size", "sig").mapInArrow(_bucket_rows, "k int, node long, size long, a long, b long")
-    return keyed.repartition("k").sortWithinPartitions("k", "node").mapInArrow(_near(similarity), "src long, dst long").distinct()
+    stars = keyed.repartition("k").sortWithinPartitions("k", "node").mapInArrow(_near(similarity), "src long, dst long")
+    ends = stars.groupBy("src").agg(F.collect_set("dst").alias("ends"), F.min("dst").alias("dst"))
+    return ends.select(F.explode(F.concat(F.array("src"), "ends")).alias("src"), "dst").where("src <> dst").distinct()
 
 
 def similar_links(texts: DataFrame, prints: DataFrame, width: int = 5, similarity: float = 0.8, cell: int = CELL) -> DataFrame:

@@ -38,3 +38,25 @@ def test_buckets_of_one_group_give_the_same_links(spark):
     n = simhash.candidate_links(spark.createDataFrame(rows, "node long, size long, sig binary")).count()
     print("links", n)
     assert n < 12 * 400
+
+
+def test_links_of_a_group_grow_with_its_nodes_not_with_the_tasks(spark, monkeypatch):
+    rng, rows = np.random.default_rng(4), []
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    for c in rng.permutation(400).tolist():
+        size, sig = simhash._signature(np.concatenate([base[:192], rng.integers(0, 1 << 63, 8, dtype=np.uint64)]))
+        rows.append((c, size, bytearray(sig)))
+    prints = spark.createDataFrame(rows, "node long, size long, sig binary")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        links = {(r.src, r.dst) for r in simhash.candidate_links(prints).collect()}
+        assert len(links) < 3 * 400
+        monkeypatch.setattr(simhash, "FOREST", 10)  # links that are given away early still hold the group together
+        early = {(r.src, r.dst) for r in simhash.candidate_links(prints).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    for found in (links, early):
+        assert {r.node: r.root for r in simhash.connected_components(spark.createDataFrame(list(found), "src long, dst long")).collect()} == dict.fromkeys(range(400), 0)
