@@ -61,6 +61,19 @@ class RankQueue:
         self.words[word] |= 1 << (rank & self.mask)
         self.top |= 1 << word
 
+    def fill(self, ranks: np.ndarray, places: np.ndarray) -> None:
+        """Each place under its rank, in an empty queue; places ascend."""
+        order = np.argsort(ranks, kind="stable")
+        ranks, places = ranks[order], places[order]
+        starts = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1])) if ranks.size else order
+        ends = [*starts[1:].tolist(), ranks.size]
+        held = array("q", places.astype(np.int64).tobytes()) if self.wide else places.tolist()
+        for rank, at, to in zip(ranks[starts].tolist(), starts.tolist(), ends, strict=False):
+            self.buckets[rank] = held[at:to]
+            word = rank >> self.shift
+            self.words[word] |= 1 << (rank & self.mask)
+            self.top |= 1 << word
+
     def take(self) -> tuple[int, list | array]:
         """The smallest rank with a bucket, and its places in order; the bucket goes. (-1, []) if there is none."""
         top = self.top
@@ -107,30 +120,39 @@ class BytePairs:
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece by itself: lowest rank first, leftmost first among equals. A piece that is a token is that one."""
+        ids, ends = self._merged(pieces)
+        return [x.tolist() for x in np.split(ids, ends[:-1])] if pieces else []
+
+    def _merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces end to end, and where each one's end."""
         rank_of = self.ranks.get
-        raw, n = b"".join(pieces), sum(map(len, pieces))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes)
+        raw, n = b"".join(pieces), int(sizes.sum())
         wide = n > WIDE
         queue = RankQueue(max(self.spelled, default=0) + 1, wide)
-        put, take = queue.put, queue.take
-        starts = [0, *accumulate(map(len, pieces))]
+        put, take, buckets = queue.put, queue.take, queue.buckets
+        full = sizes > 0
+        starts = (ends - sizes)[full]
         border = bytearray(n + 1)  # 1 where a piece starts, and at the end
-        for at in starts:
-            border[at] = 1
-        # End of the token that starts at a place, start of the one to its left, rank of the pair with the one to its right.
-        end, before, pair = (array("q", x) if wide else list(x) for x in (range(1, n + 1), range(-1, n - 1), (-1,) * n))
-        first = self.first
-        for at, to, piece in zip(starts, starts[1:], pieces, strict=False):
-            if to == at:
-                continue
-            before[at] = -1
-            if piece in self.ranks:
-                end[at] = to
-                continue
-            for i in range(at, to - 1):
-                r = first[raw[i] << 8 | raw[i + 1]]
-                if r >= 0:
-                    pair[i] = r
-                    put(r, i)
+        marks = np.frombuffer(border, dtype=np.uint8)
+        marks[starts] = marks[n] = 1
+        # Of a piece that is a token its first place holds the id and no pair waits; of the others each byte's place does.
+        whole = np.fromiter((rank_of(p, -1) for p in pieces), np.int64, len(pieces))[full]
+        codes = np.frombuffer(raw, dtype=np.uint8)
+        token = np.array([rank_of(bytes((x,)), -2) for x in range(256)], dtype=np.int64)[codes]
+        pair = np.full(n, -1, dtype=np.int64)
+        pair[:-1] = np.array(self.first, dtype=np.int64)[codes[:-1].astype(np.int64) << 8 | codes[1:]]
+        pair[marks[1:] == 1] = -1
+        is_whole = np.repeat(whole >= 0, sizes[full])
+        pair[is_whole] = token[is_whole] = -1
+        token[starts[whole >= 0]] = whole[whole >= 0]
+        waiting = np.flatnonzero(pair >= 0)
+        queue.fill(pair[waiting], waiting)
+        before = np.arange(-1, n - 1)
+        before[starts] = -1
+        # End of the token that starts at a place, start of the one to its left, rank of the pair with the one to its right, its id (-1: none starts there).
+        end, before, pair, token = (array("q", x.tobytes()) if wide else x.tolist() for x in (np.arange(1, n + 1), before, pair, token))
         while True:
             rank, bucket = take()
             if rank < 0:
@@ -140,14 +162,18 @@ class BytePairs:
                     continue
                 j = end[i]
                 last = end[i] = end[j]
-                pair[j] = pair[i] = -1
+                pair[j] = pair[i] = token[j] = -1
+                token[i] = rank
                 lower = rank
                 if not border[last]:
                     before[last] = i
                     r = rank_of(raw[i : end[last]])
                     if r is not None:
                         pair[i] = lower = r
-                        put(r, i)
+                        if r in buckets:
+                            buckets[r].append(i)
+                        else:
+                            put(r, i)
                 left = before[i]
                 if left >= 0:
                     r = rank_of(raw[left:last])
@@ -155,21 +181,20 @@ class BytePairs:
                         pair[left] = -1
                     else:
                         pair[left] = r
-                        put(r, left)
+                        if r in buckets:
+                            buckets[r].append(left)
+                        else:
+                            put(r, left)
                         if r < lower:
                             lower = r
                 if lower < rank:  # a pair of lower rank has come up: it goes first, the rest of the bucket waits
                     for later in bucket[k + 1 :]:
                         put(rank, later)
                     break
-        found = []
-        for at, to in zip(starts, starts[1:], strict=False):
-            ids = []
-            while at < to:
-                ids.append(rank_of(raw[at : end[at]]))
-                at = end[at]
-            found.append(ids)
-        return found
+        token = np.frombuffer(token, dtype=np.int64) if wide else np.array(token, dtype=np.int64)
+        if (token == -2).any():
+            raise ValueError("a byte that no token has")
+        return token[token >= 0], np.append(0, np.cumsum(token >= 0))[ends]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens."""
@@ -180,7 +205,9 @@ class BytePairs:
             known.clear()
             self.held = 0
             unseen = list(set(chain.from_iterable(split)))
-        found = {p: array("i", ids).tobytes() for p, ids in zip(unseen, self.merge([p.encode() for p in unseen]), strict=True)}
+        merged, ends = self._merged([p.encode() for p in unseen])
+        raw, ends = merged.astype(np.int32).tobytes(), (4 * ends).tolist()
+        found = {p: raw[at:to] for p, at, to in zip(unseen, [0, *ends[:-1]], ends, strict=False)}
         known.update(found)
         ids = [np.frombuffer(b"".join(map(known.__getitem__, s)), dtype=np.int32) for s in split]
         for p, b in found.items():
@@ -194,6 +221,25 @@ class BytePairs:
         """The bytes of ids; an id that no token has is an error."""
         return b"".join(map(self.spelled.__getitem__, ids))
 
+    @functools.cached_property
+    def _spellings(self) -> tuple[np.ndarray, pa.Array]:
+        """The place of each id (-1: no token) and the bytes that each place spells."""
+        places = np.full(max(self.spelled, default=0) + 1, -1)
+        places[list(self.spelled)] = np.arange(len(self.spelled))
+        return places, pa.array(list(self.spelled.values()), pa.large_binary())
+
+    def decode_rows(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of each row of ids, its rows end to end; an id that no token has is an error."""
+        places, spelled = self._spellings
+        if ids.size and (ids.min() < 0 or ids.max() >= places.size or (places[ids] < 0).any()):
+            raise KeyError("an id that no token has")
+        at = places[ids]
+        tokens = spelled.take(pa.array(at))
+        _, offsets, data = tokens.buffers()
+        # The tokens' bytes lie end to end, so the rows are cuts of the same bytes.
+        cuts = np.frombuffer(offsets, dtype=np.int64, count=len(tokens) + 1, offset=8 * tokens.offset)[np.append(0, ends)]
+        return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(cuts), data]).cast(pa.binary())
+
 
 @functools.cache
 def _pairs(path: str, pattern: str) -> BytePairs:
@@ -246,11 +292,9 @@ def decode_ids(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", i
         pairs = _pairs(path, pattern)
         for b in batches:
             column = b.column(where)
-            flat, ends = column.flatten(), np.cumsum([0, *column.value_lengths().fill_null(0).to_pylist()])
+            flat, ends = column.flatten(), np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
             if flat.null_count:
                 raise ValueError("an array of ids holds a null")
-            numbers = flat.to_numpy(zero_copy_only=False)
-            bare = [pairs.decode(numbers[x:y].tolist()) for x, y in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bare, pa.binary())], names=[*names, into])
+            yield pa.RecordBatch.from_arrays([*b.columns, pairs.decode_rows(flat.to_numpy(zero_copy_only=False), ends)], names=[*names, into])
 
     return rows.mapInArrow(run, schema)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -121,3 +122,24 @@ def test_query(spark, library):
         ids = library.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_rows_are_decoded_without_a_look_at_each_id(pairs, monkeypatch):
+    texts = ["one two", "", "日本語 é", "x"]
+    ids = [pairs.encode([t])[0] for t in texts]
+    monkeypatch.setattr(BytePairs, "decode", None)
+    ends = np.cumsum([len(i) for i in ids])
+    assert [b.decode() for b in pairs.decode_rows(np.concatenate(ids), ends).to_pylist()] == texts
+    assert pairs.decode_rows(ids[1], np.array([0, 0])).to_pylist() == [b"", b""]
+    assert pairs.decode_rows(ids[1], np.array([], dtype=np.int64)).to_pylist() == []
+    for odd in (-1, len(pairs.ranks) + 5):
+        with pytest.raises(KeyError):
+            pairs.decode_rows(np.array([odd]), np.array([1]))
+
+
+def test_a_byte_without_a_token_is_an_error():
+    own = BytePairs(PATH, PATTERN)
+    own.ranks = {t: i for t, i in own.ranks.items() if t != b"x"}
+    assert own.merge([b"", b"a", b""]) == [[], [own.ranks[b"a"]], []] and own.merge([]) == []
+    with pytest.raises((ValueError, TypeError)):
+        own.encode(["xq"])
