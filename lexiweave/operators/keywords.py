@@ -28,8 +28,13 @@ def document_frequency(doc_kw: DataFrame, ignore_case: bool = False) -> DataFram
     Spellings of one keyword in one record count each, unless ignore_case.
     """
     term = fold(F.col("kw_raw")).alias("term")
-    once = doc_kw.select("rec_seq", term).distinct() if ignore_case else doc_kw.select("rec_seq", "kw_raw").distinct().select(term)
-    return once.where(F.col("term") != "").groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
+    if ignore_case:
+        counted = doc_kw.select("rec_seq", term).distinct().select("term", F.lit(1).alias("n"))
+    else:  # folded once for each spelling, not for each record that has it
+        counted = doc_kw.select("rec_seq", "kw_raw").distinct().groupBy("kw_raw").agg(F.count(F.lit(1)).alias("n")).select(term, "n")
+    # Blanks count nothing and go by their sum: a condition on the term would be pushed below the distinct and fold every row.
+    counts = F.when(F.col("term") != "", F.col("n")).otherwise(0)
+    return counted.groupBy("term").agg(F.sum(counts).alias("freq")).where("freq > 0")
 
 
 def at_least(freqs: DataFrame, least: int = 2) -> DataFrame:
