@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from .lexicons import ACRONYM_STOP_WORDS, PROTECTED_ENDINGS, PROTECTED_WORDS, ROOTS
 
-SPACE = r"(?U)^\s+|\s+$"
+#: All characters of Unicode's property White_Space.
+SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, Unicode's included."""
-    return F.regexp_replace(c, SPACE, "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def fold(c: Column) -> Column:
@@ -37,7 +38,7 @@ def clean_heading(c: Column) -> Column:
 
 def split_mixed(c: Column) -> Column:
     """Keywords between ASCII or full-width semicolons and line ends."""
-    return split_clean(F.translate(c, "；", ";"), r"[;\n\r]+")
+    return split_clean(F.translate(c, "；\n\r", ";;;"), ";")
 
 
 def is_short_upper(c: Column) -> Column:

@@ -92,27 +92,28 @@ def keyword_records(spark: SparkSession, sf_dir: str, per: int = 64, prefix: str
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _tasks(spark, sf_dir, PER_TASK))
     path = F.concat(F.lit(prefix), F.floor(F.col("rec_seq") / per).cast("string"))
     edges = keyword_edges(spark, sf_dir).withColumn("path", path).repartition(tasks, "path")
-    return edges.groupBy("path", "rec_seq").agg(F.array_sort(F.collect_set("kw_raw")).alias("kws"))
+    # The number first: what sorts the groups of a task then compares numbers, not paths.
+    return edges.groupBy("rec_seq", "path").agg(F.sort_array(F.collect_set("kw_raw")).alias("kws")).select("path", "rec_seq", "kws")
 
 
-def body_of(template: str) -> Column:
-    """The tagged text of a record; template is wos, pubmed, refworks or cnki."""
+def body_of(template: str, end: str = "\n") -> Column:
+    """The tagged text of a record up to its last line end, which is `end`; template is wos, pubmed, refworks or cnki."""
     rec, kws = F.col("rec_seq").cast("string"), F.col("kws")
     half = F.floor((F.size(kws) + 1) / 2).cast("int")
     return {
         "wos": F.concat(
             F.lit("PT J\n"), F.when(F.col("rec_seq") % 5 != 0, F.concat(F.lit("DE "), F.array_join(F.slice(kws, F.lit(1), half), ";\n   "), F.lit("\n"))).otherwise(""),
-            F.lit("ID "), F.array_join(kws, "; "), F.lit("\n"), F.when(F.col("rec_seq") % 7 != 0, F.concat(F.lit("UT WOS:"), rec, F.lit("\n"))).otherwise(""), F.lit("ER\n\n"),
+            F.lit("ID "), F.array_join(kws, "; "), F.lit("\n"), F.when(F.col("rec_seq") % 7 != 0, F.concat(F.lit("UT WOS:"), rec, F.lit("\n"))).otherwise(""), F.lit("ER\n" + end),
         ),
-        "pubmed": F.concat(F.lit("PMID- "), rec, F.lit("\nTI  - A study\n"), F.array_join(F.transform(kws, lambda k, i: F.concat(F.when(i % 2 == 0, F.lit("OT  - ")).otherwise(F.lit("MH  - *")), k, F.when(i % 2 == 0, "").otherwise("/therapy"))), "\n"), F.lit("\n\n")),
-        "refworks": F.concat(F.lit("RT Journal\nT1 title "), rec, F.lit("\nK1 "), F.array_join(kws, "；；"), F.lit("\n\n")),
-        "cnki": F.concat(F.lit("【来源篇名】title "), rec, F.lit("\n【关键词】"), F.array_join(kws, ";;"), F.lit("\n")),
+        "pubmed": F.concat(F.lit("PMID- "), rec, F.lit("\nTI  - A study\n"), F.array_join(F.transform(kws, lambda k, i: F.concat(F.when(i % 2 == 0, F.lit("OT  - ")).otherwise(F.lit("MH  - *")), k, F.when(i % 2 == 0, "").otherwise("/therapy"))), "\n"), F.lit("\n" + end)),
+        "refworks": F.concat(F.lit("RT Journal\nT1 title "), rec, F.lit("\nK1 "), F.array_join(kws, "；；"), F.lit("\n" + end)),
+        "cnki": F.concat(F.lit("【来源篇名】title "), rec, F.lit("\n【关键词】"), F.array_join(kws, ";;"), F.lit(end)),
     }[template]
 
 
-def record_bodies(spark: SparkSession, sf_dir: str, template: str, per: int = 64) -> DataFrame:
+def record_bodies(spark: SparkSession, sf_dir: str, template: str, per: int = 64, end: str = "\n") -> DataFrame:
     """(path, rec_seq, body): the tagged text of each record, `per` orders a path."""
-    return keyword_records(spark, sf_dir, per, "part-").select("path", "rec_seq", body_of(template).alias("body"))
+    return keyword_records(spark, sf_dir, per, "part-").select("path", "rec_seq", body_of(template, end).alias("body"))
 
 
 def record_texts(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:

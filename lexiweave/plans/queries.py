@@ -613,18 +613,26 @@ _OF_FILE = 4096
 
 
 def _folder_of(bodies: DataFrame, head: dict[str, str] | None = None, kinds: list[str] | None = None, compression: str = "none") -> str:
-    """A folder with a file for each kind and path of (kind, path, rec_seq, body), bodies in their order after the head of their kind.
+    """A folder with a file for each path and kind of (path, rec_seq, kind, body), or of (path, rec_seq) and a column of bodies a kind; bodies are in their order after the head of their kind.
 
-    Rows of a path are in one task; a sort puts them in order, and Spark's text writer adds the line end that each body has. No value holds a file.
+    Bodies lack their last line end. A row holds a file of at most _OF_FILE bodies, so Spark writes one file a row: rows of a path are in one task, where its records come together without
+    an exchange or a sort of their texts. Spark's text writer adds the line end of the last body. Tasks put their files where they stay, so the driver moves none.
     """
     path = shared_path(bodies.sparkSession)
-    first = F.lag("rec_seq").over(Window.partitionBy("path", "kind").orderBy("rec_seq")).isNull()
-    body = F.regexp_replace("body", r"\n\z", "")
+    keys = [c for c in ("path", "kind") if c in bodies.columns]
+    names = [c for c in bodies.columns if c not in ("rec_seq", *keys)]
+    files = bodies.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rec_seq", *names))).alias("all"))
+    joined = lambda name: F.array_join(F.transform("all", lambda x: x[name]), "\n")
+    if "kind" not in keys:
+        files = files.select(F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), joined(n).alias("value")) for n in names))).alias("x")).select("x.*")
+    else:
+        files = files.select("kind", joined("body").alias("value"))
+    value = F.col("value")
     for kind, text_ in (head or {}).items():
-        body = F.when((F.col("kind") == kind) & first, F.concat(F.lit(text_), body)).otherwise(body)
-    value = bodies.select("path", "kind", "rec_seq", body.alias("value"))
-    files = encoded(value, "value", kinds).withColumnRenamed("path", "of") if kinds else value.withColumnRenamed("path", "of")
-    files.sortWithinPartitions("kind", "of", "rec_seq").drop("rec_seq").write.partitionBy("kind", "of").option("compression", compression).text(path)
+        value = F.when(F.col("kind") == kind, F.concat(F.lit(text_), value)).otherwise(value)
+    files = files.withColumn("value", value)
+    files = encoded(files, "value", kinds) if kinds else files
+    files.select("value").write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).option("compression", compression).text(path)
     return path
 
 
@@ -633,7 +641,7 @@ def _scopus_body():
     r = F.col("rec_seq")
     cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     title = F.concat(F.lit('a "title", of\n\ntwo lines '), r.cast("string"))
-    return F.concat(F.concat_ws(",", cell(title), *map(cell, _scopus_cells(r))), F.lit("\n"))
+    return F.concat_ws(",", cell(title), *map(cell, _scopus_cells(r)))
 
 
 _SCOPUS_HEAD = "Title,EID,DOI,Author Keywords,Index Keywords\n"
@@ -685,7 +693,7 @@ def s7(spark, d):
     n = F.expr("rec_seq div 64 % 3")
     kind = F.when(n == 0, "UTF-8").when(n == 1, "GBK").otherwise("GB18030")
     title = F.when(n == 1, "题名 í ").otherwise("题名 ß𠀀 ")
-    bodies = record_bodies(spark, d, "cnki", _OF_FILE).select("path", kind.alias("kind"), "rec_seq", F.replace("body", F.lit("title "), title).alias("body"))
+    bodies = record_bodies(spark, d, "cnki", _OF_FILE, "").select("path", kind.alias("kind"), "rec_seq", F.replace("body", F.lit("title "), title).alias("body"))
     return tables.read_cnki(spark, _folder_of(bodies, kinds=["GBK", "GB18030"])).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
 
 
@@ -700,10 +708,9 @@ _S15 = [
 @query("s15_read_records", f"WITH {_KWS} {' UNION ALL '.join(_S15)}")
 def s15(spark, d):
     """One folder with files of all six formats, each file read by what it holds."""
-    of = {**{t: body_of(t) for t in ("wos", "pubmed", "refworks", "cnki")}, "scopus": _scopus_body()}
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), b.alias("body")) for k, b in of.items()))).alias("x")
-    records = keyword_records(spark, d, _OF_FILE).select("path", "rec_seq", each).select("path", "x.kind", "rec_seq", "x.body")
-    terms = _vos_lines(spark, d).select(F.floor(F.col("line_no") / _OF_FILE).cast("string").alias("path"), F.lit("vos").alias("kind"), F.col("line_no").alias("rec_seq"), F.concat("line", F.lit("\n")).alias("body"))
+    of = {**{t: body_of(t, "") for t in ("wos", "pubmed", "refworks", "cnki")}, "scopus": _scopus_body()}
+    records = keyword_records(spark, d, _OF_FILE).select("path", "rec_seq", *(b.alias(k) for k, b in of.items()))
+    terms = _vos_lines(spark, d).select(F.floor(F.col("line_no") / _OF_FILE).cast("string").alias("path"), F.lit("vos").alias("kind"), F.col("line_no").alias("rec_seq"), F.col("line").alias("body"))
     path = [_folder_of(records, {"scopus": _SCOPUS_HEAD}, compression="gzip"), _folder_of(terms.repartition("path"), {"vos": "label\toccurrences\ttotal link strength\n"}, compression="gzip")]
     found = tables.read_records(spark, path)
     return found.select("source_database", "doc_id", F.array_join("keywords", "|").alias("keywords"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import split_clean, strip
+from . import whole
 from .charsets import decoded
 from .tagged import _plain, detect_formats, head_lines, parse_cnki, parse_pubmed, parse_wos, parsed, placed, read_lines, with_counts
 
@@ -172,13 +173,16 @@ def read_word_list(spark: SparkSession, path: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The records of files of any formats, each file by what it holds; what is unknown is read as Web of Science.
 
-    Files are split; those of CNKI may be in other charsets than UTF-8. Formats and paths, a row a file, reach the driver,
-    which lists the files anyway. Empty files have no records.
+    Small files are values of one scan, which exchanges nothing. Larger files are split; these, and small ones of CNKI in other charsets than
+    UTF-8, are read by format: a row a file with format and path reaches the driver, which lists the files anyway. Empty files have no records.
     """
-    kinds: dict[str, list[str]] = {}
-    for r in detect_formats(read_lines(spark, path)).collect():
+    files = whole.small_files(spark, path)
+    width = F.max(F.when(F.col("format") == "scopus_csv", F.regexp_count(F.substring_index("text", "\n", 1), F.lit(",")) + 1))
+    small = files.agg(F.count(F.lit(1)).alias("n"), width.alias("width"), F.collect_list(F.when(whole.is_other(), F.col("path"))).alias("others")).first()
+    kinds = {"cnki_text": [unquote(p) for p in small["others"]]} if small["others"] else {}
+    for r in detect_formats(read_lines(spark, path, which=~whole.is_small())).collect():
         kinds.setdefault({"cnki_refworks": "cnki_text"}.get(r["format"], r["format"]), []).append(unquote(r["path"]))  # Spark names files by encoded paths
-    found = []
+    found = [whole.records_of(files, small["width"] or 1)] if small["n"] else []
     for kind, paths in sorted(kinds.items()):
         if kind == "scopus_csv":
             found.append(read_scopus(spark, paths))

@@ -34,17 +34,19 @@ def lines_of(texts: DataFrame) -> DataFrame:
     return texts.select("path", F.posexplode(F.split(bare, r"\r\n|\n|\r")).alias("line_no", "line"))
 
 
-def read_lines(spark: SparkSession, path: str | list[str], decode: Callable[[DataFrame], DataFrame] | None = None, whole: bool | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], decode: Callable[[DataFrame], DataFrame] | None = None, whole: bool | None = None, which: Column | None = None) -> DataFrame:
     """(path, block, line_no, line) of files, those of inner folders too, which Spark splits by its maxPartitionBytes; line_no is ordered inside a block.
 
     `decode` makes text of (path, block, line_no, value) lines of raw bytes; without it, bytes beyond UTF-8 are replaced. A byte-order mark goes. Unlike in `lines_of`, a line end at the end of a file opens no further, empty line.
-    `whole` takes only files of at most WHOLE bytes (true) or only larger ones (false).
+    `whole` takes only files of at most WHOLE bytes (true) or only larger ones (false); `which` only those whose `_metadata` are so.
     """
     start = F.col("_metadata.file_block_start")
     files = spark.read.option("recursiveFileLookup", "true").text(path)
     if whole is not None:
         size = F.col("_metadata.file_size")  # Spark leaves the other files out when it lists them
         files = files.where(size <= WHOLE if whole else size > WHOLE)
+    if which is not None:
+        files = files.where(which)
     raw = files.select(F.col("_metadata.file_path").alias("path"), start.alias("block"), F.monotonically_increasing_id().alias("line_no"), "value")
     raw = raw.withColumn("value", F.make_valid_utf8("value")) if decode is None else decode(raw)
     raw = raw.withColumnRenamed("value", "line")
@@ -215,25 +217,25 @@ def parse_cnki(lines: DataFrame) -> DataFrame:
     return parse_cnki_text(lines.join(custom, "path", "left_semi")).unionByName(parse_cnki_refworks(lines.join(custom, "path", "left_anti")))
 
 
+def format_of(has: Callable[[str], Column], starts: Callable[[str], Column], closes: Column, on_first: Callable[[Column], Column], first: Column) -> Column:
+    """The format of a file by its first lines: whether they have a text, whether one starts with it, whether one ends in ER; `on_first` says whether its first line is such."""
+    low, parts = F.lower(first), F.size(F.split(first, "\t"))
+    titles = F.contains(first, F.lit("Author Keywords")) | F.contains(first, F.lit("Index Keywords")) | F.contains(first, F.lit("EID"))
+    return (
+        F.when(starts("PMID-") | (has("MH  -") & has("TI  -")), "pubmed_medline")
+        .when(starts("PT ") | (closes & (has("DE ") | has("ID "))), "wos_plaintext")
+        .when(has("【来源篇名】") | has("【关键词】"), "cnki_text")
+        .when(has("RT Journal") | has("RT Book") | (has("K1 ") & has("A1 ")), "cnki_refworks")
+        .when(on_first(titles), "scopus_csv")
+        .when(on_first(parts.isin(2, 3) & (F.contains(low, F.lit("occurrences")) | F.contains(low, F.lit("label")))), "vos_tsv")
+        .otherwise("unknown")
+    )
+
+
 def detect_formats(lines: DataFrame) -> DataFrame:
     """(path, format) from the first 60 lines of each file; files without text are unknown."""
-    line, low = F.col("line"), F.lower("line")
-    some = lambda c: F.bool_or(c)
-    has = lambda t: some(F.contains(line, F.lit(t)))
-    starts = lambda t: some(line.startswith(t))
-    first = F.col("line_no") == 0
-    parts = F.size(F.split(line, "\t"))
-    head = head_lines(lines, 60)
-    marks = head.groupBy("path").agg(
-        (starts("PMID-") | (has("MH  -") & has("TI  -"))).alias("pubmed"),
-        (starts("PT ") | (some(line.endswith("ER") & ~F.col("is_last")) & (has("DE ") | has("ID ")))).alias("wos"),
-        (has("【来源篇名】") | has("【关键词】")).alias("cnki"),
-        (has("RT Journal") | has("RT Book") | (has("K1 ") & has("A1 "))).alias("refworks"),
-        some(first & (F.contains(line, F.lit("Author Keywords")) | F.contains(line, F.lit("Index Keywords")) | F.contains(line, F.lit("EID")))).alias("scopus"),
-        some(first & parts.isin(2, 3) & (F.contains(low, F.lit("occurrences")) | F.contains(low, F.lit("label")))).alias("vos"),
-    )
-    kind = (
-        F.when(F.col("pubmed"), "pubmed_medline").when(F.col("wos"), "wos_plaintext").when(F.col("cnki"), "cnki_text")
-        .when(F.col("refworks"), "cnki_refworks").when(F.col("scopus"), "scopus_csv").when(F.col("vos"), "vos_tsv").otherwise("unknown")
-    )
-    return marks.select("path", kind.alias("format"))
+    line = F.col("line")
+    has = lambda t: F.bool_or(F.contains(line, F.lit(t)))
+    starts = lambda t: F.bool_or(line.startswith(t))
+    kind = format_of(has, starts, F.bool_or(line.endswith("ER") & ~F.col("is_last")), lambda c: F.bool_or((F.col("line_no") == 0) & c), line)
+    return head_lines(lines, 60).groupBy("path").agg(kind.alias("format"))
