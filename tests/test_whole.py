@@ -44,7 +44,7 @@ def test_a_long_record_takes_no_stack(spark, tmp_path):
     n = 30000
     (tmp_path / "w.txt").write_text("PT J\nDE a\n" + "".join(f"   k{i};\n" for i in range(n)) + "ER\n")
     (tmp_path / "p.txt").write_text("PMID- 1\nOT  - a\n" + "".join(f"      k{i}\n" for i in range(n)))
-    (tmp_path / "s.csv").write_text("Title,EID,Author Keywords\n" + '"x ""y"" z' + '"","' * n + f'",E1,"{"; ".join(f"k{i}" for i in range(n))}; a"\n')
+    (tmp_path / "s.csv").write_text("Title,EID,Author Keywords\n" + '"x' + ' ""y""\n' * n + f'",E1,"{"; ".join(f"k{i}" for i in range(n))}; a"\n')
     got = {r.source_database: len(r.keywords) for r in tables.read_records(spark, str(tmp_path)).collect()}
     assert got == {"Web of Science": n + 1, "PubMed": n + 1, "Scopus": n + 1}
 
